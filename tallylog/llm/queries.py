@@ -2,24 +2,103 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallylog.llm.decontaminate import decontaminate
+from tallylog.llm.exact_dedup import exact_duplicates
+from tallylog.llm.language_id import predict_languages
+from tallylog.llm.mixing import mix_sources
 from tallylog.llm.ngram_join import near_duplicate_classes
+from tallylog.llm.pii import find_personal_data
+from tallylog.llm.quality import score_quality
+from tallylog.llm.secrets import find_secrets
+from tallylog.llm.token_store import tokenized
+from tallylog.llm.warc import archive_pages
+
+#: The tokenizer's file; the vocabularies are never part of this repository.
+TOKENIZER = os.environ.get("TALLYLOG_TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _spans_text(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(one, ",")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    found = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicate_classes(_documents(spark, sf_dir))
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-#: A-Z in lower case, and nothing else.
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, through the content-addressed store."""
+    return tokenized(_documents(spark, sf_dir), TOKENIZER)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality posteriors of all documents; documents with ``kept`` false are rejected."""
+    scored = score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "evidence", "host_mean", "path_mean", "quality", "kept")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = find_secrets(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"), "n_random"
+    )
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, through WARC archives."""
+    return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents."""
+    return exact_duplicates(_documents(spark, sf_dir))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    found = decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source."""
+    return mix_sources(_documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return predict_languages(_documents(spark, sf_dir))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = find_personal_data(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"), "n_number"
+    )
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_token_store, op3_quality_classifier, op4_secret_scan, op5_warc,
+        op6_exact_dedup, op7_decontaminate, op8_mix_sources, op9_language_id, op10_pii,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
