@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tallylog.llm.shared import utf8_or_empty
 
 #: The bounded training sample of each language: documents, characters of each, bytes of the dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2_000, 110_000
-LEVEL = 3
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 300, 220_000
+LEVEL = 6
 #: Least margin of an accepted prediction.
 MARGIN = 0.02
 UNDETERMINED = "und"
