@@ -37,7 +37,7 @@ def _spans_text(spans: Column) -> Column:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = near_duplicate_classes(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,3 +102,96 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+#: A-Z in lower case, and nothing else.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL["op6_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+FROM n JOIN g ON n.t = g.t
+"""
+
+ORACLE_SQL["op7_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1),
+    lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS g
+  FROM b WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, lens WHERE len(w) >= n),
+dg AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM dw),
+hits AS (SELECT DISTINCT dg.doc_id, iw.item_id, dg.i, dg.n FROM dg JOIN iw ON dg.g = iw.g AND dg.n = iw.n),
+words AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+nh AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+ni AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    sha256(array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',')) AS s
+  FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN nh ON d.doc_id = nh.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id
+"""
+
+ORACLE_SQL["op8_mix_sources"] = r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0'), 1, 15) AS BIGINT) AS k
+  FROM documents),
+p AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight
+  FROM s GROUP BY source),
+f AS (
+  SELECT *, 2 * source_size AS cap,
+    sum(source_size) OVER () * 150 / 100 - coalesce(sum(2 * source_size) OVER o, 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest_weight
+  FROM p WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (
+  SELECT *, first_value(CASE WHEN weight * rest < cap * rest_weight THEN {'r': rest, 'w': rest_weight} END IGNORE NULLS)
+    OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open
+  FROM f),
+t AS (SELECT source, source_size, CAST(CASE WHEN open IS NULL THEN cap ELSE weight * open.r / open.w END AS DOUBLE) AS target FROM l),
+x AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM x)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken
+FROM y
+"""
+
+ORACLE_SQL["op1_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
+  FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.root) AS component_id
+FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, len(sh)
+"""
+
+ORACLE_SQL["op5_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+d AS (
+  SELECT page_id, octet_length(b) AS payload_bytes, b,
+    array_to_string(list_transform(range(0, 32),
+      lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest
+  FROM p),
+f AS (SELECT b, min(page_id) AS first FROM d GROUP BY b)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS verified
+FROM d JOIN f ON d.b = f.b
+"""
