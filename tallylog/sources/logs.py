@@ -17,7 +17,7 @@ LEARNER_CONFIG = (
     .add("state_variables", T.MapType(T.StringType(), T.StructType().add("pattern", "string").add("type", "string")))
     .add("causal_chains", T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 )
-SERVERS = T.StructType().add("sid", "string").add("type", "string").add("instance", "int").add("status", "string")
+SERVERS = T.StructType().add("sid", "string").add("type", "string").add("instance", "integer").add("status", "string")
 REQUEST = (
     T.StructType()
     .add("timestamp", "timestamp")
