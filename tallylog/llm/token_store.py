@@ -37,8 +37,8 @@ from tallylog.llm.words import mix
 ROLL = 16
 CUT_BITS = 8
 MIN_CHUNK, MAX_CHUNK = 64, 4096
-#: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 600_000
+#: Pieces of text whose ids a worker remembers (about 160 bytes each).
+CACHE_PIECES = 2_000_000
 #: Texts tokenized and cut together.
 _TEXTS = 512
 
@@ -59,10 +59,29 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTE_CHARACTERS = _byte_characters()
+_MARKS = frozenset(".,;:!?")
 _SPACE, _LINE = _BYTE_CHARACTERS[0x20], _BYTE_CHARACTERS[0x0A]
 _workers: dict[str, _Encoder] = {}
 
 
+class _Pieces(dict):
+    """Ids, as bytes, of the pieces that follow a space; a new piece is encoded when it is asked for."""
+
+    def __init__(self, encoder: _Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii():
+            found = self.encoder.word(_SPACE + piece)  # one pre-token
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha() and piece.isascii():
+            found = self[piece[:-1]] + self.encoder.mark(piece[-1])
+        else:
+            found = self.encoder.piece(piece, " ")
+        self[piece] = found
+        return found
+
+
 class _Encoder:
     """Texts to ids, with a memory of the ids of pieces between single spaces.
 
@@ -80,36 +99,38 @@ class _Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
+        self.marks: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.type, ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         """Ids of one pre-token, whose bytes stand as the model's characters."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = self._pack([t.id for t in self.model.tokenize(word)])
-        return found
+        return self._pack([t.id for t in self.model.tokenize(word)])
 
-    def _piece(self, piece: str, lead: str) -> bytes:
+    def mark(self, mark: str) -> bytes:
+        """Ids of a run of punctuation, or of a line end."""
+        return self.marks.get(mark) or self.marks.setdefault(mark, self.word(mark))
+
+    def piece(self, piece: str, lead: str) -> bytes:
         """Ids of a piece, after a space if ``lead`` is one."""
         out = []
         for i, line in enumerate(piece.split("\n")):
             found = _SIMPLE.fullmatch(line)
             if not found:
-                return b"".join([self._word(word) for word, _ in self.pre.pre_tokenize_str(lead + piece)])
+                return b"".join([self.word(word) for word, _ in self.pre.pre_tokenize_str(lead + piece)])
             letters, marks = found.groups()
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            if i:
-                out.append(self._word(_LINE))
-            elif lead:
-                letters = _SPACE + letters
-            out.append(self._word(letters))
+            if i == 0 and lead and (marks or "\n" in piece):
+                out.append(self.pieces[letters])
+            else:
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                if i:
+                    out.append(self.mark(_LINE))
+                out.append(self.word(_SPACE + letters if lead and not i else letters))
             if marks:
-                out.append(self._word(marks))
+                out.append(self.mark(marks))
         return b"".join(out)
 
     def _split(self, text: str) -> list[str] | None:
@@ -122,20 +143,13 @@ class _Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
         split = [self._split(text) for text in texts]
-        known = self.pieces  # ids of pieces after a space
-        if len(known) > CACHE_PIECES:
-            known.clear()
-            self.words.clear()
-        for piece in {p for parts in split if parts for p in parts[1:]}:
-            if piece not in known:
-                known[piece] = self._piece(piece, " ")
         whole = [text for text, parts in zip(texts, split) if parts is None]
         plain = iter([self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
-        return [
-            next(plain) if parts is None else self._piece(parts[0], "") + b"".join(map(known.__getitem__, parts[1:]))
-            for parts in split
-        ]
+        known = self.pieces.__getitem__
+        return [next(plain) if parts is None else self.piece(parts[0], "") + b"".join(map(known, parts[1:])) for parts in split]
 
 
 def chunk_ends(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:
