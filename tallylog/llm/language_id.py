@@ -40,6 +40,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     rows = rows.where("lang is not null and text <> ''")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
     short = rows.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # of a frequent language only the lowest hashes can be in the sample: about 8 * SAMPLE_DOCS rows go on
+    share = F.lit(1.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, min(1.0, 8 * SAMPLE_DOCS / n)).otherwise(share)
+    short = short.where((F.col("hash") / float(1 << 64) + 0.5) <= share)
     order = Window.partitionBy("lang").orderBy("hash", "text")
     # Spark keeps SAMPLE_DOCS rows of each language per task before it shuffles
     sample = short.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)

@@ -35,8 +35,8 @@ from tallylog.llm.words import mix
 
 #: Ids that the rolling hash sees; low bits that are zero at an end; least and most ids of a chunk.
 ROLL = 16
-CUT_BITS = 8
-MIN_CHUNK, MAX_CHUNK = 64, 4096
+CUT_BITS = 10
+MIN_CHUNK, MAX_CHUNK = 128, 8192
 #: Pieces of text whose ids a worker remembers (about 160 bytes each).
 CACHE_PIECES = 2_000_000
 #: Texts tokenized and cut together.
@@ -69,11 +69,11 @@ class _Pieces(dict):
 
     def __init__(self, encoder: _Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.tokenize, self.type = encoder, encoder.model.tokenize, encoder.type
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() and piece.isascii():
-            found = self.encoder.word(_SPACE + piece)  # one pre-token
+        if piece.isalpha() and piece.isascii():  # one pre-token
+            found = array(self.type, [t.id for t in self.tokenize(_SPACE + piece)]).tobytes()
         elif piece[-1:] in _MARKS and piece[:-1].isalpha() and piece.isascii():
             found = self[piece[:-1]] + self.encoder.mark(piece[-1])
         else:
