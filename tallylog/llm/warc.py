@@ -180,6 +180,8 @@ def read_records(spark: SparkSession, path: str, keep_payloads: bool = True) ->
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture (response, revisit or resource record) with its request and metadata.
 
+    ``records`` is read several times, so it should be a stored table rather than archives being parsed.
+
     A request or metadata record belongs to the capture that it names in WARC-Concurrent-To, that names it,
     or, for metadata, that its request belongs to.  Of several requests or metadata records of a capture the one
     with the smallest record id is kept, beside their number, so no capture gathers an
@@ -219,7 +221,8 @@ def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0, path: str | None
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes=min_revisit_bytes)
-    captures = materialize(assemble(read_records(spark, path, keep_payloads=False)), "captures")
+    records = materialize(read_records(spark, path, keep_payloads=False), "records")
+    captures = materialize(assemble(records), "captures")
     id_type = pages.schema["page_id"].dataType
     flat = captures.select(
         F.col("metadata.fields")["page-id"].cast(id_type).alias("page_id"),
