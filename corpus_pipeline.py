@@ -25,12 +25,17 @@ BROADCAST_ROWS = 500_000
 _SPACE = r"[\x20\x09-\x0D]"
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc`` (all columns of a row, whatever their names) and its row id."""
+    return with_row_ids(docs.select(F.struct("*").alias("doc")))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` less the rows of ``dropped``, by row id; both count rows of the same table."""
     dropped = materialize(dropped.select(ROW_ID), "dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return with_row_ids(docs).join(dropped, ROW_ID, "left_anti").drop(ROW_ID)
+    return _packed(docs).join(dropped, ROW_ID, "left_anti").select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,19 +61,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's budget takes it, the one at the cut in part."""
-    base = with_row_ids(docs)
-    mixed = mix_sources(base, carry=(ROW_ID,)).where("taken > 0").select(ROW_ID, "size", "taken")
+    base = _packed(docs)
+    inputs = base.select("doc.doc_id", "doc.text", "doc.source", ROW_ID)
+    mixed = mix_sources(inputs, carry=(ROW_ID,)).where("taken > 0").select(ROW_ID, "size", "taken")
     copies = F.transform(
         F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))),
         lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")),
     )
     rows = base.join(mixed.select(ROW_ID, "size", F.explode(copies).alias("words")), ROW_ID)
     pattern = F.concat(F.lit(f"^{_SPACE}*+(?:{WORD_PATTERN}{_SPACE}*+){{"), F.col("words").cast("string"), F.lit("}+"))
-    cut = F.when(F.col("words") < F.col("size"), F.regexp_extract("text", pattern, 0)).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut)
+    text = F.col("doc.text")
+    text = F.when(F.col("words") < F.col("size"), F.regexp_extract(text, pattern, 0)).otherwise(text)
+    doc = F.col("doc").withField("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        doc = doc.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(doc.alias("doc")).select("doc.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
