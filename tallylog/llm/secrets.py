@@ -190,11 +190,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def least_bins(scanned: DataFrame, rate: float) -> dict[int, int]:
     """The least score bin to report for each length class (at most MAX_CLASS + 1 of them).
 
-    Of a class with N ordinary runs and M candidates, a bin's p-value is the share
+    The null of a class has the ordinary runs of that length and shorter.  Of a class with N of them and M candidates, a bin's p-value is the share
     ``(1 + ordinary runs at or above) / (1 + N)``; the Benjamini-Hochberg rule takes the lowest bin in which
     ``p * M <= rate * (candidates at or above)``.
     """
     ordinary = scanned.select(F.explode("ordinary").alias("c")).groupBy("c.length_class", "c.bin").agg(F.sum("c.n").alias("null_n"))
+    # shorter words look more random, so adding them to the null of longer ones can only raise its p-values
+    longer = F.explode(F.sequence("length_class", F.lit(MAX_CLASS))).alias("length_class")
+    ordinary = ordinary.select(longer, "bin", "null_n").groupBy("length_class", "bin").agg(F.sum("null_n").alias("null_n"))
     tested = scanned.select(F.explode("candidates").alias("c")).groupBy("c.length_class", "c.bin").agg(F.count("*").alias("n"))
     both = tested.join(ordinary, ["length_class", "bin"], "full").na.fill(0, ["n", "null_n"])
     down = Window.partitionBy("length_class").orderBy(F.desc("bin"))

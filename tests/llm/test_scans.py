@@ -110,9 +110,13 @@ def test_secrets(spark):
 def test_random_strings_are_found_and_words_are_not(spark):
     rng = random.Random(4)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    rows = [(i, " ".join("".join(rng.choice(["the", "ing", "er", "an", "re", "tion"]) for _ in range(rng.randrange(5, 12))) for _ in range(40)), "en", "a") for i in range(80)]
+
+    def word():
+        return "".join(rng.choice(["the", "ing", "er", "an", "re", "tion"]) for _ in range(rng.randrange(5, 12)))
+
+    rows = [(i, " ".join(word() for _ in range(40)), "en", "a") for i in range(80)]
     rows += [(100 + i, "here " + "".join(rng.choice(alphabet) for _ in range(40)) + "1 there", "en", "a") for i in range(20)]
-    rows += [(200 + i, f"see aaaaaaaaaaaaaaaa{i % 10} and theinganerthetiontheing{i % 10} there", "en", "a") for i in range(20)]
+    rows += [(200 + i, f"see {'a' * 16}{i % 10} and {word()}the{word()}{i % 10} there", "en", "a") for i in range(20)]
     found = {r["doc_id"]: r["n_random"] for r in secrets.find_secrets(documents(spark, rows)).collect()}
     assert sum(found[100 + i] for i in range(20)) >= 18
     assert sum(found[i] for i in range(80)) + sum(found[200 + i] for i in range(20)) <= 1
