@@ -71,7 +71,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = base.join(mixed.select(ROW_ID, "size", F.explode(copies).alias("words")), ROW_ID)
     pattern = F.concat(F.lit(f"^{_SPACE}*+(?:{WORD_PATTERN}{_SPACE}*+){{"), F.col("words").cast("string"), F.lit("}+"))
     text = F.col("doc.text")
-    text = F.when(F.col("words") < F.col("size"), F.regexp_extract(text, pattern, 0)).otherwise(text)
+    text = F.when(F.col("words") < F.col("size"), F.call_function("regexp_extract", text, pattern, F.lit(0))).otherwise(text)
     doc = F.col("doc").withField("text", text)
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
