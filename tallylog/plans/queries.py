@@ -334,9 +334,9 @@ def progressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH {_ELOG}, {_VALUES},
-o AS (SELECT *, row_number() OVER (PARTITION BY server, name ORDER BY v) AS i, count(*) OVER (PARTITION BY server, name) AS c FROM nums),
+o AS (SELECT *, row_number() OVER (PARTITION BY server, name ORDER BY v) AS place, count(*) OVER (PARTITION BY server, name) AS c FROM nums),
 g AS (
-  SELECT server, name, min(v) AS lowest, max(v) AS highest, avg(v) AS average, max(v) FILTER (i = c // 2 + 1) AS median, count(*) AS n, count(DISTINCT v) AS n_distinct,
+  SELECT server, name, min(v) AS lowest, max(v) AS highest, avg(v) AS average, max(v) FILTER (place = c // 2 + 1) AS median, count(*) AS n, count(DISTINCT v) AS n_distinct,
     stddev_samp(v) AS stddev, min((line_no, pat, i)) AS first FROM o GROUP BY server, name HAVING count(*) > 3)
 SELECT server, name, lowest, highest, round(average, 6) AS average, median, n, n_distinct, round(stddev, 6) AS stddev FROM g
 """)
