@@ -18,6 +18,7 @@ Merkle roots.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import zlib
@@ -209,6 +210,14 @@ _CHUNK_DDL = f"digest binary, n_ids int, width int, data binary, refs array<stru
 
 def _tokenize(tokenizer_file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # nothing here makes reference cycles, and each full collection would walk all remembered pieces
+        gc.disable()
+        try:
+            yield from chunks_of(batches)
+        finally:
+            gc.enable()
+
+    def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _workers.get(tokenizer_file) or _workers.setdefault(tokenizer_file, _Encoder(tokenizer_file))
         dtype = encoder.dtype
         end = np.array([end_id], dtype).tobytes()
