@@ -60,6 +60,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTE_CHARACTERS = _byte_characters()
+_LAST_LATIN = "\u024f"
 _MARKS = frozenset(".,;:!?")
 _SPACE, _LINE = _BYTE_CHARACTERS[0x20], _BYTE_CHARACTERS[0x0A]
 _workers: dict[str, _Encoder] = {}
@@ -73,9 +74,10 @@ class _Pieces(dict):
         self.encoder, self.tokenize, self.type = encoder, encoder.model.tokenize, encoder.type
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() and piece.isascii():  # one pre-token
-            found = array(self.type, [t.id for t in self.tokenize(_SPACE + piece)]).tobytes()
-        elif piece[-1:] in _MARKS and piece[:-1].isalpha() and piece.isascii():
+        if piece.isalpha() and (piece.isascii() or max(piece) <= _LAST_LATIN):  # one pre-token
+            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            found = array(self.type, [t.id for t in self.tokenize(_SPACE + word)]).tobytes()
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha() and (piece.isascii() or max(piece) <= _LAST_LATIN):
             found = self[piece[:-1]] + self.encoder.mark(piece[-1])
         else:
             found = self.encoder.piece(piece, " ")
@@ -102,6 +104,7 @@ class _Encoder:
         self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
         self.pieces = _Pieces(self)
         self.marks: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.type, ids).tobytes()
@@ -114,6 +117,11 @@ class _Encoder:
         """Ids of a run of punctuation, or of a line end."""
         return self.marks.get(mark) or self.marks.setdefault(mark, self.word(mark))
 
+    def start(self, letters: str) -> bytes:
+        """Ids of a Latin word that no space precedes."""
+        word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return self.starts.setdefault(letters, self.word(word))
+
     def piece(self, piece: str, lead: str) -> bytes:
         """Ids of a piece, after a space if ``lead`` is one."""
         out = []
@@ -122,14 +130,12 @@ class _Encoder:
             if not found:
                 return b"".join([self.word(word) for word, _ in self.pre.pre_tokenize_str(lead + piece)])
             letters, marks = found.groups()
-            if i == 0 and lead and (marks or "\n" in piece):
+            if lead and not i:
                 out.append(self.pieces[letters])
             else:
-                if not letters.isascii():
-                    letters = letters.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
                 if i:
                     out.append(self.mark(_LINE))
-                out.append(self.word(_SPACE + letters if lead and not i else letters))
+                out.append(self.starts.get(letters) or self.start(letters))
             if marks:
                 out.append(self.mark(marks))
         return b"".join(out)
@@ -146,6 +152,7 @@ class _Encoder:
         """The ids of each text, as bytes."""
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
+            self.starts.clear()
         split = [self._split(text) for text in texts]
         whole = [text for text, parts in zip(texts, split) if parts is None]
         plain = iter([self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
@@ -273,9 +280,8 @@ def write_store(
     # of equal chunks from different batches the first keeps its bytes; all keep their references
     first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("refs")[0][ROW_ID]))
     held = chunks.withColumn("first", first)
-    held.select("digest", "n_ids", "width", F.when(F.col("first") == 1, F.col("data")).alias("data"), "refs").write.option(
-        "compression", "zstd"
-    ).parquet(f"{path}/chunks")
+    rows = held.select("digest", "n_ids", "width", F.when(F.col("first") == 1, F.col("data")).alias("data"), "refs")
+    rows.write.option("compression", "lz4_raw").parquet(f"{path}/chunks")  # ids hardly shrink more under slower codecs
 
     stored = spark.read.parquet(f"{path}/chunks")
     refs = stored.select("digest", "n_ids", F.explode("refs").alias("r")).select(
