@@ -28,15 +28,17 @@ def lookup_keys(config: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("server_id", place).alias("server_id"), F.min(place).alias("key_order"))
 
 
-#: Most lookup keys that are broadcast; with more, only the exact matches are looked up by joins.
-BROADCAST_KEYS = 10_000
+def _substrings(text: Column) -> Column:
+    """All distinct substrings, the empty one included; a file name of n characters has n * (n + 1) / 2 at most."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
+    from_start = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - i + 1)), lambda n: F.substring(text, i, n)))
+    return F.array_distinct(F.flatten(from_start))
 
 
 def match_servers(files: DataFrame, keys: DataFrame, column: str = "log_file") -> DataFrame:
     """Add server_id to each distinct file: by path, file name, base name, then the first key within the base name; else UNKNOWN.
 
-    The first three are equi-joins.  Only files without such a match are compared with every key, which is a
-    configuration of checked size.
+    The first three are equi-joins.  So is the last: files without such a match are joined by the substrings of their base names.
     """
     rows = files.select(column).distinct()
     rows = rows.withColumns({"k0": F.col(column), "k1": file_name(F.col(column)), "k2": base_name(F.col(column))})
@@ -45,11 +47,9 @@ def match_servers(files: DataFrame, keys: DataFrame, column: str = "log_file") -
         rows = rows.join(exact, f"k{i}", "left")
     rows = rows.withColumn("found", F.coalesce("s0", "s1", "s2"))
     done, open_ = rows.where("found is not null"), rows.where("found is null")
-    number = keys.count()
-    if number > BROADCAST_KEYS:
-        raise ValueError(f"{number} lookup keys; at most {BROADCAST_KEYS} can be matched by substring")
-    within = F.contains(F.lower("k2"), F.lower(F.col("key")))
-    partial = open_.join(F.broadcast(keys), within, "left").groupBy(column).agg(F.min_by("server_id", "key_order").alias("found"))
+    low = keys.groupBy(F.lower("key").alias("part")).agg(F.min_by("server_id", "key_order").alias("server_id"), F.min("key_order").alias("key_order"))
+    parts = open_.select(column, F.explode(_substrings(F.lower("k2"))).alias("part"))
+    partial = parts.join(low, "part", "left").groupBy(column).agg(F.min_by("server_id", "key_order").alias("found"))
     both = done.select(column, "found").unionByName(partial)
     return both.select(column, F.coalesce("found", F.lit("UNKNOWN")).alias("server_id"))
 
