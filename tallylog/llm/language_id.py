@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylog.llm.shared import utf8_or_empty
+from tallylog.llm.shared import materialize, utf8_or_empty
 
 #: The bounded training sample of each language: documents, characters of each, bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 300, 220_000
@@ -33,23 +33,23 @@ def fold(id_column: Column) -> Column:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) from the documents with language and text, most frequent language first.
 
-    The sample has the SAMPLE_DOCS distinct texts of a language with the smallest hashes; it does not
-    depend on the order or number of partitions.
+    The sample has the SAMPLE_DOCS distinct texts of a language with the smallest hashes, and of each the
+    SAMPLE_CHARS characters from an offset that its hash gives; it does not depend on the order or number of partitions,
+    nor on how often a text is repeated.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where("lang is not null and text <> ''")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
-    short = rows.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    # of a frequent language only the lowest hashes can be in the sample: about 8 * SAMPLE_DOCS rows go on
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 8 * SAMPLE_DOCS / n)).otherwise(share)
-    short = short.where((F.col("hash") / float(1 << 64) + 0.5) <= share)
-    order = Window.partitionBy("lang").orderBy("hash", "text")
+    rows = rows.where("lang is not null and text <> ''").withColumn("hash", F.xxhash64("text"))
+    # copies of a text meet here, so that ranks count distinct texts
+    distinct = materialize(rows.groupBy("lang", "hash").agg(F.count("*").alias("copies")), "texts")
+    sizes = {r[0]: r[1] for r in distinct.groupBy("lang").agg(F.sum("copies")).collect()}  # a row per language
+    order = Window.partitionBy("lang").orderBy("hash")
     # Spark keeps SAMPLE_DOCS rows of each language per task before it shuffles
-    sample = short.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)
+    sample = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).drop("copies")
+    places = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)
+    part = F.substring("text", (F.pmod(F.xxhash64("hash"), places) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    parts = rows.join(F.broadcast(sample), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min(part).alias("text"))
     texts: dict[str, dict[str, None]] = {}
-    for r in sample.orderBy("lang", "rank").collect():
+    for r in parts.orderBy("lang", "rank").collect():
         texts.setdefault(r["lang"], {})[r["text"]] = None
     models = []
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):

@@ -33,6 +33,24 @@ def test_languages_of_awkward_rows(spark):
     assert language_id.predict_languages(unlabelled).first()["lang_pred"] == "und"
 
 
+def test_language_samples_count_distinct_texts(spark):
+    texts = [f"text number{i} " + " ".join(f"w{i}x{j}" for j in range(8)) for i in range(300)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text"))
+    texts = [r[0] for r in frame.collect()]
+    copied = spark.range(10_000).select(F.lit("en").alias("lang"), F.lit(texts[0]).alias("text"))
+    few = spark.range(64_000).select(F.lit("de").alias("lang"), F.element_at(F.array(*map(F.lit, texts[-5:])), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    rest = spark.createDataFrame([("en", t) for t in texts[1:60]], "lang string, text string")
+    models = dict(language_id.train(copied.union(few).union(rest)))
+    assert sorted(models["en"].decode().split("\n")) == sorted(texts[:60])
+    assert sorted(models["de"].decode().split("\n")) == sorted(texts[-5:])
+
+
+def test_language_samples_are_not_all_starts(spark):
+    rows = [("en", "licence " * 60 + " ".join(f"w{i}x{j}" for j in range(300))) for i in range(40)]
+    content = dict(language_id.train(spark.createDataFrame(rows, "lang string, text string")))["en"].decode()
+    assert sum(f"w{i}x" in content for i in range(40)) > 20 and len(content) <= 40 * (language_id.SAMPLE_CHARS + 1)
+
+
 def test_quality_held_out(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
