@@ -16,6 +16,9 @@ Plan, all of it distributed:
 4. When few pairs between components are left, all of them are listed, filtered and
    verified.  A pair is left out only if both documents are in one component already, so no link
    between components is lost, and large groups never become all their pairs.
+5. Links are counted on demand, within the components, which hold every link: the sets of the classes are sorted by
+   (component, size) and cut into blocks, and each pair of blocks that share a component and whose sizes
+   allow links is compared in one task.  Only counts leave it, so no table has a row per link.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylog.llm.components import components
-from tallylog.llm.shared import ROW_ID, materialize, with_row_ids
+from tallylog.llm.shared import ROW_ID, materialize, running_total, with_row_ids
 from tallylog.llm.words import NOT_SPACE, mix, text_blocks
 
 #: Most n-grams that are ranked by frequency: 2**18 rows of 16 bytes are the largest broadcast.
@@ -41,6 +45,10 @@ PAIRS_PER_POSTING = 8
 BROADCAST_ROWS = 500_000
 #: Cells of the histogram behind the suffix filter.
 CELLS = 64
+#: Shingles of the sets of a block whose links are counted together; a set counts SET_WEIGHT more.
+BLOCK_WEIGHT, SET_WEIGHT = 1 << 16, 128
+#: Pairs of sets that share a shingle up to which they are listed; beyond, a matrix product counts them.
+LISTED_PAIRS = 64
 _HASH_BITS = np.uint64(52)
 _HASH_MASK = np.uint64((1 << 52) - 1)
 #: Texts handled together: their number must fit the 12 bits beside a 52-bit hash.
@@ -259,18 +267,17 @@ def _open_lists(postings: DataFrame, merged: DataFrame | None) -> DataFrame:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, max_pivot_rounds: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, max_pivot_rounds: int = 4, count_links: bool = False
 ) -> DataFrame:
-    """One row per document: its set size, its component, and the links found at it.
+    """One row per document: its set size, its component, and on demand the number of its links.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of ``k``-word
     shingles (ASCII-lower-cased words between white space; a shorter text is one shingle).
 
-    Returns ``__row_id, <id_col>, n_shingles, component_id, component_row, n_links``.  component_id is the
+    Returns ``__row_id, <id_col>, n_shingles, component_id, component_row``, and with ``count_links`` also ``n_links``.  component_id is the
     smallest id reachable by links.  component_row is the smallest row id of the component; it tells
-    rows apart whose ids repeat or are null.  n_links counts verified links to documents with another set;
-    links inside a class of equal sets, and links that its component made unnecessary
-    to verify, are not counted.
+    rows apart whose ids repeat or are null.  n_links is the number of documents with another set that the
+    document links with; links inside a class of equal sets are not expanded.
 
     Null and empty texts, and texts of white space, have empty sets and link with nothing.  Repeated
     rows are documents of their own with equal sets.  An empty table gives an empty result.  Other
@@ -316,40 +323,39 @@ def near_duplicate_classes(
     members = materialize(sizes.join(taking_part, ROW_ID).select(ROW_ID, "n", "cells"), "members")
     linker = _Linker(base, members, k, percent)
 
-    links: DataFrame | None = None
     mapping: DataFrame | None = None  # first component -> component now
     for number in range(max_pivot_rounds):
         if number and not _many_pairs(postings):
             break
-        merged, found, n_found = _round(linker, _pivot_pairs(postings, percent, number), postings)
-        links = found if links is None else links.union(found)
+        merged, n_found = _round(linker, _pivot_pairs(postings, percent, number), postings)
         if not n_found:
             break
         mapping = _compose(mapping, merged)
         postings = _open_lists(postings, merged)
-    merged, found, n_found = _round(linker, _all_pairs(postings, percent), postings)
-    links = found if links is None else links.union(found)
+    merged, n_found = _round(linker, _all_pairs(postings, percent), postings)
     if n_found:
         mapping = _compose(mapping, merged)
 
-    ends = links.select(F.col("a").alias(ROW_ID)).union(links.select(F.col("b").alias(ROW_ID)))
-    degree = ends.groupBy(ROW_ID).agg(F.count("*").alias("n_links"))
     out = sizes.select(ROW_ID, "id", "n").join(same, ROW_ID, "left").withColumn("comp", F.coalesce("comp", ROW_ID))
+    number = []
+    if count_links:
+        degree = None if mapping is None else _link_counts(base, classes, mapping, k, percent)
+        out = out.withColumn("n_links", F.lit(0).cast("long")) if degree is None else out.join(degree, "comp", "left").na.fill(0, ["n_links"])
+        number = ["n_links"]
     if mapping is not None:
         out = out.join(mapping, out["comp"] == mapping["node"], "left").withColumn("comp", F.coalesce("component", "comp"))
-    out = materialize(out.select(ROW_ID, "id", "n", "comp"), "members")
+    out = materialize(out.select(ROW_ID, "id", "n", "comp", *number), "members")
     least = out.groupBy("comp").agg(F.min("id").alias("component_id"), F.min(ROW_ID).alias("component_row"), F.count("*").alias("size"))
     several = least.where("size > 1").drop("size")
     return (
         out.join(several, "comp", "left")
-        .join(degree, ROW_ID, "left")
         .select(
             ROW_ID,
             F.col("id").alias(id_col),
             F.col("n").cast("long").alias("n_shingles"),
             F.coalesce("component_id", "id").alias("component_id"),
             F.coalesce("component_row", ROW_ID).alias("component_row"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            *number,
         )
     )
 
@@ -392,8 +398,8 @@ def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("met") + after >= _need(percent)).select("a", "b")
 
 
-def _round(linker: _Linker, pairs: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Verify pairs; components of the components they join, the links, and their number."""
+def _round(linker: _Linker, pairs: DataFrame, postings: DataFrame) -> tuple[DataFrame, int]:
+    """Verify pairs; components of the components they join, and the number of links."""
     found = linker.links(pairs)
     number = found.count()
     comp = postings.select(ROW_ID, "comp").distinct()
@@ -401,7 +407,7 @@ def _round(linker: _Linker, pairs: DataFrame, postings: DataFrame) -> tuple[Data
         comp.select(F.col(ROW_ID).alias("b"), F.col("comp").alias("y")), "b"
     )
     merged = materialize(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "merged") if number else ends
-    return merged, found, number
+    return merged, number
 
 
 def _compose(mapping: DataFrame | None, merged: DataFrame) -> DataFrame:
@@ -412,3 +418,102 @@ def _compose(mapping: DataFrame | None, merged: DataFrame) -> DataFrame:
     moved = mapping.join(later, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
     new = merged.join(mapping.select("node"), "node", "left_anti")
     return materialize(moved.union(new), "mapping")
+
+
+def common_counts(grams: tuple[np.ndarray, np.ndarray], owners: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int]) -> np.ndarray:
+    """Common members of every set of the first side with every set of the second; ``owners`` tell the sets of ``grams``."""
+    values, place = np.unique(np.concatenate(grams), return_inverse=True)
+    sides = []
+    for at, owner in zip((place[: len(grams[0])], place[len(grams[0]) :]), owners):
+        order = np.argsort(at, kind="stable")
+        held = np.bincount(at, minlength=len(values))
+        sides.append((at[order], owner[order], held, np.cumsum(held) - held))
+    (at_a, owner_a, held_a, _), (at_b, owner_b, held_b, first_b) = sides
+    out = np.zeros(sizes, np.int64)
+    met = held_a * held_b
+    # shingles of few sets: list the pairs
+    mine = np.flatnonzero((met[at_a] > 0) & (met[at_a] <= LISTED_PAIRS))
+    times = held_b[at_a[mine]]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    other = owner_b[np.repeat(first_b[at_a[mine]], times) + step]
+    out += np.bincount(np.repeat(owner_a[mine], times) * sizes[1] + other, minlength=out.size).reshape(sizes)
+    # shingles of many sets: products of incidence matrices, some columns at a time; float32 is exact up to 2**24
+    many = np.flatnonzero(met > LISTED_PAIRS)
+    column = np.full(len(values), -1)
+    column[many] = np.arange(len(many))
+    for start in range(0, len(many), 4096):
+        width = min(4096, len(many) - start)
+        parts = []
+        for (at, owner, *_), size in zip(sides, sizes):
+            part = np.zeros((size, width), np.float32)
+            here = column[at] - start
+            inside = (here >= 0) & (here < width)
+            part[owner[inside], here[inside]] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _packed_sets(k: int):
+    """The set of each text as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[bytes] = []
+            for _, _, grams, n in shingle_sets(batch.column(3), k):
+                sets += [x.tobytes() for x in np.split(grams, np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["block", "node", "copies", "grams"])
+
+    return run
+
+
+def _count_links(percent: int):
+    """For two blocks, or a block and itself, the links of each set to the sets of the other, times their copies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = []
+        for side in (0, 1):
+            part = table.filter(pa.compute.equal(table["side"], side))
+            sets = [np.frombuffer(x, np.uint64) for x in part["grams"].to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            grams = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            sides.append((part["node"].to_numpy(), part["copies"].to_numpy(), n, grams, np.repeat(np.arange(len(n)), n)))
+        alone = not len(sides[1][0])
+        a, b = sides[0], sides[0] if alone else sides[1]
+        common = common_counts((a[3], b[3]), (a[4], b[4]), (len(a[2]), len(b[2])))
+        linked = 100 * common >= percent * (a[2][:, None] + b[2][None, :] - common)
+        if alone:
+            np.fill_diagonal(linked, False)
+            nodes, links = a[0], linked @ b[1]
+        else:
+            nodes, links = np.concatenate([a[0], b[0]]), np.concatenate([linked @ b[1], linked.T @ a[1]])
+        some = links > 0
+        return pa.table({"node": pa.array(nodes[some], pa.int64()), "links": pa.array(links[some].astype(np.int64))})
+
+    return run
+
+
+def _link_counts(base: DataFrame, classes: DataFrame, mapping: DataFrame, k: int, percent: int) -> DataFrame:
+    """``comp, n_links`` of the classes with links; a class is named by its first document."""
+    reps = classes.withColumnRenamed("comp", "node").join(mapping, "node")
+    reps = reps.select("component", F.col("n").cast("long").alias("n"), "node", "copies", (F.col("n") + SET_WEIGHT).cast("long").alias("weight"))
+    placed = running_total(materialize(reps, "classes"), [], ["component", "n", "node"], "weight", "before")
+    placed = placed.select("component", "n", "node", "copies", F.floor(F.col("before") / BLOCK_WEIGHT).cast("long").alias("block"))
+    placed = materialize(placed, "placed")
+
+    spans = placed.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    first = spans.select("component", F.col("block").alias("i"), "most")
+    second = spans.select("component", F.col("block").alias("j"), "least")
+    # sizes ascend within a component, so the second block has the larger sets
+    pairs = first.join(second, "component").where((F.col("i") <= F.col("j")) & (100 * F.col("most") >= percent * F.col("least")))
+    pairs = materialize(pairs.select("i", "j").distinct(), "blocks")
+
+    chosen = placed.select(F.col("node").alias(ROW_ID), "copies", "block")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    texts = base.select(ROW_ID, "text").join(chosen, ROW_ID).select("block", ROW_ID, "copies", "text")
+    sets = materialize(texts.mapInArrow(_packed_sets(k), "block long, node long, copies long, grams binary"), "sets")
+    columns = ["i", "j", "node", "copies", "grams"]
+    left = pairs.join(sets, F.col("i") == F.col("block")).select(*columns, F.lit(0).alias("side"))
+    right = pairs.where("i < j").join(sets, F.col("j") == F.col("block")).select(*columns, F.lit(1).alias("side"))
+    counted = left.union(right).groupBy("i", "j").applyInArrow(_count_links(percent), "node long, links long")
+    return counted.groupBy(F.col("node").alias("comp")).agg(F.sum("links").alias("n_links"))

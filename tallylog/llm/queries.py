@@ -40,6 +40,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents with the number of links of each, which the SQL of the query above leaves out."""
+    found = near_duplicate_classes(_documents(spark, sf_dir), count_links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, through the content-addressed store."""
     return tokenized(_documents(spark, sf_dir), TOKENIZER)
@@ -96,7 +102,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op2_token_store, op3_quality_classifier, op4_secret_scan, op5_warc,
+        op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_token_store, op3_quality_classifier, op4_secret_scan, op5_warc,
         op6_exact_dedup, op7_decontaminate, op8_mix_sources, op9_language_id, op10_pii,
     )
 }

@@ -49,6 +49,29 @@ def test_chains_of_edits_and_shared_passages(spark):
     assert mine(spark, rows) == brute(rows)
 
 
+def test_links_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    text, rows = words(rng, 60), list(awkward())
+    for i in range(60):  # near copies, most of them linked with each other, some of them repeated
+        copy = list(text)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(60)] = f"new{i}"
+        rows += [(1000 + i, " ".join(copy), "en", "a")] * rng.choice([1, 1, 3])
+    sets = [shingles(t) for _, t, *_ in rows]
+    linked = [[bool(a and b) and a != b and 100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets]
+    expected = sorted(((r[0], sum(x)) for r, x in zip(rows, linked)), key=str)
+    assert sum(n for _, n in expected) > 4 * len(rows)
+    for size, listed in ((ngram_join.BLOCK_WEIGHT, ngram_join.LISTED_PAIRS), (1500, 4)):  # one block, and many
+        monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", size)
+        monkeypatch.setattr(ngram_join, "LISTED_PAIRS", listed)
+        found = ngram_join.near_duplicate_classes(documents(spark, rows), count_links=True).collect()
+        assert sorted(((r["doc_id"], r["n_links"]) for r in found), key=str) == expected
+
+
+def test_links_of_nothing(spark):
+    assert [r["n_links"] for r in ngram_join.near_duplicate_classes(documents(spark, [(1, "one", "en", "a")]), count_links=True).collect()] == [0]
+
+
 def test_empty_table(spark):
     assert mine(spark, []) == []
 
