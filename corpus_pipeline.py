@@ -39,9 +39,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the classifier takes as good and not toxic."""
     scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where(~F.col("kept")))
+    return _without(docs, scored.where(~F.col("accepted")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ evidence's probability elsewhere, and grouped sums give each host and each path
 host is shrunk toward the global mean and a path toward its host, by prior strengths that the method of
 moments finds in the spread of the groups.  Evidence and the path's posterior odds multiply; a
 document's own share is taken out of its groups first.
+
+Toxicity is a second posterior of the same form.  Its evidence is which words occur: hashed words of all
+labelled documents are counted, words whose documents are mostly toxic, beyond chance, are kept, and
+a document adds the log-likelihood ratios of those it has.  Having none of them is evidence too, counted as one event
+because such words go together.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.llm.shared import ROW_ID, materialize, with_row_ids
-from tallylog.llm.words import NOT_SPACE, text_blocks
+from tallylog.llm.words import ALPHANUMERIC, NOT_SPACE, text_blocks
 
 #: The bounded sample of labelled documents that the model is fitted to (those with the smallest hashes).
 SAMPLE_ROWS = 20_000
@@ -29,6 +34,10 @@ MEASURES = (
     "log_words", "upper", "symbols", "digits", "bars", "shouts", "lines", "word_length", "distinct_words", "distinct_grams", "ends",
 )
 _L2 = 1e-2
+#: Cells that words are hashed to; most cells that are kept, and the chance of one being kept wrongly, over all cells.
+WORD_CELLS, TOXIC_WORDS, TOXIC_CHANCE = 1 << 18, 4096, 0.05
+#: Most labelled ids that are broadcast; beyond, texts are shuffled.
+BROADCAST_LABELS = 500_000
 
 
 def _table(chars: str) -> np.ndarray:
@@ -97,11 +106,72 @@ def measures(texts: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty((0, len(MEASURES)))
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_cells(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Some texts at a time: their number, and the distinct ``text * WORD_CELLS + cell`` of their words."""
+    for _, words in text_blocks(texts, ALPHANUMERIC):
+        cells = (words.hashes & np.uint64(WORD_CELLS - 1)).astype(np.int64)
+        yield len(words.counts), np.unique(words.owner * WORD_CELLS + cells)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per cell, documents and toxic documents with a word of it; cell -1 counts all documents."""
+    seen, toxic = np.zeros(WORD_CELLS + 1), np.zeros(WORD_CELLS + 1)
     for batch in batches:
-        x = measures(batch.column(1)).astype(np.float32)
-        lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(MEASURES), dtype=np.int32), x.ravel())
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[ROW_ID, "x"])
+        labels = batch.column(1).to_numpy()
+        row = 0
+        for texts, keys in _word_cells(batch.column(0)):
+            label = labels[row : row + texts]
+            owner, cell = np.divmod(keys, WORD_CELLS)
+            seen[:-1] += np.bincount(cell, minlength=WORD_CELLS)
+            toxic[:-1] += np.bincount(cell, label[owner], WORD_CELLS)
+            seen[-1] += texts
+            toxic[-1] += label.sum()
+            row += texts
+    some = np.flatnonzero(seen)
+    cells = np.where(some == WORD_CELLS, -1, some)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[some]), pa.array(toxic[some])], names=["cell", "seen", "toxic"])
+
+
+def toxic_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From ``text, label``: the cells of toxic words and the weight of each."""
+    counts = materialize(texts.mapInArrow(_count_words, "cell long, seen double, toxic double").groupBy("cell").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")), "words")
+    whole = counts.where("cell = -1").first()
+    none = np.empty(0, np.int64), np.empty(0)
+    if whole is None or not 0 < whole["toxic"] < whole["seen"]:
+        return none
+    n, t = whole["seen"], whole["toxic"]
+    rate, clean = F.col("toxic") / F.col("seen"), F.col("seen") - F.col("toxic")
+    # the Chernoff bound: by chance a word has so many toxic documents with probability exp(-surplus) at most
+    surplus = F.col("toxic") * F.log(rate * n / t) + F.when(clean > 0, clean * F.log((1 - rate) * n / (n - t))).otherwise(0.0)
+    often = counts.where((F.col("cell") >= 0) & (F.col("toxic") * n > F.col("seen") * t) & (2 * F.col("toxic") > F.col("seen"))).withColumn("surplus", surplus)
+    # at most TOXIC_WORDS rows reach the driver
+    top = often.where(F.col("surplus") >= float(np.log(WORD_CELLS / TOXIC_CHANCE))).orderBy(F.desc("surplus"), "cell").limit(TOXIC_WORDS).toArrow()
+    if not top.num_rows:
+        return none
+    seen, bad = top["seen"].to_numpy(), top["toxic"].to_numpy()
+    p, q = (bad + 0.5) / (t + 1), (seen - bad + 0.5) / (n - t + 1)
+    return top["cell"].to_numpy(), np.log(p / q)
+
+
+def _measure(words):
+    """Measures of each text, and the sum of the broadcast weights of its toxic words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, values = words.value
+        weights = np.zeros(WORD_CELLS)
+        weights[cells] = values
+        for batch in batches:
+            x = measures(batch.column(1)).astype(np.float32)
+            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(MEASURES), dtype=np.int32), x.ravel())
+            toxic = np.zeros(len(x))
+            row = 0
+            for texts, keys in _word_cells(batch.column(1)) if len(cells) else ():
+                owner, cell = np.divmod(keys, WORD_CELLS)
+                toxic[row : row + texts] += np.bincount(owner, weights[cell], texts)
+                row += texts
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.minimum(toxic, 8))], names=[ROW_ID, "x", "toxic_words"])
+
+    return run
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -176,6 +246,33 @@ def _strength(groups: DataFrame, mean_col: Column) -> float:
     return float(min(1e6, max(1.0, row["unit"] / between - 1)))
 
 
+def _posterior(rows: DataFrame, evidence: str, label: str, start: float, out: str) -> DataFrame:
+    """``rows`` with ``host_mean, path_mean`` (of ``label``) and the posterior ``out``."""
+    # the share of positive documents that a document stands for
+    share = F.coalesce(label, _sigmoid(F.col(evidence) + float(np.log(start / (1 - start)))))
+    rows = rows.withColumn("share", share)
+
+    paths = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("share").alias("s")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
+    mean = float(min(0.999, max(0.001, start if whole is None else whole)))
+    host_strength = _strength(hosts, F.lit(mean))
+    hosts = hosts.select(F.col("host").alias("of_host"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
+    host_mean = (F.col("host_s") + host_strength * mean) / (F.col("host_n") + host_strength)
+    path_strength = _strength(sites.withColumn("m", host_mean), F.col("m"))
+    sites = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "s", "host_n", "host_s")
+
+    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    # without the document itself
+    own_host = (F.col("host_s") - F.col("share") + host_strength * mean) / (F.col("host_n") - 1 + host_strength)
+    joined = joined.withColumn("host_mean", own_host)
+    own_path = (F.col("s") - F.col("share") + path_strength * F.col("host_mean")) / (F.col("n") - 1 + path_strength)
+    joined = joined.withColumn("path_mean", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), own_path)))
+    joined = joined.withColumn(out, _sigmoid(F.col(evidence) + _logit(F.col("path_mean"))))
+    return joined.drop("share", "site_host", "site_path", "n", "s", "host_n", "host_s")
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -184,58 +281,60 @@ def score_quality(
     host_col: str = "source",
     path_col: str = "lang",
     label_col: str = "quality",
+    toxic_col: str = "toxic",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per document: ``__row_id, <id_col>, evidence, host_mean, path_mean, quality, kept``.
+    """One row per document: ``__row_id, <id_col>, evidence, host_mean, path_mean, quality, kept,
+    toxic_evidence, toxic, accepted``.  ``kept`` is the verdict of quality alone; ``accepted`` also asks that the document is not toxic.
 
-    ``labels`` has ``<id_col>`` and 0 or 1 in ``label_col``; several labels of an id are averaged, null ones ignored.  ``path_col``
+    ``labels`` has ``<id_col>`` and 0 or 1 in ``label_col`` and ``toxic_col``; several labels of an id are averaged, null ones ignored.  ``path_col``
     names the part of the host a document belongs to.  Null hosts and paths are groups of their own.
 
     Null and empty texts have no evidence and get their path's mean.  Repeated rows are documents of their own.  Without
     labels of both classes there is no evidence, and nothing is rejected but where labels say so.  An empty table gives an empty result.
     """
     base = with_row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path")))
-    measured = base.select(ROW_ID, "text").mapInArrow(_measure, f"{ROW_ID} long, x array<float>")
     keys = base.select(ROW_ID, "id", "host", "path")
-    labelled = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.avg(label_col).alias("label"))
+    labelled = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.avg(label_col).alias("label"), F.avg(toxic_col).alias("toxic_label"))
+    labelled = materialize(labelled.where("label is not null or toxic_label is not null"), "labels")
+    marked = labelled.where("toxic_label is not null").select("label_id", "toxic_label")
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_LABELS else marked
+    marked = base.join(marked, F.col("id") == F.col("label_id")).select("text", (F.col("toxic_label") >= 0.5).cast("double").alias("label"))
+    words = docs.sparkSession.sparkContext.broadcast(toxic_words(marked))
+    measured = base.select(ROW_ID, "text").mapInArrow(_measure(words), f"{ROW_ID} long, x array<float>, toxic_words double")
     rows = measured.join(keys, ROW_ID)
     rows = materialize(rows.join(labelled, rows["id"] == labelled["label_id"], "left").drop("label_id"), "measures")
 
     sample = rows.where("label is not null").orderBy(F.xxhash64("id"), ROW_ID).limit(SAMPLE_ROWS).select("x", "label").toArrow()
     x = np.array(sample["x"].to_pylist(), float).reshape(-1, len(MEASURES))
     intercept, weights = fit(x, (sample["label"].to_numpy() >= 0.5).astype(float))
-    words = F.col("x")[0] > 0
-    rows = rows.withColumn("evidence", F.when(words, _evidence("x", intercept, weights)).otherwise(F.lit(0.0)))
-    known = rows.agg(F.avg("label").alias("mean")).first()["mean"]
-    start = float(min(0.999, max(0.001, 0.5 if known is None else known)))
-    # the share of good documents that a document stands for
-    share = F.coalesce("label", _sigmoid(F.col("evidence") + float(np.log(start / (1 - start)))))
-    rows = rows.withColumn("share", share)
-
-    paths = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("share").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    whole = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
-    mean = float(min(0.999, max(0.001, start if whole is None else whole)))
-    host_strength = _strength(hosts, F.lit(mean))
-    hosts = hosts.select(F.col("host").alias("of_host"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
-    host_mean = (F.col("host_s") + host_strength * mean) / (F.col("host_n") + host_strength)
-    path_strength = _strength(sites.withColumn("m", host_mean), F.col("m"))
-    sites = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "s", "host_n", "host_s")
-
-    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
-    # without the document itself
-    own_host = (F.col("host_s") - F.col("share") + host_strength * mean) / (F.col("host_n") - 1 + host_strength)
-    joined = joined.withColumn("host_mean", own_host)
-    own_path = (F.col("s") - F.col("share") + path_strength * F.col("host_mean")) / (F.col("n") - 1 + path_strength)
-    joined = joined.withColumn("path_mean", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), own_path)))
-    quality = _sigmoid(F.col("evidence") + _logit(F.col("path_mean")))
+    some = F.col("x")[0] > 0
+    rows = rows.withColumn("evidence", F.when(some, _evidence("x", intercept, weights)).otherwise(F.lit(0.0)))
+    without = F.when(some & (F.col("toxic_words") == 0), F.col("toxic_label"))
+    known = rows.agg(
+        F.avg("label").alias("mean"), F.avg("toxic_label").alias("toxic"),
+        F.sum(F.when(some, F.col("toxic_label"))).alias("t"), F.sum(F.when(some, 1 - F.col("toxic_label"))).alias("c"),
+        F.sum(without).alias("t0"), F.sum(1 - without).alias("c0"),
+    ).first()
+    none = float(np.log(((known["t0"] or 0) + 0.5) / ((known["t"] or 0) + 1)) - np.log(((known["c0"] or 0) + 0.5) / ((known["c"] or 0) + 1))) if len(words.value[0]) else 0.0
+    toxic = F.when(F.col("toxic_words") > 0, F.col("toxic_words")).otherwise(F.lit(max(-8.0, none)))
+    rows = rows.withColumn("toxic_evidence", F.when(some, toxic).otherwise(F.lit(0.0)))
+
+    def prior(mean: float | None, default: float) -> float:
+        return float(min(0.999, max(0.001, default if mean is None else mean)))
+
+    toxic = _posterior(rows, "toxic_evidence", "toxic_label", prior(known["toxic"], 0.0), "toxic").drop("host_mean", "path_mean")
+    joined = _posterior(toxic, "evidence", "label", prior(known["mean"], 0.5), "quality")
+    kept = F.col("quality") >= threshold
     return joined.select(
         ROW_ID,
         F.col("id").alias(id_col),
         "evidence",
         "host_mean",
         "path_mean",
-        quality.alias("quality"),
-        (quality >= threshold).alias("kept"),
+        "quality",
+        kept.alias("kept"),
+        "toxic_evidence",
+        "toxic",
+        (kept & (F.col("toxic") < threshold)).alias("accepted"),
     )

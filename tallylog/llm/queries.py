@@ -52,9 +52,9 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality posteriors of all documents; documents with ``kept`` false are rejected."""
+    """Quality and toxicity posteriors of all documents; documents with ``kept`` false are rejected by either."""
     scored = score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.select("doc_id", "evidence", "host_mean", "path_mean", "quality", "kept")
+    return scored.select("doc_id", "evidence", "host_mean", "path_mean", "quality", "toxic_evidence", "toxic", F.col("accepted").alias("kept"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,16 @@ def test_quality_held_out(spark, sf_dir):
     assert test[test.label == 1].kept.mean() > 0.97
 
 
+def test_toxic_held_out(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    found = quality.score_quality(docs, known)
+    test = found.join(labels.drop("quality").withColumnRenamed("toxic", "truth"), "doc_id").join(known.select("doc_id"), "doc_id", "left_anti").toPandas()
+    bad = test.toxic >= quality.THRESHOLD
+    assert bad[test.truth == 1].mean() > 0.7 and bad[test.truth == 0].mean() < 0.02
+    assert (test.accepted == (test.kept & ~bad)).all()
+
+
 def test_quality_shrinks_sparse_hosts(spark):
     good, bad = "a calm line of words that goes on and ends. " * 4, "BUY!! NOW!! $$$ %%% ### " * 8
     rows = [(i, good if i % 10 else bad, "en", "big") for i in range(200)] + [(1000, "", "en", "tiny"), (1001, "", "en", "poor")]
