@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ROW_ID = "__row_id"
 
 _local_dirs: dict[str, str] = {}
+#: Paths of the tables that ``materialize`` wrote, for ``discard``.
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,35 +57,77 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
 
 
-#: Logical plan nodes whose rows keep their order and place whenever they are evaluated.
-_STABLE_NODES = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "DeserializeToObject"}
+#: Logical plan nodes above one file scan that leave each row's place in its file known.
+_IN_PLACE = ("Project", "Filter", "SubqueryAlias")
+#: Most files whose paths (about 200 bytes each) are broadcast to number them; beyond, rows are written anew first.
+NUMBERED_FILES = 100_000
+
+
+def _file_names(df: DataFrame) -> list[str] | None:
+    """The files of a plain scan of Parquet files, sorted, or None for any other plan."""
+    node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return None
+    while node.nodeName() in _IN_PLACE:
+        node = node.children().apply(0)
+    if node.children().size():
+        return None
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"]).schema
+    except AnalysisException:
+        return None
+    files = sorted(_short(name) for name in df.inputFiles())
+    return files if len(files) <= NUMBERED_FILES else None
+
+
+def _short(path: str) -> str:
+    """A path with one slash after its scheme; Spark writes one or three for the same file."""
+    return re.sub("^([^:/]+):/+", r"\1:/", path)
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` if it is a plain scan of files, else what it gives, written once and read back."""
+    return df if _file_names(df) is not None else materialize(df, name)
 
 
 def with_row_ids(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` with ``__row_id``, the same for each row at every evaluation.
 
-    A scan of stored files, projected or filtered, deals its rows alike each time; anything
-    else (joins, aggregates, repartitioning) is written down first.
+    The id is the number of the row's file in the order of paths and the row's place in that file, so it does not
+    depend on how a scan is split, which changes with the number of cores.  Any other plan than a scan
+    (joins, aggregates, repartitioning) is written down first, and the ids are places in what was written.
     """
-    plan = df._jdf.queryExecution().analyzed()
-    nodes = [plan.apply(0)]
-    i = 0
-    while i < len(nodes):
-        children = nodes[i].children()
-        nodes += [children.apply(j) for j in range(children.size())]
-        i += 1
-    stable = all(node.nodeName() in _STABLE_NODES or node.nodeName().startswith("Relation") for node in nodes)
-    return (df if stable else materialize(df, name)).withColumn(ROW_ID, F.monotonically_increasing_id())
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files = _file_names(df)
+    if files is None:
+        df = materialize(df, name)
+        files = _file_names(df)
+    if files is None:
+        # more files than are numbered: few large ones are written instead
+        df = materialize(df.repartition(NUMBERED_FILES // 10), name)
+        files = _file_names(df)
+    place = df.metadataColumn("_metadata")["row_index"]
+    if len(files) < 2:
+        return df.withColumn(ROW_ID, place)
+    numbers = df.sparkSession.createDataFrame(pa.table({"__path": files, "__file": pa.array(range(len(files)), pa.int64())}))
+    path = F.regexp_replace(df.metadataColumn("_metadata")["file_path"], "^([^:/]+):/+", "$1:/")
+    marked = df.withColumns({"__path": path, "__place": place}).join(F.broadcast(numbers), "__path", "left")
+    # a file that is not in the list would be an error of this function
+    number = F.when(F.col("__file").isNull(), F.raise_error(F.concat(F.lit("file without a number: "), "__path")).cast("long")).otherwise(F.col("__file"))
+    return marked.select(*df.columns, (F.shiftleft(number, 40) + F.col("__place")).alias(ROW_ID))
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    path = _tables.pop(df, None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def utf8_or_empty(column: Column) -> Column:
