@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.shared import materialize
+from tallylog.llm.shared import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        last, now = now, materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

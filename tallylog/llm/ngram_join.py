@@ -13,10 +13,11 @@ Plan, all of it distributed:
    posting list one pivot, the most central member first, is paired with the members that are not yet in its
    component; pairs pass the length, positional and suffix filters, are verified
    once, and components grow.  A list that lies in one component is dropped.
-4. When few pairs between components are left, all of them are listed, filtered and
-   verified.  A pair is left out only if both documents are in one component already, so no link
-   between components is lost, and large groups never become all their pairs.
-5. Links are counted on demand, within the components, which hold every link: the sets of the classes are sorted by
+4. What then is left of the lists is compared in blocks: a long list is cut by set size and hash, and each pair of blocks
+   whose sizes allow links is one group.  Only pairs of different components that pass the filters leave it, so a
+   list of documents that do not link with each other gives no rows.  A pair is left out only if both documents are in one
+   component already, so no link between components is lost.
+5. Links are counted within the components, which hold every link: the sets of the classes are sorted by
    (component, size) and cut into blocks, and each pair of blocks that share a component and whose sizes
    allow links is compared in one task.  Only counts leave it, so no table has a row per link.
 """
@@ -32,15 +33,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylog.llm.components import components
-from tallylog.llm.shared import ROW_ID, materialize, running_total, with_row_ids
+from tallylog.llm.shared import ROW_ID, discard, materialize, running_total, with_row_ids
 from tallylog.llm.words import NOT_SPACE, mix, text_blocks
 
 #: Most n-grams that are ranked by frequency: 2**18 rows of 16 bytes are the largest broadcast.
 HEAVY = 1 << 18
 #: N-grams counted together before frequent ones are passed on.
 COUNT_WINDOW = 1 << 22
-#: Pairs per posting up to which the last round lists all pairs between components; the filters keep few of them.
-PAIRS_PER_POSTING = 8
+#: Pairs between components per posting beyond which another round of pivots comes first, and most such rounds.
+PAIRS_PER_POSTING, PIVOT_ROUNDS = 8, 4
+#: Postings of a block of a long list, and of the short lists that are compared in one group.
+BLOCK_POSTINGS = 1 << 12
+#: Pairs of postings that the filters test at once, and of documents whose histograms are compared at once.
+PAIRS_AT_ONCE, CELLS_AT_ONCE = 1 << 21, 1 << 15
+#: Most that a cell of a histogram counts where lists are compared; two sets with such cells are not told apart by them.
+MOST = 127
 #: Most documents of candidate pairs whose ids (8 bytes each) are broadcast; beyond, texts are shuffled.
 BROADCAST_ROWS = 500_000
 #: Cells of the histogram behind the suffix filter.
@@ -257,6 +264,12 @@ def _position_ok(percent: int) -> Column:
     return in_prefixes & (before + after >= need)
 
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Prefix entries of n-grams that several documents have.  Lists are counted before they are shuffled, and a long one is split where it is joined."""
+    lists = prefixes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    return prefixes.join(lists, "gram")
+
+
 def _open_lists(postings: DataFrame, merged: DataFrame | None) -> DataFrame:
     """Postings under their new components, without lists that lie in one component."""
     if merged is not None:
@@ -267,17 +280,18 @@ def _open_lists(postings: DataFrame, merged: DataFrame | None) -> DataFrame:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, max_pivot_rounds: int = 4, count_links: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, count_links: bool = False
 ) -> DataFrame:
     """One row per document: its set size, its component, and on demand the number of its links.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of ``k``-word
-    shingles (ASCII-lower-cased words between white space; a shorter text is one shingle).
+    shingles (ASCII-lower-cased words between white space; a shorter text is one shingle).  Shingles are compared by
+    52-bit hashes: two of a pair's shingles are taken as one by chance with probability 2**-52 each.
 
     Returns ``__row_id, <id_col>, n_shingles, component_id, component_row``, and with ``count_links`` also ``n_links``.  component_id is the
-    smallest id reachable by links.  component_row is the smallest row id of the component; it tells
-    rows apart whose ids repeat or are null.  n_links is the number of documents with another set that the
-    document links with; links inside a class of equal sets are not expanded.
+    smallest id reachable by links.  component_row is the row id of the document with that id (the smallest row id of
+    several); it tells rows apart whose ids repeat or are null.  n_links is the number of other documents that the
+    document links with, copies included; those of equal sets are counted by their number, not expanded.
 
     Null and empty texts, and texts of white space, have empty sets and link with nothing.  Repeated
     rows are documents of their own with equal sets.  An empty table gives an empty result.  Other
@@ -297,63 +311,66 @@ def near_duplicate_classes(
     prefixes = base.select(ROW_ID, "text").mapInArrow(
         _prefixes(k, percent, heavy), f"gram long, {ROW_ID} long, n int, pos int"
     )
-    together = Window.partitionBy("gram").orderBy(F.xxhash64(ROW_ID), ROW_ID)
-    shared = (
-        prefixes.withColumn("before", F.lag(ROW_ID).over(together))
-        .withColumn("after", F.lead(ROW_ID).over(together))
-        .where(F.col("before").isNotNull() | F.col("after").isNotNull())
-        .select("gram", ROW_ID, "n", "pos")
-    )
-    shared = materialize(shared, "postings")
+    prefixes = materialize(prefixes, "prefixes")
     classes = materialize(
         sizes.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min(ROW_ID).alias("comp"), F.count("*").alias("copies")),
         "classes",
     )
-    same = sizes.where("n > 0").join(classes.where("copies > 1"), ["n", "fp_a", "fp_b"]).select(ROW_ID, "comp")
+    same = sizes.where("n > 0").join(classes.where("copies > 1"), ["n", "fp_a", "fp_b"]).select(ROW_ID, "comp", "copies")
     same = materialize(same, "same")
     # of the copies that different tasks passed on, each list keeps one
     postings = (
-        shared.join(same, ROW_ID, "left")
+        _shared(prefixes).join(same.select(ROW_ID, "comp"), ROW_ID, "left")
         .groupBy("gram", F.coalesce("comp", ROW_ID).alias("comp"))
         .agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
         .select("gram", F.col("comp").alias(ROW_ID), "comp", "n", "pos")
     )
-    postings = _open_lists(postings, None)
+    entries = materialize(postings, "postings")
+    postings = _open_lists(entries, None)
+    discard(prefixes)
+    discard(entries)
     taking_part = materialize(postings.select(ROW_ID).distinct(), "members")
     members = materialize(sizes.join(taking_part, ROW_ID).select(ROW_ID, "n", "cells"), "members")
+    discard(taking_part)
     linker = _Linker(base, members, k, percent)
 
     mapping: DataFrame | None = None  # first component -> component now
-    for number in range(max_pivot_rounds):
+    for number in range(PIVOT_ROUNDS):
         if number and not _many_pairs(postings):
             break
         merged, n_found = _round(linker, _pivot_pairs(postings, percent, number), postings)
         if not n_found:
             break
-        mapping = _compose(mapping, merged)
+        mapping, before = _compose(mapping, merged), postings
         postings = _open_lists(postings, merged)
-    merged, n_found = _round(linker, _all_pairs(postings, percent), postings)
+        discard(before)
+    merged, n_found = _round(linker, _block_pairs(postings, members, percent), postings)
     if n_found:
         mapping = _compose(mapping, merged)
+    discard(postings)
 
     out = sizes.select(ROW_ID, "id", "n").join(same, ROW_ID, "left").withColumn("comp", F.coalesce("comp", ROW_ID))
     number = []
     if count_links:
+        copies = F.coalesce(F.col("copies"), F.lit(1)) - 1
         degree = None if mapping is None else _link_counts(base, classes, mapping, k, percent)
-        out = out.withColumn("n_links", F.lit(0).cast("long")) if degree is None else out.join(degree, "comp", "left").na.fill(0, ["n_links"])
+        if degree is not None:
+            out = out.join(degree, "comp", "left")
+            copies = copies + F.coalesce("links", F.lit(0))
+        out = out.withColumn("n_links", copies.cast("long"))
         number = ["n_links"]
     if mapping is not None:
         out = out.join(mapping, out["comp"] == mapping["node"], "left").withColumn("comp", F.coalesce("component", "comp"))
     out = materialize(out.select(ROW_ID, "id", "n", "comp", *number), "members")
-    least = out.groupBy("comp").agg(F.min("id").alias("component_id"), F.min(ROW_ID).alias("component_row"), F.count("*").alias("size"))
-    several = least.where("size > 1").drop("size")
+    least = out.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("size")).where("size > 1")
+    first = out.join(least, "comp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("comp", "component_id").agg(F.min(ROW_ID).alias("component_row"))
     return (
-        out.join(several, "comp", "left")
+        out.join(first, "comp", "left")
         .select(
             ROW_ID,
             F.col("id").alias(id_col),
             F.col("n").cast("long").alias("n_shingles"),
-            F.coalesce("component_id", "id").alias("component_id"),
+            F.when(F.col("component_row").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
             F.coalesce("component_row", ROW_ID).alias("component_row"),
             *number,
         )
@@ -375,27 +392,100 @@ def _pivot_pairs(postings: DataFrame, percent: int, number: int) -> DataFrame:
     rarer n-grams, so it is the most central.  Later it is a random one.
     """
     lead = F.col("pos") if number == 0 else F.lit(0)
-    order = Window.partitionBy("gram").orderBy(lead, F.xxhash64(F.lit(number), ROW_ID), ROW_ID)
-    pivot = F.first(F.struct(ROW_ID, "comp", "n", "pos")).over(order)
-    rows = postings.withColumn("pivot", pivot).where("comp <> pivot.comp")
-    rows = rows.select(
-        F.least(ROW_ID, f"pivot.{ROW_ID}").alias("a"), F.greatest(ROW_ID, f"pivot.{ROW_ID}").alias("b"),
-        F.col("n").alias("na"), F.col("pivot.n").alias("nb"), F.col("pos").alias("pa"), F.col("pivot.pos").alias("pb"),
-    )
-    return rows.where(_length_ok(percent) & _position_ok(percent)).select("a", "b").distinct()
+    least = F.struct(lead.alias("lead"), F.xxhash64(F.lit(number), ROW_ID).alias("draw"), F.col(ROW_ID).alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    pivots = postings.groupBy("gram").agg(F.min(least).alias("pivot")).select("gram", "pivot.b", "pivot.comp_b", "pivot.nb", "pivot.pb")
+    rows = postings.select("gram", F.col(ROW_ID).alias("a"), "comp", F.col("n").alias("na"), F.col("pos").alias("pa")).join(pivots, "gram")
+    rows = rows.where((F.col("comp") != F.col("comp_b")) & _length_ok(percent) & _position_ok(percent))
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _compare(percent: int):
+    """Pairs of postings of one list that pass the filters, of one side with itself or of both sides with each other."""
 
-def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Every pair of members of a list in different components, with exact prefix overlaps."""
-    left = postings.select("gram", F.col(ROW_ID).alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = postings.select("gram", F.col(ROW_ID).alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    apart = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
-    joined = left.join(right, "gram").where(apart & _length_ok(percent) & _position_ok(percent))
-    met = joined.groupBy("a", "b").agg(
-        F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb")
+    def run(table: pa.Table) -> pa.Table:
+        gram, row, comp, n, pos, side = (table[c].to_numpy() for c in ("gram", ROW_ID, "comp", "n", "pos", "side"))
+        order = np.lexsort((n, gram))
+        gram, row, comp, n, pos, side = (x[order] for x in (gram, row, comp, n.astype(np.int64), pos.astype(np.int64), side))
+        two = bool(side.any())
+        rows, first, member = np.unique(row, return_index=True, return_inverse=True)
+        cells = table["cells"].combine_chunks().flatten().to_numpy().reshape(-1, CELLS)[order[first]]
+        size, full = n[first], (cells == MOST).any(axis=1)
+        # each posting with those after it in its list, up to the largest size that it can link with
+        at = np.arange(len(gram))
+        ends = np.searchsorted(gram, gram, side="right")
+        step = np.int64(1) << 32
+        place = np.unique(gram, return_inverse=True)[1].astype(np.int64) * step
+        last = np.minimum(ends, np.searchsorted(place + n, place + 100 * n // percent, side="right"))
+        times = last - at - 1
+        found: list[np.ndarray] = []
+        begin, total = 0, np.concatenate([[0], np.cumsum(times)])
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS_AT_ONCE, side="right")) - 1)
+            x = np.repeat(at[begin:stop], times[begin:stop])
+            y = x + 1 + np.arange(len(x)) - np.repeat(total[begin:stop] - total[begin], times[begin:stop])
+            keep = comp[x] != comp[y]
+            if two:
+                keep &= side[x] != side[y]
+            x, y = x[keep], y[keep]
+            need = -(-(n[x] + n[y]) * percent // (100 + percent))
+            keep = (pos[x] <= n[x] - need) & (pos[y] <= n[y] - need)
+            keep &= np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
+            x, y = member[x[keep]], member[y[keep]]
+            # n-grams that a pair has in common bring it up again and again
+            pairs = np.unique(np.minimum(x, y) * len(rows) + np.maximum(x, y))
+            for i in range(0, len(pairs), CELLS_AT_ONCE):
+                x, y = np.divmod(pairs[i : i + CELLS_AT_ONCE], max(1, len(rows)))
+                room = np.minimum(cells[x], cells[y]).sum(axis=1, dtype=np.int64)
+                keep = (room >= -(-(size[x] + size[y]) * percent // (100 + percent))) | (full[x] & full[y])
+                x, y = rows[x[keep]], rows[y[keep]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            begin = stop
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def _block_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Every pair of members of a list in different components that passes the length, positional and suffix filters.
+
+    A list of more than BLOCK_POSTINGS is cut by size class, so that sizes that can link are in equal or neighbouring classes, and
+    a class by hash; each pair of such blocks is a group.  Short lists share groups.
+    """
+    size_class = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    cells = members.select(ROW_ID, F.transform("cells", lambda c: F.least(c, F.lit(MOST)).cast("tinyint")).alias("cells"))
+    rows = postings.join(cells, ROW_ID).withColumn("class", size_class)
+    # one row per list and class; parts of a class are numbered from 0
+    counts = materialize(postings.withColumn("class", size_class).groupBy("gram", "class").agg(F.count("*").alias("m")), "counts")
+    lists = counts.groupBy("gram").agg(F.sum("m").alias("all"))
+    short = lists.where(F.col("all") <= BLOCK_POSTINGS).select("gram")
+    groups = max(1, -(-postings.count() // BLOCK_POSTINGS))
+    columns = ["gram", ROW_ID, "comp", "n", "pos", "cells"]
+    few = rows.join(short, "gram").select(
+        F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), *[F.lit(0).alias(c) for c in ("class_a", "part_a", "class_b", "part_b")], *columns, F.lit(0).alias("side")
     )
-    after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return met.where(F.col("met") + after >= _need(percent)).select("a", "b")
+    long = lists.where(F.col("all") > BLOCK_POSTINGS).select("gram")
+    parts = counts.join(long, "gram").select("gram", "class", F.ceil(F.col("m") / BLOCK_POSTINGS).cast("int").alias("parts"))
+    above = parts.select("gram", (F.col("class") - 1).alias("class"), F.col("parts").alias("parts_above"))
+    below = parts.select("gram", (F.col("class") + 1).alias("class"), F.col("parts").alias("parts_below"))
+    parts = parts.join(above, ["gram", "class"], "left").join(below, ["gram", "class"], "left").na.fill(0, ["parts_above", "parts_below"])
+    cut = rows.join(parts, ["gram", "class"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), ROW_ID), F.col("parts")).cast("int"))
+
+    def block(class_a, part_a, class_b, part_b, side):
+        return F.struct(class_a.alias("class_a"), part_a.alias("part_a"), class_b.alias("class_b"), part_b.alias("part_b"), F.lit(side).alias("side"))
+
+    def upto(n):
+        return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
+
+    cls, part = F.col("class"), F.col("part")
+    own = F.transform(upto(F.col("parts")), lambda i: F.when(part <= i, block(cls, part, cls, i, 0)).otherwise(block(cls, i, cls, part, 1)))
+    up = F.transform(upto(F.col("parts_above")), lambda i: block(cls, part, cls + 1, i, 0))
+    down = F.transform(upto(F.col("parts_below")), lambda i: block(cls - 1, i, cls, part, 1))
+    many = cut.select(F.col("gram").alias("group"), *columns, F.explode(F.concat(own, up, down)).alias("block"))
+    many = many.select("group", "block.class_a", "block.part_a", "block.class_b", "block.part_b", *columns, "block.side")
+    schema = "a long, b long"
+    found = few.union(many).groupBy("group", "class_a", "part_a", "class_b", "part_b").applyInArrow(_compare(percent), schema)
+    return found.distinct()
 
 
 def _round(linker: _Linker, pairs: DataFrame, postings: DataFrame) -> tuple[DataFrame, int]:
@@ -516,4 +606,4 @@ def _link_counts(base: DataFrame, classes: DataFrame, mapping: DataFrame, k: int
     left = pairs.join(sets, F.col("i") == F.col("block")).select(*columns, F.lit(0).alias("side"))
     right = pairs.where("i < j").join(sets, F.col("j") == F.col("block")).select(*columns, F.lit(1).alias("side"))
     counted = left.union(right).groupBy("i", "j").applyInArrow(_count_links(percent), "node long, links long")
-    return counted.groupBy(F.col("node").alias("comp")).agg(F.sum("links").alias("n_links"))
+    return counted.groupBy(F.col("node").alias("comp")).agg(F.sum("links").alias("links"))

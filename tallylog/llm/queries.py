@@ -35,13 +35,7 @@ def _spans_text(spans: Column) -> Column:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents."""
-    found = near_duplicate_classes(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_shingles", "component_id")
-
-
-def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents with the number of links of each, which the SQL of the query above leaves out."""
+    """Near-duplicate components of all documents, and the number of links of each."""
     found = near_duplicate_classes(_documents(spark, sf_dir), count_links=True)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
@@ -102,7 +96,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_token_store, op3_quality_classifier, op4_secret_scan, op5_warc,
+        op1_ngram_jaccard_join, op2_token_store, op3_quality_classifier, op4_secret_scan, op5_warc,
         op6_exact_dedup, op7_decontaminate, op8_mix_sources, op9_language_id, op10_pii,
     )
 }
@@ -182,9 +176,11 @@ p AS (
   FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
-SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.root) AS component_id
-FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, len(sh)
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM s JOIN c ON c.doc_id = s.doc_id LEFT JOIN k ON k.doc_id = s.doc_id
 """
 
 ORACLE_SQL["op5_warc"] = r"""

@@ -58,7 +58,7 @@ def test_links_equal_brute_force(spark, monkeypatch):
             copy[rng.randrange(60)] = f"new{i}"
         rows += [(1000 + i, " ".join(copy), "en", "a")] * rng.choice([1, 1, 3])
     sets = [shingles(t) for _, t, *_ in rows]
-    linked = [[bool(a and b) and a != b and 100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets]
+    linked = [[i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
     expected = sorted(((r[0], sum(x)) for r, x in zip(rows, linked)), key=str)
     assert sum(n for _, n in expected) > 4 * len(rows)
     for size, listed in ((ngram_join.BLOCK_WEIGHT, ngram_join.LISTED_PAIRS), (1500, 4)):  # one block, and many
@@ -68,6 +68,26 @@ def test_links_equal_brute_force(spark, monkeypatch):
         assert sorted(((r["doc_id"], r["n_links"]) for r in found), key=str) == expected
 
 
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    """Lists of a few postings are long here, and no round of pivots comes first, so blocks find all links."""
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+    for size, at_once in ((3, 5), (7, 1 << 20), (1 << 12, 50)):
+        monkeypatch.setattr(ngram_join, "BLOCK_POSTINGS", size)
+        monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", at_once)
+        assert mine(spark, awkward()) == brute(awkward())
+
+
+def test_many_that_share_but_do_not_link(spark):
+    """20,000 documents whose prefixes share n-grams, without a link: the lists are compared in blocks, and their pairs do not leave them."""
+    rng = random.Random(11)
+    # each has 30 of 60 passages, so any n-gram is in half of the documents and pairs have a third in common
+    passages = [" ".join(f"p{i}w{j}" for j in range(9)) for i in range(60)]
+    rows = [(i, " ".join(rng.sample(passages, 30)), "en", "a") for i in range(20_000)]
+    found = ngram_join.near_duplicate_classes(documents(spark, rows), count_links=True)
+    assert found.where("n_links > 0 or component_id <> doc_id").count() == 0
+    assert found.count() == len(rows)
+
+
 def test_links_of_nothing(spark):
     assert [r["n_links"] for r in ngram_join.near_duplicate_classes(documents(spark, [(1, "one", "en", "a")]), count_links=True).collect()] == [0]
 
