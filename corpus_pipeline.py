@@ -16,7 +16,7 @@ from tallylog.llm.decontaminate import decontaminate
 from tallylog.llm.mixing import mix_sources
 from tallylog.llm.ngram_join import near_duplicate_classes
 from tallylog.llm.quality import score_quality
-from tallylog.llm.shared import ROW_ID, WORD_PATTERN, materialize, with_row_ids
+from tallylog.llm.shared import ROW_ID, WORD_PATTERN, materialize, stored, with_row_ids
 from tallylog.llm.token_store import tokenized
 
 TOKENIZER = os.environ.get("TALLYLOG_TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
@@ -26,12 +26,12 @@ _SPACE = r"[\x20\x09-\x0D]"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """``doc`` (all columns of a row, whatever their names) and its row id."""
+    """``doc`` (all columns of a row, whatever their names) and its row id; ``docs`` is stored, so operators give its rows the same ids."""
     return with_row_ids(docs.select(F.struct("*").alias("doc")))
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows of ``dropped``, by row id; both count rows of the same table."""
+    """``docs``, which is stored, less the rows of ``dropped``, by row id."""
     dropped = materialize(dropped.select(ROW_ID), "dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
@@ -40,6 +40,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes as good and not toxic."""
+    docs = stored(docs)
     scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, scored.where(~F.col("accepted")))
 
@@ -49,19 +50,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of a component the row with the smallest row id stays, so repeated and null ids lose no component.
     """
+    docs = stored(docs)
     found = near_duplicate_classes(docs)
     return _without(docs, found.where(F.col("component_row") != F.col(ROW_ID)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
+    docs = stored(docs)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.where("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's budget takes it, the one at the cut in part."""
-    base = _packed(docs)
+    base = _packed(stored(docs))
     inputs = base.select("doc.doc_id", "doc.text", "doc.source", ROW_ID)
     mixed = mix_sources(inputs, carry=(ROW_ID,)).where("taken > 0").select(ROW_ID, "size", "taken")
     copies = F.transform(
