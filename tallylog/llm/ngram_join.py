@@ -145,8 +145,8 @@ def _survey(k: int):
 
 
 def _prefixes(k: int, percent: int, heavy):
-    """Prefix n-grams with set size and position; sets seen before in the task are left out."""
-    schema = pa.schema([("gram", pa.int64()), (ROW_ID, pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    """Prefix n-grams with set size and position, and whether it is a ranked one; sets seen before in the task are left out."""
+    schema = pa.schema([("gram", pa.int64()), (ROW_ID, pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("ranked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = heavy.value  # sorted hashes and the rank of each
@@ -180,6 +180,7 @@ def _prefixes(k: int, percent: int, heavy):
                         pa.array(ids[row + mine]),
                         pa.array(n[mine].astype(np.int32)),
                         pa.array(pos[keep].astype(np.int32)),
+                        pa.array(key[order[keep]] >= np.uint64(1 << 51)),
                     ],
                     schema=schema,
                 )
@@ -265,9 +266,14 @@ def _position_ok(percent: int) -> Column:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Prefix entries of n-grams that several documents have.  Lists are counted before they are shuffled, and a long one is split where it is joined."""
-    lists = prefixes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    return prefixes.join(lists, "gram")
+    """Prefix entries of n-grams that several documents have.
+
+    Ranked n-grams are known to be shared, so their entries stay wherever they are and only the others look for a neighbour:
+    a frequent n-gram never gathers in one task.
+    """
+    together = Window.partitionBy("gram", F.when(F.col("ranked"), F.col(ROW_ID))).orderBy(ROW_ID)
+    met = F.lag(ROW_ID).over(together).isNotNull() | F.lead(ROW_ID).over(together).isNotNull()
+    return prefixes.withColumn("met", met).where("met or ranked").select("gram", ROW_ID, "n", "pos")
 
 
 def _open_lists(postings: DataFrame, merged: DataFrame | None) -> DataFrame:
@@ -309,9 +315,9 @@ def near_duplicate_classes(
     heavy = spark.sparkContext.broadcast((grams[order], order.astype(np.uint64)))
 
     prefixes = base.select(ROW_ID, "text").mapInArrow(
-        _prefixes(k, percent, heavy), f"gram long, {ROW_ID} long, n int, pos int"
+        _prefixes(k, percent, heavy), f"gram long, {ROW_ID} long, n int, pos int, ranked boolean"
     )
-    prefixes = materialize(prefixes, "prefixes")
+    shared = materialize(_shared(prefixes), "postings")
     classes = materialize(
         sizes.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min(ROW_ID).alias("comp"), F.count("*").alias("copies")),
         "classes",
@@ -320,14 +326,14 @@ def near_duplicate_classes(
     same = materialize(same, "same")
     # of the copies that different tasks passed on, each list keeps one
     postings = (
-        _shared(prefixes).join(same.select(ROW_ID, "comp"), ROW_ID, "left")
+        shared.join(same.select(ROW_ID, "comp"), ROW_ID, "left")
         .groupBy("gram", F.coalesce("comp", ROW_ID).alias("comp"))
         .agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
         .select("gram", F.col("comp").alias(ROW_ID), "comp", "n", "pos")
     )
     entries = materialize(postings, "postings")
     postings = _open_lists(entries, None)
-    discard(prefixes)
+    discard(shared)
     discard(entries)
     taking_part = materialize(postings.select(ROW_ID).distinct(), "members")
     members = materialize(sizes.join(taking_part, ROW_ID).select(ROW_ID, "n", "cells"), "members")
@@ -453,38 +459,34 @@ def _block_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataF
     a class by hash; each pair of such blocks is a group.  Short lists share groups.
     """
     size_class = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
-    cells = members.select(ROW_ID, F.transform("cells", lambda c: F.least(c, F.lit(MOST)).cast("tinyint")).alias("cells"))
-    rows = postings.join(cells, ROW_ID).withColumn("class", size_class)
-    # one row per list and class; parts of a class are numbered from 0
-    counts = materialize(postings.withColumn("class", size_class).groupBy("gram", "class").agg(F.count("*").alias("m")), "counts")
-    lists = counts.groupBy("gram").agg(F.sum("m").alias("all"))
-    short = lists.where(F.col("all") <= BLOCK_POSTINGS).select("gram")
-    groups = max(1, -(-postings.count() // BLOCK_POSTINGS))
-    columns = ["gram", ROW_ID, "comp", "n", "pos", "cells"]
-    few = rows.join(short, "gram").select(
-        F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), *[F.lit(0).alias(c) for c in ("class_a", "part_a", "class_b", "part_b")], *columns, F.lit(0).alias("side")
-    )
-    long = lists.where(F.col("all") > BLOCK_POSTINGS).select("gram")
-    parts = counts.join(long, "gram").select("gram", "class", F.ceil(F.col("m") / BLOCK_POSTINGS).cast("int").alias("parts"))
+    rows = postings.withColumn("class", size_class)
+    counts = rows.groupBy("gram", "class").agg(F.count("*").alias("m"))
+    long = counts.groupBy("gram").agg(F.sum("m").alias("all")).where(F.col("all") > BLOCK_POSTINGS).select("gram")
+    # one row per long list and class: its parts, and those of the neighbouring classes
+    parts = materialize(counts.join(long, "gram").select("gram", "class", F.ceil(F.col("m") / BLOCK_POSTINGS).cast("int").alias("parts")), "parts")
     above = parts.select("gram", (F.col("class") - 1).alias("class"), F.col("parts").alias("parts_above"))
     below = parts.select("gram", (F.col("class") + 1).alias("class"), F.col("parts").alias("parts_below"))
-    parts = parts.join(above, ["gram", "class"], "left").join(below, ["gram", "class"], "left").na.fill(0, ["parts_above", "parts_below"])
-    cut = rows.join(parts, ["gram", "class"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), ROW_ID), F.col("parts")).cast("int"))
+    parts = materialize(parts.join(above, ["gram", "class"], "left").join(below, ["gram", "class"], "left").na.fill(0, ["parts_above", "parts_below"]), "parts")
+    cut = rows.join(parts, ["gram", "class"], "left").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), ROW_ID), F.col("parts")).cast("int"))
+
+    keys = ("group", "class_a", "part_a", "class_b", "part_b", "side")
 
-    def block(class_a, part_a, class_b, part_b, side):
-        return F.struct(class_a.alias("class_a"), part_a.alias("part_a"), class_b.alias("class_b"), part_b.alias("part_b"), F.lit(side).alias("side"))
+    def block(*values):
+        return F.struct(*[v.alias(k) for v, k in zip(values, keys)])
 
     def upto(n):
         return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
 
-    cls, part = F.col("class"), F.col("part")
-    own = F.transform(upto(F.col("parts")), lambda i: F.when(part <= i, block(cls, part, cls, i, 0)).otherwise(block(cls, i, cls, part, 1)))
-    up = F.transform(upto(F.col("parts_above")), lambda i: block(cls, part, cls + 1, i, 0))
-    down = F.transform(upto(F.col("parts_below")), lambda i: block(cls - 1, i, cls, part, 1))
-    many = cut.select(F.col("gram").alias("group"), *columns, F.explode(F.concat(own, up, down)).alias("block"))
-    many = many.select("group", "block.class_a", "block.part_a", "block.class_b", "block.part_b", *columns, "block.side")
-    schema = "a long, b long"
-    found = few.union(many).groupBy("group", "class_a", "part_a", "class_b", "part_b").applyInArrow(_compare(percent), schema)
+    gram, cls, part, left, right = F.col("gram"), F.col("class"), F.col("part"), F.lit(0), F.lit(1)
+    own = F.transform(upto(F.col("parts")), lambda i: F.when(part <= i, block(gram, cls, part, cls, i, left)).otherwise(block(gram, cls, i, cls, part, right)))
+    up = F.transform(upto(F.col("parts_above")), lambda i: block(gram, cls, part, cls + 1, i, left))
+    down = F.transform(upto(F.col("parts_below")), lambda i: block(gram, cls - 1, i, cls, part, right))
+    groups = max(1, -(-postings.count() // BLOCK_POSTINGS))
+    short = F.array(block(F.pmod(F.xxhash64("gram"), F.lit(groups)), left, left, left, left, left))
+    blocks = F.when(F.col("parts").isNull(), short).otherwise(F.concat(own, up, down))
+    placed = cut.select("gram", ROW_ID, "comp", "n", "pos", F.explode(blocks).alias("block")).select("gram", ROW_ID, "comp", "n", "pos", "block.*")
+    cells = members.select(ROW_ID, F.transform("cells", lambda c: F.least(c, F.lit(MOST)).cast("tinyint")).alias("cells"))
+    found = placed.join(cells, ROW_ID).groupBy(*keys[:-1]).applyInArrow(_compare(percent), "a long, b long")
     return found.distinct()
 
 
