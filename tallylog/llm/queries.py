@@ -14,7 +14,7 @@ from tallylog.llm.exact_dedup import exact_duplicates
 from tallylog.llm.language_id import predict_languages
 from tallylog.llm.mixing import mix_sources
 from tallylog.llm.ngram_join import near_duplicate_classes
-from tallylog.llm.pii import find_personal_data
+from tallylog.llm.pii import LOOSE, find_personal_data
 from tallylog.llm.quality import score_quality
 from tallylog.llm.secrets import find_secrets
 from tallylog.llm.token_store import tokenized
@@ -89,7 +89,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     found = find_personal_data(_documents(spark, sf_dir))
     return found.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"), "n_number"
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"),
+        *[f"n_{kind}" for kind in LOOSE], F.size("spans").cast("long").alias("n_spans"),
     )
 
 
