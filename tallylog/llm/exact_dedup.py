@@ -1,11 +1,13 @@
-"""Exact duplicates by a tree-merge of digest runs.  DataFrame functions only.
-
-Every scan task makes a run: one row per distinct digest with the smallest id and the
-number of its rows.  Runs then merge in rounds: in each round ``FAN_IN`` neighbouring runs
-become one, and each merge keeps the smallest identifier and adds up the counts.  Within
-a round the merges of all runs are spread over the cluster by (run, digest), so the last
+"""Exact duplicates by a tree-merge of sorted digest runs.  DataFrame functions only.
+
+Every scan task makes a sorted run: one row per distinct digest, in digest order, with the smallest id and the
+number of its rows.  Runs then merge in rounds, as in a binomial tree: in each round ``FAN_IN`` neighbouring runs exchange
+their rows by digest, and where they meet they are merged in digest order, equal neighbours becoming one row that
+keeps the smallest identifier and the sum of the counts.  Rows are grouped by sort aggregation, which
+Spark plans because the least identifier is a struct: each step sorts by (run, digest) and passes over the sorted rows once, so what
+a task holds is a row, not a table of digests.  Within a round the merges of all runs are spread over the cluster by (run, digest), so the last
 round, which leaves one run, is as parallel as the first, and a text that fills a third of
-the corpus reaches the first shuffle as one row per task.
+the corpus reaches the first exchange as one row per task.
 
 An identifier is kept under its digest together with a witness: the length and a second,
 independent hash of the text.  At every level rows merge only when digest and witness both
@@ -14,8 +16,6 @@ agree, so texts of colliding digests stay apart.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +45,16 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def merge_runs(rows: DataFrame) -> DataFrame:
     """``digest, witness..., keep_id, group_size`` over all runs, by rounds of merges."""
-    runs = rows.agg(F.max("run")).first()[0]
-    level = rows.groupBy((F.col("run") / FAN_IN).cast("long").alias("run"), *_KEY).agg(
-        F.min("id").alias("keep_id"), F.count("*").alias("group_size")
-    )
-    for _ in range(1, max(1, math.ceil(math.log((runs or 0) + 1, FAN_IN)))):
-        level = level.groupBy((F.col("run") / FAN_IN).cast("long").alias("run"), *_KEY).agg(
-            F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-        )
-    return level.drop("run")
+    runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    # a null id comes after all others
+    least = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))
+    level = rows.select("run", *_KEY, least.alias("keep"), F.lit(1).cast("long").alias("group_size"))
+    while True:
+        level = level.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("long"))
+        level = level.groupBy("run", *_KEY).agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+        runs = -(-runs // FAN_IN)
+        if runs == 1:
+            return level.select(*_KEY, F.col("keep.id").alias("keep_id"), "group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,6 +29,18 @@ def test_exact_duplicates(spark, parts):
     assert Counter(tuple(r) for r in found.collect()) == expected
 
 
+def test_runs_are_sorted_and_merged_in_rounds(spark, monkeypatch):
+    """Pairs of 70 runs merge in seven rounds; each is a sort and a pass over sorted rows, and nothing is hashed into a table."""
+    from tallylog.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    docs = spark.createDataFrame([(i, f"text {i % 37}") for i in range(700)], "doc_id long, text string").repartition(70)
+    merged = exact_dedup.merge_runs(exact_dedup.digest_rows(docs, "doc_id", "text"))
+    assert sorted((r["keep_id"], r["group_size"]) for r in merged.collect()) == [(i, 19 if i < 34 else 18) for i in range(37)]
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 14 and "HashAggregate" not in plan
+
+
 def test_exact_duplicates_of_nothing(spark):
     assert exact_duplicates(documents(spark, [])).count() == 0
 
