@@ -55,7 +55,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     found = find_secrets(_documents(spark, sf_dir))
     return found.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"), "n_random"
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"), "n_random",
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -1,26 +1,30 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 A scan finds runs of token characters with numpy over the bytes of a batch and runs the
-patterns only over texts that can match.  Runs of 16 or more token characters with a digit
-are candidates.  Each gets an inferred encoding and three tests of randomness over its alphabet: chi-squared
+patterns only over texts that can match.  Runs of 16 or more token characters are candidates, but for plain decimal numbers.
+Each gets an inferred encoding and three tests of randomness over its alphabet: chi-squared
 uniformity, runs about the median, and lag-1 serial correlation.  The score of a run is the
 sum of the log p-values: near 0 for random strings, far below for language.
 
-Runs without digits (words and joined words) are the empirical null.  Per length class, a histogram of
-their scores gives the p-value of each candidate's score, and the Benjamini-Hochberg rule over
+Ordinary strings are the empirical null: every document gives one for each 128 bytes, made of the words that follow places which its
+hash chooses, joined until they have 16 to 128 letters.  Per length class, a histogram of
+their scores gives the p-value of each candidate's score: the share of ordinary strings at or above it, and beyond the TAIL highest of
+them an exponential tail through those, which is on the safe side as scores end at 0.  The Benjamini-Hochberg rule over
 all candidates of the class gives the least score that is reported.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.llm.shared import materialize
@@ -54,6 +58,9 @@ _TOKEN = _byte_class(_DIGITS + _UPPER + _UPPER.lower() + "+/_-")
 _HEX_BYTE = _byte_class(_DIGITS + "abcdef")
 _UPPER_DIGIT = _byte_class(_DIGITS + _UPPER)
 _ALPHABETS = [
+    ("lower", _UPPER.lower()),
+    ("upper", _UPPER),
+    ("letters", _UPPER + _UPPER.lower()),
     ("hex", _DIGITS + "abcdef"),
     ("hex", _DIGITS + "ABCDEF"),
     ("base32", _UPPER + "234567"),
@@ -63,7 +70,26 @@ _ALPHABETS = [
     ("base64url", _UPPER + _UPPER.lower() + _DIGITS + "-_"),
     ("token", _UPPER + _UPPER.lower() + _DIGITS + "+/_-"),
 ]
-_PLACES = [({c: i for i, c in enumerate(chars)}, len(chars)) for _, chars in _ALPHABETS]
+#: Fixed value: the most frequent letters, apart from the others where cells are grouped.
+_COMMON = "etaoinshrdlu"
+#: Least expected count of a cell of the chi-squared test; below, cells are grouped by kind of character.
+LEAST_EXPECTED = 2
+
+
+def _groups(chars: str) -> dict[str, int]:
+    kinds = [_COMMON, _UPPER.lower(), _COMMON.upper(), _UPPER, _DIGITS, chars]
+    return {c: next(i for i, kind in enumerate(kinds) if c in kind) for c in chars}
+
+
+#: Of each alphabet: its characters, tables from a character to its place and to its group, and the share of each group.
+_PLACES = [
+    (
+        frozenset(chars), str.maketrans({c: chr(i) for i, c in enumerate(chars)}), str.maketrans({c: chr(g) for c, g in groups.items()}),
+        [(chr(g), n / len(chars)) for g, n in sorted(Counter(groups.values()).items())],
+    )
+    for _, chars in _ALPHABETS
+    for groups in [_groups(chars)]
+]
 
 
 def _two_sided(z: float) -> float:
@@ -72,11 +98,17 @@ def _two_sided(z: float) -> float:
 
 def randomness(run: str) -> float:
     """Sum of the log p-values of the three tests over the smallest alphabet that holds ``run``."""
-    places, size = next((p, s) for p, s in _PLACES if all(c in p for c in run))
-    x = [places[c] for c in run]
-    n = len(x)
-    chi = sum(v * v for v in Counter(x).values()) * size / n - n
-    z_chi = (chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    held = set(run)
+    chars, places, groups, shares = next(x for x in _PLACES if held <= x[0])
+    x = run.translate(places).encode("ascii")
+    n, size = len(x), len(chars)
+    if n >= LEAST_EXPECTED * size:
+        chi, free = sum(x.count(c) ** 2 for c in set(x)) * size / n - n, size - 1
+    else:
+        kinds = run.translate(groups)
+        chi, free = sum((kinds.count(g) - n * share) ** 2 / (n * share) for g, share in shares), max(1, len(shares) - 1)
+    # the cube root of a chi-squared value is nearly normal
+    z_chi = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
     p_chi = 0.5 * math.erfc(z_chi / math.sqrt(2))
     middle = sorted(x)[n // 2]
     above = [v >= middle for v in x]
@@ -94,6 +126,27 @@ def randomness(run: str) -> float:
     return max(LOWEST_SCORE, sum(math.log(max(p, 1e-26)) for p in (p_chi, p_runs, p_serial)))
 
 
+#: Bytes of text for each ordinary string, and ordinary strings that shape the tail of the null.
+BYTES_PER_STRING, TAIL = 128, 30
+#: Whole words only: fragments of a key would make a random string.
+_WORD = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z]{1,15}(?![A-Za-z0-9+/_-])")
+
+
+def ordinary_strings(text: bytes) -> Iterator[str]:
+    """Words of a text joined to strings, at places and of lengths that its hash chooses; places that too few words follow give none."""
+    draw = zlib.crc32(text)
+    for i in range(-(-len(text) // BYTES_PER_STRING)):
+        draw = (draw * 1_103_515_245 + 12_345) & 0xFFFFFFFF
+        least = int(MIN_RUN * 2 ** (3 * (draw >> 24) / 256))
+        begin = (draw & 0xFFFFFF) % len(text)
+        out = b""
+        for word in _WORD.finditer(text, begin, begin + 16 * least):
+            out += word[0]
+            if len(out) >= least:
+                yield out[:least].decode("ascii")
+                break
+
+
 def _length_class(n: int) -> int:
     return min(MAX_CLASS, int(2 * math.log2(n / MIN_RUN)))
 
@@ -110,6 +163,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _covered(base: list[tuple[int, int, int]]):
+    """A test whether [start, stop) overlaps a base span; spans are in order of their starts."""
+    starts = [a for a, _, _ in base]
+    reached = np.maximum.accumulate([b for _, _, b in base]).tolist() if base else []
+
+    def taken(start: int, stop: int) -> bool:
+        before = bisect.bisect_left(starts, stop)
+        return before > 0 and reached[before - 1] > start
+
+    return taken
+
+
 def _runs(data: np.ndarray, inside: np.ndarray, cuts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of runs of at least ``least`` bytes of a class; a run across a cut counts to both sides."""
     flag = np.zeros(len(data) + 2, bool)
@@ -156,13 +221,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_of: dict[int, list[tuple[int, int]]] = {}
         ordinary: Counter[tuple[int, int]] = Counter()
         whole = data.tobytes()
-        digits = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data >= 0x30) & (data <= 0x39), out=digits[1:])
+        others, points = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data < 0x30) | (data > 0x39), out=others[1:])
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])  # code points before each byte
         for begin, end, t in zip(tokens[0].tolist(), tokens[1].tolist(), text_of.tolist()):
-            if digits[end] - digits[begin]:
+            if others[end] > others[begin]:
                 runs_of.setdefault(t, []).append((begin, end))
-            else:
-                ordinary[_length_class(end - begin), _score_bin(randomness(whole[begin:end].decode("ascii")))] += 1
         low = whole.lower()
         bases, candidates = [], []
         for t in range(len(texts)):
@@ -170,11 +234,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base: list[tuple[int, int, int]] = []
             if t in flagged or any(low.find(word, lo, hi) >= 0 for word in _KEYWORDS):
                 base = base_spans(whole[lo:hi].decode())
+            for joined in ordinary_strings(whole[lo:hi]):
+                ordinary[_length_class(len(joined)), _score_bin(randomness(joined))] += 1
+            taken = _covered(base)
             more = []
             for begin, end in runs_of.get(t, ()):
-                start = len(whole[lo:begin].decode())
+                start = int(points[begin] - points[lo])
                 stop = start + end - begin
-                if not any(a < stop and start < b for a, _, b in base):
+                if not taken(start, stop):
                     score = randomness(whole[begin:end].decode("ascii"))
                     more.append({"start": start, "end": stop, "length_class": _length_class(end - begin), "bin": _score_bin(score)})
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
@@ -187,25 +254,55 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def least_bin(ordinary: dict[int, int], tested: dict[int, int], rate: float) -> int | None:
+    """The least score bin to report, from histograms of a class's ordinary strings and candidates; None to report nothing.
+
+    The Benjamini-Hochberg rule takes the lowest bin in which ``p * candidates <= rate * (candidates at or above)``.  With fewer than TAIL
+    ordinary strings there is no tail to judge by, and nothing is reported.
+    """
+    total = sum(ordinary.values())
+    if total < TAIL:
+        return None
+    above = {}
+    k = 0
+    for b in range(_BINS - 1, -1, -1):
+        k += ordinary.get(b, 0)
+        above[b] = k
+    start = max(b for b in above if above[b] >= TAIL)
+    excess = sum((b - start) * n for b, n in ordinary.items() if b >= start) / above[start] + 0.5
+    m, found, passing = sum(tested.values()), 0, None
+    for b in sorted(tested, reverse=True):
+        found += tested[b]
+        p = (1 + above[b]) / (1 + total) if b <= start else (1 + above[start]) / (1 + total) * math.exp((start - b) / excess)
+        if p * m <= rate * found:
+            passing = b
+    return passing
+
+
 def least_bins(scanned: DataFrame, rate: float) -> dict[int, int]:
-    """The least score bin to report for each length class (at most MAX_CLASS + 1 of them).
+    """The least score bin to report for each length class.
 
-    The null of a class has the ordinary runs of that length and shorter.  Of a class with N of them and M candidates, a bin's p-value is the share
-    ``(1 + ordinary runs at or above) / (1 + N)``; the Benjamini-Hochberg rule takes the lowest bin in which
-    ``p * M <= rate * (candidates at or above)``.
+    The null of a class has the ordinary strings of that length and shorter: shorter ones look more random, so they can only raise p-values.
     """
-    ordinary = scanned.select(F.explode("ordinary").alias("c")).groupBy("c.length_class", "c.bin").agg(F.sum("c.n").alias("null_n"))
-    # shorter words look more random, so adding them to the null of longer ones can only raise its p-values
-    longer = F.explode(F.sequence("length_class", F.lit(MAX_CLASS))).alias("length_class")
-    ordinary = ordinary.select(longer, "bin", "null_n").groupBy("length_class", "bin").agg(F.sum("null_n").alias("null_n"))
-    tested = scanned.select(F.explode("candidates").alias("c")).groupBy("c.length_class", "c.bin").agg(F.count("*").alias("n"))
-    both = tested.join(ordinary, ["length_class", "bin"], "full").na.fill(0, ["n", "null_n"])
-    down = Window.partitionBy("length_class").orderBy(F.desc("bin"))
-    whole = Window.partitionBy("length_class")
-    p = (1 + F.sum("null_n").over(down)) / (1 + F.sum("null_n").over(whole))
-    found = both.withColumn("p", p).withColumn("above", F.sum("n").over(down)).withColumn("tests", F.sum("n").over(whole))
-    passing = found.where((F.col("above") > 0) & (F.col("p") * F.col("tests") <= rate * F.col("above")))
-    return {r[0]: r[1] for r in passing.groupBy("length_class").agg(F.min("bin")).collect()}
+
+    def histograms(what: str) -> dict[int, dict[int, int]]:
+        cells = scanned.select(F.explode(what).alias("c"))
+        number = F.sum("c.n") if what == "ordinary" else F.count("*")
+        out: dict[int, dict[int, int]] = {}
+        # at most (MAX_CLASS + 1) * _BINS rows
+        for r in cells.groupBy("c.length_class", "c.bin").agg(number.alias("n")).collect():
+            out.setdefault(r["length_class"], {})[r["bin"]] = r["n"]
+        return out
+
+    ordinary, tested = histograms("ordinary"), histograms("candidates")
+    null: Counter[int] = Counter()
+    out = {}
+    for length_class in range(MAX_CLASS + 1):
+        null.update(ordinary.get(length_class, {}))
+        least = least_bin(null, tested.get(length_class, {}), rate)
+        if least is not None:
+            out[length_class] = least
+    return out
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
@@ -249,8 +346,3 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named(F.col("base")).alias("base"),
         named(F.concat("base", extra)).alias("spans"),
     )
-
-
-def spans_text(spans):
-    """``kind:start:end`` of each span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

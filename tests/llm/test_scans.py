@@ -123,6 +123,60 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert sum(found[i] for i in range(80)) + sum(found[200 + i] for i in range(20)) <= 1
 
 
+def test_planted_secrets_of_all_encodings(spark):
+    """Letter-only keys are found too; long words, paths, decimal numbers and repeats are left alone.  The decision equals a plain version."""
+    rng = random.Random(14)
+    syllables = ["the", "ing", "er", "an", "re", "tion", "st", "ver", "und", "lich", "os", "que", "men", "to", "ra", "pla"]
+
+    def word(n):
+        return "".join(rng.choice(syllables) for _ in range(n))
+
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [lower + lower.upper(), lower + lower.upper() + "0123456789+/", lower + "0123456789", lower.upper() + "234567", lower + lower.upper() + "0123456789-_"]
+    rows, keys = [], set()
+    for i in range(1000):
+        text = [word(rng.randrange(1, 4)).capitalize() if rng.random() < 0.1 else word(rng.randrange(1, 4)) for _ in range(80)]
+        if i % 10 == 0:
+            text[40] = "".join(rng.choice(alphabets[i // 10 % 5]) for _ in range(rng.randrange(40, 60)))
+            keys.add(i)
+        elif i % 10 == 1:
+            text[40] = rng.choice([word(9), f"{word(3)}/{word(3)}/{word(3)}", f"{word(3)}_{word(3)}_{word(3)}", str(rng.randrange(10**24)), "ab" * 15])
+        rows.append((i, " ".join(text), "en", "a"))
+    found = {r["doc_id"]: r["n_random"] for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    assert sum(found[i] == 1 for i in keys) >= 0.8 * len(keys)  # 85 of 100 at the time of writing
+    assert sum(found[i] for i in range(1000) if i not in keys) <= 0.05 * len(keys)
+
+    # the same battery without Spark: plain lists, sorted scores, and the rule written out
+    null, tested = [], []
+    for i, t, *_ in rows:
+        null += [(len(x), secrets.randomness(x)) for x in secrets.ordinary_strings(t.encode())]
+        tested += [(i, len(m[0]), secrets.randomness(m[0])) for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t) if not m[0].isdigit()]
+    want = Counter()
+    for c in {secrets._length_class(n) for _, n, _ in tested}:
+        own = [(i, secrets._score_bin(x)) for i, n, x in tested if secrets._length_class(n) == c]
+        ordinary = sorted((secrets._score_bin(x) for n, x in null if secrets._length_class(n) <= c), reverse=True)
+        if len(ordinary) < 30:
+            continue
+        start = ordinary[29]
+        tail = [x for x in ordinary if x >= start]
+        spread = sum(x - start for x in tail) / len(tail) + 0.5
+
+        def p_value(b):
+            share = (1 + sum(x >= min(b, start) for x in ordinary)) / (1 + len(ordinary))
+            return share if b <= start else share * np.exp((start - b) / spread)
+
+        passing = [b for _, b in own if p_value(b) * len(own) <= 0.01 * sum(x >= b for _, x in own)]
+        want.update(i for i, b in own if passing and b >= min(passing))
+    assert want == Counter({i: n for i, n in found.items() if n})
+
+
+@pytest.mark.parametrize("text", ["é" + "ab1/" * 250_000, ("k9" * 10 + " é ") * 20_000, "password=abcdef " * 60_000])
+def test_secrets_take_linear_time(spark, text):
+    start = time.perf_counter()
+    assert secrets.find_secrets(documents(spark, [(1, text, "en", "a")])).count() == 1
+    assert time.perf_counter() - start < 30  # a quadratic scan takes minutes
+
+
 def test_secrets_of_nothing(spark):
     assert secrets.find_secrets(documents(spark, [])).count() == 0
 
