@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tallylog.llm.shared import materialize, utf8_or_empty
 
-#: The bounded training sample of each language: documents, characters of each, bytes of the dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 300, 220_000
+#: The bounded training sample of each language: pieces of texts, characters of each, bytes of the dictionary.
+SAMPLE_PIECES, PIECE_CHARS, DICTIONARY_BYTES = 800, 300, 220_000
+#: Most languages that are learned, those with the most documents, and bytes of all dictionaries: with more than 300 languages each gets less.
+MAX_LANGUAGES, TOTAL_BYTES = 4096, 64 << 20
 LEVEL = 6
 #: Least margin of an accepted prediction.
 MARGIN = 0.02
@@ -33,28 +35,31 @@ def fold(id_column: Column) -> Column:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) from the documents with language and text, most frequent language first.
 
-    The sample has the SAMPLE_DOCS distinct texts of a language with the smallest hashes, and of each the
-    SAMPLE_CHARS characters from an offset that its hash gives; it does not depend on the order or number of partitions,
-    nor on how often a text is repeated.
+    Distinct whole texts are cut into pieces of PIECE_CHARS characters, and the sample of a language has the SAMPLE_PIECES of all its
+    pieces with the smallest hashes.  So it is spread over all texts and all of each text, and does not depend on the order or number of partitions,
+    nor on how often a text is repeated.  A language of a single short text has that text as its dictionary.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang is not null and text <> ''").withColumn("hash", F.xxhash64("text"))
     # copies of a text meet here, so that ranks count distinct texts
-    distinct = materialize(rows.groupBy("lang", "hash").agg(F.count("*").alias("copies")), "texts")
-    sizes = {r[0]: r[1] for r in distinct.groupBy("lang").agg(F.sum("copies")).collect()}  # a row per language
-    order = Window.partitionBy("lang").orderBy("hash")
-    # Spark keeps SAMPLE_DOCS rows of each language per task before it shuffles
-    sample = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).drop("copies")
-    places = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)
-    part = F.substring("text", (F.pmod(F.xxhash64("hash"), places) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    parts = rows.join(F.broadcast(sample), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min(part).alias("text"))
+    distinct = materialize(rows.groupBy("lang", "hash").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("chars")), "texts")
+    by_size = distinct.groupBy("lang").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    names = [r["lang"] for r in by_size.collect()]
+    share = min(1.0, TOTAL_BYTES / (DICTIONARY_BYTES * max(1, len(names))))
+    most, pieces_of_one = int(DICTIONARY_BYTES * share), max(1, int(SAMPLE_PIECES * share))
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.col("chars") - 1) / PIECE_CHARS).cast("int"))).alias("piece")
+    drawn = distinct.select("lang", "hash", pieces).withColumn("draw", F.xxhash64("hash", "piece"))
+    order = Window.partitionBy("lang").orderBy("draw", "hash", "piece")
+    # Spark keeps the first pieces of each language per task before it shuffles
+    sample = drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pieces_of_one)
+    sample = sample.groupBy("lang", "hash").agg(F.collect_list(F.struct("rank", "piece")).alias("pieces"))
+    # at most pieces_of_one rows a language meet the texts; of copies of a text one gives the piece
+    part = F.transform("pieces", lambda p: F.struct(p["rank"].alias("rank"), F.substring(F.col("text"), p["piece"] * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text")))
+    parts = rows.join(F.broadcast(sample), ["lang", "hash"]).select("lang", F.inline(part)).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     texts: dict[str, dict[str, None]] = {}
     for r in parts.orderBy("lang", "rank").collect():
         texts.setdefault(r["lang"], {})[r["text"]] = None
-    models = []
-    for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
-        models.append((lang, "\n".join(texts[lang]).encode()[-DICTIONARY_BYTES:]))
-    return models
+    return [(lang, "\n".join(texts[lang]).encode()[-most:]) for lang in names if lang in texts]
 
 
 def _classify(shared):

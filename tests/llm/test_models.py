@@ -45,10 +45,42 @@ def test_language_samples_count_distinct_texts(spark):
     assert sorted(models["de"].decode().split("\n")) == sorted(texts[-5:])
 
 
-def test_language_samples_are_not_all_starts(spark):
-    rows = [("en", "licence " * 60 + " ".join(f"w{i}x{j}" for j in range(300))) for i in range(40)]
-    content = dict(language_id.train(spark.createDataFrame(rows, "lang string, text string")))["en"].decode()
-    assert sum(f"w{i}x" in content for i in range(40)) > 20 and len(content) <= 40 * (language_id.SAMPLE_CHARS + 1)
+def test_language_samples_are_spread_over_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_PIECES", 60)
+    rows = [("en", f"text{i} " + "licence " * 60 + " ".join(f"w{i}x{j}" for j in range(300))) for i in range(40)]
+    pieces = {t[k : k + language_id.PIECE_CHARS] for _, t in rows for k in range(0, len(t), language_id.PIECE_CHARS)}
+    content = dict(language_id.train(spark.createDataFrame(rows, "lang string, text string")))["en"].decode().split("\n")
+    assert len(content) == 60 and set(content) <= pieces
+    assert len({c for c in content if "w" in c and "licence" not in c}) > 20  # from beyond the start
+
+
+def test_many_languages_share_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TOTAL_BYTES", 40_000)
+    rows = [(f"l{i:03d}", f"language {i} " * 300) for i in range(60)]
+    models = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(models) == 60 and sum(len(content) for _, content in models) <= 40_000
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 7)
+    assert len(language_id.train(spark.createDataFrame(rows, "lang string, text string"))) == 7
+
+
+def test_predictions_equal_brute_force(spark):
+    """Each text is compressed with every dictionary, one by one; the smallest wins, the more frequent language on ties."""
+    import zstandard
+
+    docs = documents(spark)
+    models = language_id.train(docs.where(language_id.fold(F.col("doc_id")) != 1))
+    assert {name for name, _ in models} >= {"en", "de"}
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in language_id.identify(docs, models, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()}
+    for (_, text), (pred, score) in got.items():
+        if text is None or not any(c.isalpha() for c in text):
+            assert (pred, score) == ("und", 0.0)
+            continue
+        sizes = {}
+        for name, content in models:
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[name] = len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.encode()))
+        best, second = sorted(sizes.values())[:2]
+        assert pred == next(name for name, _ in models if sizes[name] == best) and score == 1 - best / second
 
 
 def test_quality_held_out(spark, sf_dir):
