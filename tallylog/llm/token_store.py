@@ -1,19 +1,20 @@
 """Token ids in a content-addressed store.
 
-A store is a folder of two Parquet tables:
+A store is a folder of Parquet tables:
 
-* ``chunks``: digest (SHA-256 of the bytes), n_ids, data (little-endian ids, 2 bytes each when every
+* ``chunks``: digest (SHA-256 of the bytes), n_ids, width, data (little-endian ids, 2 bytes each when every
   id fits, else 4).  Each distinct chunk is stored once.
-* ``recipes``: one row per document in ascending id order: start, n_tokens, chunk digests in order,
-  and the root of the Merkle tree over them.  ``manifest`` holds a Merkle root per recipe block and
-  one over all blocks.
+* ``recipes``: one row per document in ascending id order: id, start, n_tokens, chunk digests in order,
+  and the root of the Merkle tree over them.
+* ``manifest``: a tree of Merkle roots.  Level 0 has the root of each block of BLOCK_IDS ids over its documents' roots; each further level
+  the roots of FAN_OUT blocks below; the last level is one row, the root of the store.
 
 Chunk ends are chosen by content: a rolling hash over the last ``ROLL`` ids ends a chunk where its
 low bits are zero, so a passage that repeats in other documents is cut alike and shared.
 
-Scan tasks tokenize, cut and send each chunk of a batch once; chunks meet by digest, and the first
-keeps its bytes.  Bytes are shuffled once and written once.  Reading recomputes every digest and the
-Merkle roots.
+Scan tasks tokenize and cut, and give each document's recipe and each distinct chunk of some texts once.  Both go through one aggregation by
+their keys, in which a chunk of many documents is one row per task before it is shuffled; bytes are shuffled once and written once, and recipes carry
+digests alone.  Reading recomputes every digest, every document's root, and the manifest up to the root of the store.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallylog.llm.shared import ROW_ID, materialize, running_total, scratch_path, with_row_ids
-from tallylog.llm.words import mix
+from tallylog.llm.shared import ROW_ID, running_total, scratch_path, with_row_ids
+from tallylog.llm.words import mix, run_hashes
 
 #: Ids that the rolling hash sees; low bits that are zero at an end; least and most ids of a chunk.
 ROLL = 16
@@ -141,23 +142,69 @@ class _Encoder:
         return b"".join(out)
 
     def _split(self, text: str) -> list[str] | None:
+        """The pieces of a text, none if they are what stands between its spaces, or None if it must go through the tokenizer whole."""
         if not self.by_piece or any(s in text for s in self.special):
             return None
         odd = any(c in text for c in _ODD_ASCII) or text[:1] == " " or text[-1:] == " "
         if odd or not text.isascii() and any(c in text for c in _ODD_OTHER):
             return _GAP.split(text)
-        return text.split(" ")
+        return [] if text else [""]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
             self.starts.clear()
-        split = [self._split(text) for text in texts]
-        whole = [text for text, parts in zip(texts, split) if parts is None]
-        plain = iter([self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
-        known = self.pieces.__getitem__
-        return [next(plain) if parts is None else self.piece(parts[0], "") + b"".join(map(known, parts[1:])) for parts in split]
+        out: list[bytes | None] = [None] * len(texts)
+        plain, whole = [], []
+        for i, text in enumerate(texts):
+            parts = self._split(text)
+            if parts is None:
+                whole.append(i)
+            elif parts:
+                out[i] = self.piece(parts[0], "") + b"".join(map(self.pieces.__getitem__, parts[1:]))
+            else:
+                plain.append(i)
+        for i, found in zip(plain, self._encode_plain([texts[i] for i in plain])):
+            out[i] = found
+        for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = self._pack(found.ids)
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts whose pieces are what stands between spaces: equal pieces are looked up once, and their ids dealt out."""
+        if not texts:
+            return []
+        blobs = [text.encode() for text in texts]
+        joined = b" ".join(blobs)
+        data = np.frombuffer(joined, np.uint8)
+        spaces = np.flatnonzero(data == 0x20)
+        begin, end = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]])
+        size = end - begin
+        first = np.searchsorted(begin, np.cumsum([0, *[len(b) + 1 for b in blobs[:-1]]]))
+        with np.errstate(over="ignore"):
+            hashes = run_hashes(data, begin, end)
+            hashes[first] ^= np.uint64(0x5555555555555555)  # the first piece of a text has no space before it
+        _, at, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        # byte by byte the same as the piece that stands for it
+        same = np.arange(len(data) - len(spaces)) + np.repeat(begin - (np.cumsum(size) - size), size)
+        other = same + np.repeat(begin[at][kind] - begin, size)
+        if not (size[at][kind] == size).all() or not (data[same] == data[other]).all():
+            return [self.piece(p[0], "") + b"".join(map(self.pieces.__getitem__, p[1:])) for p in (text.split(" ") for text in texts)]
+        leads = np.zeros(len(begin), bool)
+        leads[first] = True
+        known = self.pieces
+        found = [
+            self.piece(joined[b:e].decode(), "") if lead else known[joined[b:e].decode()]
+            for b, e, lead in zip(begin[at].tolist(), end[at].tolist(), leads[at].tolist())
+        ]
+        table = np.frombuffer(b"".join(found), self.dtype)
+        held = np.array([len(f) for f in found]) // self.dtype.itemsize
+        starts = np.cumsum(held) - held
+        n = held[kind]
+        ids = table[np.arange(n.sum()) + np.repeat(starts[kind] - (np.cumsum(n) - n), n)].tobytes()
+        stops = np.concatenate([[0], np.cumsum(n)])[np.append(first, len(n))] * self.dtype.itemsize
+        return [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
 
 def chunk_ends(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:
@@ -206,13 +253,9 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-_CHUNK_ROWS = pa.schema(
-    [
-        ("digest", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("data", pa.binary()),
-        ("refs", pa.list_(pa.struct([(ROW_ID, pa.int64()), ("place", pa.int32())]))),
-    ]
-)
-_CHUNK_DDL = f"digest binary, n_ids int, width int, data binary, refs array<struct<{ROW_ID}:long,place:int>>"
+_LINK = pa.struct([("digest", pa.binary()), ("n_ids", pa.int32())])
+_ROWS = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("links", pa.list_(_LINK)), ("n_ids", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
+_ROWS_DDL = "digest binary, id long, links array<struct<digest:binary,n_ids:int>>, n_ids int, width int, data binary"
 
 
 def _tokenize(tokenizer_file: str, end_id: int):
@@ -231,31 +274,32 @@ def _tokenize(tokenizer_file: str, end_id: int):
         for batch in batches:
             for begin in range(0, len(batch), _TEXTS):
                 part = batch.slice(begin, _TEXTS)
-                docs = [d + end for d in encoder.encode(part.column(1).fill_null("").to_pylist())]
+                docs = [d + end for d in encoder.encode(part.column(2).fill_null("").to_pylist())]
                 joined = np.frombuffer(b"".join(docs), dtype)
                 counts = np.array([len(d) // dtype.itemsize for d in docs])
-                held: dict[bytes, tuple[bytes, list[tuple[int, int]]]] = {}
-                for row, doc, ends in zip(part.column(0).to_pylist(), docs, chunk_ends(joined, counts)):
+                held: dict[bytes, bytes] = {}
+                links: list[tuple[bytes, int]] = []
+                sizes = []
+                for doc, ends in zip(docs, chunk_ends(joined, counts)):
                     here = 0
-                    for place, stop in enumerate(ends):
+                    for stop in ends:
                         data = doc[here * dtype.itemsize : stop * dtype.itemsize]
-                        held.setdefault(hashlib.sha256(data).digest(), (data, []))[1].append((row, place))
+                        digest = hashlib.sha256(data).digest()
+                        held[digest] = data
+                        links.append((digest, stop - here))
                         here = stop
-                refs = [r for _, r in held.values()]
-                flat = [x for r in refs for x in r]
-                struct = pa.StructArray.from_arrays(
-                    [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32())], names=[ROW_ID, "place"]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(list(held), pa.binary()),
-                        pa.array([len(d) // dtype.itemsize for d, _ in held.values()], pa.int32()),
-                        pa.array([dtype.itemsize] * len(held), pa.int32()),
-                        pa.array([d for d, _ in held.values()], pa.binary()),
-                        pa.ListArray.from_arrays(np.cumsum([0, *map(len, refs)]).astype(np.int32), struct),
-                    ],
-                    schema=_CHUNK_ROWS,
-                )
+                    sizes.append(len(ends))
+                rows = np.asarray(part.column(0).to_numpy(), ">i8").tobytes()
+                keys = [rows[i : i + 8] for i in range(0, len(rows), 8)]
+                digests, n_ids = zip(*links)
+                struct = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(n_ids, pa.int32())], fields=list(_LINK))
+                recipes = [pa.array(keys, pa.binary()), part.column(1), pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), struct)]
+                none = [pa.nulls(len(keys), f.type) for f in list(_ROWS)[3:]]
+                yield pa.RecordBatch.from_arrays([*recipes, *none], schema=_ROWS)
+                m = len(held)
+                chunks = [pa.array(list(held), pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(_LINK))]
+                chunks += [pa.array([len(d) // dtype.itemsize for d in held.values()], pa.int32()), pa.array([dtype.itemsize] * m, pa.int32()), pa.array(list(held.values()), pa.binary())]
+                yield pa.RecordBatch.from_arrays(chunks, schema=_ROWS)
 
     return run
 
@@ -276,37 +320,54 @@ def write_store(
     """
     spark = docs.sparkSession
     base = with_row_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    chunks = base.select(ROW_ID, "text").mapInArrow(_tokenize(tokenizer_file, end_id), _CHUNK_DDL)
-    # of equal chunks from different batches the first keeps its bytes; all keep their references
-    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("refs")[0][ROW_ID]))
-    held = chunks.withColumn("first", first)
-    rows = held.select("digest", "n_ids", "width", F.when(F.col("first") == 1, F.col("data")).alias("data"), "refs")
-    rows.write.option("compression", "lz4_raw").parquet(f"{path}/chunks")  # ids hardly shrink more under slower codecs
-
-    stored = spark.read.parquet(f"{path}/chunks")
-    refs = stored.select("digest", "n_ids", F.explode("refs").alias("r")).select(
-        f"r.{ROW_ID}", F.struct("r.place", "digest", "n_ids").alias("chunk")
-    )
-    # one group is one document's chunks: at most one for each MIN_CHUNK of its ids
-    recipes = refs.groupBy(ROW_ID).agg(F.array_sort(F.collect_list("chunk")).alias("chunk"))
+    rows = base.select(ROW_ID, "id", "text").mapInArrow(_tokenize(tokenizer_file, end_id), _ROWS_DDL)
+    # a recipe has its row id of 8 bytes for a digest; equal chunks become one in each task and again where they meet
+    kept = rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("id", "links", "n_ids", "width", "data")])
+    # ids hardly shrink more under slower codecs
+    kept.withColumn("part", F.when(F.col("data").isNull(), "recipes").otherwise("chunks")).write.partitionBy("part").option("compression", "lz4_raw").parquet(f"{path}/written")
+    if _exists(spark, f"{path}/written/part=chunks"):
+        _move(spark, f"{path}/written/part=chunks", f"{path}/chunks")
+    else:
+        kept.limit(0).write.parquet(f"{path}/chunks")
+    recipes = spark.read.schema(_ROWS_DDL + ", part string").parquet(f"{path}/written").where("part = 'recipes'")
     recipes = recipes.select(
-        ROW_ID,
-        F.transform("chunk", lambda c: c["digest"]).alias("digests"),
-        F.aggregate("chunk", F.lit(0).cast("long"), lambda s, c: s + c["n_ids"]).alias("n_tokens"),
+        "id",
+        F.transform("links", lambda c: c["digest"]).alias("digests"),
+        F.aggregate("links", F.lit(0).cast("long"), lambda s, c: s + c["n_ids"]).alias("n_tokens"),
     ).withColumn("root", _merkle("digests"))
-    recipes = materialize(recipes.join(base.select(ROW_ID, "id"), ROW_ID).drop(ROW_ID), "recipes")
     ordered = running_total(recipes.select("id", "root", "n_tokens", "digests"), [], ["id", "root"], "n_tokens", "start")
     ordered.repartitionByRange(_parts(spark), "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
 
-    blocks = spark.read.parquet(f"{path}/recipes").select("start", "root")
-    blocks = blocks.groupBy(F.floor(F.col("start") / BLOCK_IDS).alias("block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda r: r["root"]).alias("roots")
-    )
-    blocks.select("block", _merkle("roots").alias("root")).write.parquet(f"{path}/manifest")
+    level, n = 0, 0
+    while level == 0 or n > 1:
+        below = spark.read.parquet(f"{path}/recipes").select("start", "root") if level == 0 else spark.read.parquet(f"{path}/manifest/level={level - 1}").select(F.col("block").alias("start"), "root")
+        _roots(below, level).write.parquet(f"{path}/manifest/level={level}")
+        n = spark.read.parquet(f"{path}/manifest/level={level}").count()
+        level += 1
 
 
-#: Ids that one row of the manifest covers: a document has at least its end id, so a row covers as many documents at most.
+#: Ids that one row of the manifest's first level covers: a document has at least its end id, so a row covers as many documents at most.
 BLOCK_IDS = 1 << 16
+#: Rows of a level of the manifest that one row of the next covers.
+FAN_OUT = 1 << 12
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    if not paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def _roots(below: DataFrame, level: int) -> DataFrame:
+    """``block, root`` over the roots below, in their order; a group has BLOCK_IDS or FAN_OUT of them at most."""
+    block = F.floor(F.col("start") / (FAN_OUT if level else BLOCK_IDS)).alias("block")
+    roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda r: r["root"])
+    return below.groupBy(block).agg(roots.alias("roots")).select("block", _merkle("roots").alias("root"))
 
 
 def _parts(spark: SparkSession) -> int:
@@ -376,13 +437,15 @@ def _rebuild(chunks):
 
 
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``<id_col>, start, n_tokens, ids_crc32, verified`` per document, from the stored chunks.
+    """``<id_col>, start, n_tokens, ids_crc32, verified, manifest_verified`` per document, from the stored chunks.
 
     Every chunk's bytes are read and hashed.  A document's length and CRC-32 (of its ids as little-endian
     4-byte words) are put together from those of its chunks in the recipe's order.  ``verified`` says
-    that every chunk was found under the digest of its bytes and that the Merkle root agrees.
+    that every chunk was found under the digest of its bytes and that the document's Merkle root agrees, and ``manifest_verified`` that the roots of all
+    documents still give the manifest up to the root of the store.
     """
-    stored = spark.read.parquet(f"{path}/chunks").where("data is not null").select("width", "data")
+    whole = manifest_holds(spark, path)
+    stored = spark.read.parquet(f"{path}/chunks").select("width", "data")
     checked = stored.mapInArrow(_check_chunks, "digest binary, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("start", F.posexplode("digests").alias("place", "digest"))
@@ -395,12 +458,13 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
         F.col("n").alias("n_tokens"),
         F.col("built.crc").alias("ids_crc32"),
         F.coalesce((F.col("built.root") == F.col("root")) & (F.col("n") == F.col("n_tokens")), F.lit(False)).alias("verified"),
+        F.lit(whole).alias("manifest_verified"),
     )
 
 
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """``<id_col>, start, ids`` (array of int) per document, rebuilt from the chunks."""
-    stored = spark.read.parquet(f"{path}/chunks").where("data is not null").select("digest", "width", "data")
+    stored = spark.read.parquet(f"{path}/chunks").select("digest", "width", "data")
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("start", F.posexplode("digests").alias("place", "digest"))
     found = refs.join(stored, "digest").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "width", "data"))).alias("chunks"))
@@ -413,14 +477,20 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFram
 
 
 def manifest_holds(spark: SparkSession, path: str) -> bool:
-    """Whether the recipes' roots still give the manifest's roots."""
-    recipes = spark.read.parquet(f"{path}/recipes").select("start", "root")
-    again = recipes.groupBy(F.floor(F.col("start") / BLOCK_IDS).alias("block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda r: r["root"]).alias("roots")
-    )
-    again = again.select("block", _merkle("roots").alias("again"))
-    both = spark.read.parquet(f"{path}/manifest").join(again, "block", "full")
-    return both.where(~F.col("root").eqNullSafe(F.col("again"))).isEmpty()
+    """Whether the recipes' roots still give every level of the manifest, and the last is one root."""
+    level, n = 0, 0
+    below = spark.read.parquet(f"{path}/recipes").select("start", "root")
+    while level == 0 or n > 1:
+        if not _exists(spark, f"{path}/manifest/level={level}"):
+            return False
+        stored = spark.read.parquet(f"{path}/manifest/level={level}")
+        both = stored.join(_roots(below, level).withColumnRenamed("root", "again"), "block", "full")
+        n, wrong = both.agg(F.count("*"), F.count_if(~F.col("root").eqNullSafe(F.col("again")))).first()
+        if wrong:
+            return False
+        below = stored.select(F.col("block").alias("start"), "root")
+        level += 1
+    return True
 
 
 def tokenized(

@@ -20,6 +20,8 @@ _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 #: Bytes handled together; a longer text is handled alone.
 BLOCK_BYTES = 1 << 19
+#: Longest tables of powers that a worker keeps; those for longer texts go with them.
+MOST_KEPT = 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -48,16 +50,21 @@ _inverse = np.ones(1, dtype=np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64, for i below ``n``."""
     global _powers, _inverse
+    if n > MOST_KEPT:
+        return _made_tables(n)
     if len(_powers) < n:
-        size = max(n, BLOCK_BYTES)
-        step = np.full(size, _BASE, dtype=np.uint64)
-        step[0] = 1
-        back = np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        back[0] = 1
-        _powers, _inverse = np.cumprod(step, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        _powers, _inverse = _made_tables(max(n, BLOCK_BYTES))
     return _powers, _inverse
 
 
+def _made_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    step = np.full(size, _BASE, dtype=np.uint64)
+    step[0] = 1
+    back = np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    back[0] = 1
+    return np.cumprod(step, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: word j of text t is at ``first[t] + j``."""
@@ -83,6 +90,14 @@ class Words:
         return mix(total[at] + np.uint64(k)), at
 
 
+def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs ``data[begin:end]``."""
+    powers, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
 def find_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     """Words of the texts ``raw[offsets[t]:offsets[t + 1]]``, lower-cased."""
     base = int(offsets[0])
@@ -104,10 +119,7 @@ def find_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Word
     if len(joined):
         bounds = np.sort(np.concatenate([bounds, joined, joined]), kind="stable")
     begin, end = bounds[0::2], bounds[1::2]
-    powers, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * powers[: len(data)], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    hashes = run_hashes(data, begin, end)
     first = np.searchsorted(begin, starts_of_text)
     first[-1] = len(begin)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
