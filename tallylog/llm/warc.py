@@ -3,8 +3,8 @@
 Each capture is three records: a request, a response (or a revisit of an earlier response with
 the same payload), and metadata; request and metadata name the response in
 WARC-Concurrent-To.  Archives are written by Spark's text writer, whose line separator is the blank lines
-that end a record, so a file is a plain WARC 1.1 file.  They are read as whole files, which the writer
-keeps small, and records are cut by Content-Length.
+that end a record, so a file is a plain WARC 1.1 file.  They are read as whole files, whose bytes the writer
+bounds, and records are cut by Content-Length.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ _VERSION = "WARC/1.1"
 #: The capture time of pages that have none, and the profile of identical payloads.
 CAPTURED = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Captures in one archive file at most.
-CAPTURES_PER_FILE = 1_000
+#: Captures in one archive file at most, and bytes of a payload beyond which a capture has a file of its own: a file
+#: of many captures has 256 MB at most, however large pages are.
+CAPTURES_PER_FILE, LARGE_PAGE = 1_000, 1 << 18
 
 
 def _uuid(*parts: Column) -> Column:
@@ -66,10 +67,20 @@ def write_archives(
     base = with_row_ids(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
     base = base.withColumn("html", utf8_or_empty(F.col("html"))).withColumn("url", F.translate(utf8_or_empty(F.col("url")), "\r\n", ""))
     base = base.withColumn("digest", sha1_base32(F.col("html"))).withColumn("bytes", F.octet_length("html"))
-    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col(ROW_ID).alias("row"))
+    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col(ROW_ID).alias("row"), F.col("url").alias("url"))
     equal = base.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    equal = materialize(equal.where("n > 1").drop("n"), "payloads")
+    large = base.where(F.col("bytes") > LARGE_PAGE)
+    parts = [(base.where(F.col("bytes") <= LARGE_PAGE), CAPTURES_PER_FILE), *([] if large.isEmpty() else [(large, 1)])]
+    for part, captures in parts:
+        records = _records(part, equal)
+        records.write.mode("append").option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
+
+
+def _records(base: DataFrame, equal: DataFrame) -> DataFrame:
+    """``value``: three records of each page of ``base``; ``equal`` has the first page of each payload that repeats."""
     # only payloads that repeat take part in the join; one that fills many rows is split by adaptive execution
-    rows = base.join(equal.where("n > 1").drop("n"), ["digest", "bytes"], "left")
+    rows = base.join(equal, ["digest", "bytes"], "left")
     revisit = F.col("first.row").isNotNull() & (F.col("first.row") != F.col(ROW_ID))
 
     row = F.col(ROW_ID).cast("string")
@@ -93,6 +104,8 @@ def write_archives(
             uri,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
             ("WARC-Refers-To", F.when(revisit, _uuid(F.lit("response"), F.col("first.row").cast("string")))),
+            ("WARC-Refers-To-Target-URI", F.when(revisit & (F.col("first.url") != ""), F.col("first.url"))),
+            ("WARC-Refers-To-Date", F.when(revisit, F.lit(CAPTURED))),
             ("WARC-Profile", F.when(revisit, F.lit(_PROFILE))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
@@ -103,8 +116,7 @@ def write_archives(
         [("WARC-Record-ID", _uuid(F.lit("metadata"), row)), date, uri, ("WARC-Concurrent-To", record_id), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat_ws(_CRLF, F.concat(F.lit("page-id: "), F.col("id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string")), F.lit("")),
     )
-    records = rows.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-    records.write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).text(path)
+    return rows.select(F.explode(F.array(request, capture, metadata)).alias("value"))
 
 
 _FIELDS = ("type", "record_id", "target_uri", "date", "concurrent_to", "refers_to", "header_digest", "payload_bytes", "payload_digest", "fields", "payload")

@@ -4,11 +4,13 @@ import base64
 import gzip
 import hashlib
 import io
+import shutil
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallylog.llm import token_store, warc
@@ -79,6 +81,19 @@ def test_no_pages(spark, tmp_path):
 ODD = ["it is  two", "\n a b", "don't 's", "<|endoftext|> a", " lead", "trail ", "é è, a.b\nNext (x)", "a\tb c 　d", "á b​c ½ ² 中文", "x" * 3000]
 
 
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    """Pages that are large stand alone in their files, so no file grows with the sizes of many pages."""
+    monkeypatch.setattr(warc, "LARGE_PAGE", 1000)
+    rows = [(i, f"http://a.example/{i}", "x" * (5000 if i % 10 == 0 else i) + str(i % 7)) for i in range(200)]
+    path = str(tmp_path / "warc")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.archive_pages(pages, path=path).collect()
+    assert len(found) == 200 and all(r["verified"] for r in found)
+    for f in (tmp_path / "warc").rglob("*.gz"):
+        kinds = [r[0] for r in warc.records_of(gzip.open(f))]
+        assert len(gzip.open(f).read()) < 1000 * 200 and (max(len(r[-1] or b"") for r in warc.records_of(gzip.open(f))) <= 1000 or len(kinds) == 3)
+
+
 def test_token_store_round_trip(spark, tmp_path):
     rows = awkward() + [(700 + i, t, "en", "a") for i, t in enumerate(ODD)]
     path = str(tmp_path / "store")
@@ -103,11 +118,40 @@ def test_token_store_round_trip(spark, tmp_path):
 def test_a_changed_chunk_is_noticed(spark, tmp_path):
     path, broken = str(tmp_path / "store"), str(tmp_path / "broken")
     token_store.write_store(documents(spark, [(1, "one two three", "en", "a"), (2, "four", "en", "a")]), path, TOKENIZER)
-    spark.read.parquet(f"{path}/chunks").selectExpr("digest", "n_ids", "width", "if(n_ids > 2, overlay(data placing x'0909' from 1), data) as data", "refs").write.parquet(f"{broken}/chunks")
+    spark.read.parquet(f"{path}/chunks").selectExpr("digest", "n_ids", "width", "if(n_ids > 2, overlay(data placing x'0909' from 1), data) as data").write.parquet(f"{broken}/chunks")
     spark.read.parquet(f"{path}/recipes").write.parquet(f"{broken}/recipes")
     assert {r["doc_id"]: r["verified"] for r in token_store.read_store(spark, broken).collect()} == {1: False, 2: True}
 
 
+def test_a_changed_root_is_noticed(spark, tmp_path, monkeypatch):
+    """The manifest has one root; it holds for the store as written, and not if a document's root or any level's differs."""
+    monkeypatch.setattr(token_store, "BLOCK_IDS", 64)
+    monkeypatch.setattr(token_store, "FAN_OUT", 3)
+    path = str(tmp_path / "store")
+    token_store.write_store(documents(spark, awkward()), path, TOKENIZER)
+    levels = sorted(p.name for p in (tmp_path / "store" / "manifest").iterdir() if p.name.startswith("level"))
+    assert len(levels) > 3 and spark.read.parquet(f"{path}/manifest/{levels[-1]}").count() == 1
+    assert token_store.manifest_holds(spark, path)
+    for i, table in enumerate(["recipes", f"manifest/{levels[0]}", f"manifest/{levels[-1]}"]):
+        broken = str(tmp_path / f"broken{i}")
+        shutil.copytree(path, broken)
+        rows = spark.read.parquet(f"{path}/{table}")
+        least = rows.agg(F.min("root")).first()[0]
+        rows.withColumn("root", F.when(F.col("root") == least, F.unhex(F.lit("00" * 32))).otherwise(F.col("root"))).write.mode("overwrite").parquet(f"{broken}/{table}")
+        assert not token_store.manifest_holds(spark, broken)
+        assert not token_store.read_store(spark, broken).first()["manifest_verified"]
+
+
+def test_pieces_are_told_apart(monkeypatch):
+    """Where hashes of pieces collide, texts are encoded piece by piece."""
+    texts = ["one two three two one", "two", "", "a b c", "x  y", " lead", "été naïve été"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert token_store._Encoder(TOKENIZER).encode(texts) == expected
+    monkeypatch.setattr(token_store, "run_hashes", lambda data, begin, end: np.zeros(len(begin), np.uint64))
+    assert token_store._Encoder(TOKENIZER).encode(texts) == expected
+
+
 def test_empty_store(spark, tmp_path):
     token_store.write_store(documents(spark, []), str(tmp_path / "s"), TOKENIZER)
     assert token_store.read_store(spark, str(tmp_path / "s")).count() == 0
