@@ -4,8 +4,8 @@ Every text is fingerprinted by winnowing: of each ``window`` consecutive hashes
 words the smallest is kept, so a span of ``k + window - 1`` words that two texts share holds
 a fingerprint that both keep.  With k + window - 1 = 13 no shared run of 13 words is missed.
 
-Scan tasks send on only fingerprints that a fixed-size bitmap of the benchmark's
-fingerprints lets pass, each with the hashes of the words around it.  Those join the benchmark's
+Scan tasks send on only fingerprints that a bitmap of the benchmark's
+fingerprints, of bounded size, lets pass, each with the hashes of the words around it.  Those join the benchmark's
 fingerprints, and each hit is extended to both sides; where 13 words or more agree, they
 are marked.  Items of fewer than 13 words are fingerprinted by their whole word sequence.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylog.llm.shared import ROW_ID, materialize, with_row_ids
@@ -27,8 +27,9 @@ SPAN = 13
 #: Words of a fingerprint; SPAN - GRAM + 1 hashes stand in a winnowing window.
 GRAM = 7
 _SIDE = SPAN - GRAM
-#: Bits of the bitmap that a scan task tests fingerprints against: 2 MB, whatever the benchmark's size.
-BITMAP_BITS = 1 << 24
+#: Bits of the bitmap that a scan task tests fingerprints against, for each fingerprint of the benchmark, and the least and most in all (2 and 32 MB).
+#: Up to 16 million fingerprints at most one in 16 others passes; beyond, more pass and are sorted out by the join.
+BITS_PER_PRINT, LEAST_BITS, MOST_BITS = 16, 1 << 24, 1 << 28
 #: Most benchmark fingerprints that are broadcast to join (about 250 bytes each); beyond, both sides are shuffled.
 BROADCAST_FINGERPRINTS = 100_000
 
@@ -108,7 +109,7 @@ def _scan(short_or_bitmap):
                             whole = counts[words.owner[at]] == -kind
                             prints, at = prints[whole], at[whole]
                     else:
-                        low = prints & np.uint64(BITMAP_BITS - 1)
+                        low = prints & np.uint64(8 * len(bitmap) - 1)
                         bit = bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)
                         maybe = (bit & 1).astype(bool)
                         prints, at = prints[maybe], at[maybe]
@@ -151,13 +152,14 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ).filter(keep)
 
 
-def _bitmap(spark: SparkSession, prints: DataFrame) -> np.ndarray:
-    """Bitmap of the fingerprints' low bits; the driver gets at most BITMAP_BITS / 64 longs."""
-    low = F.col("print").bitwiseAND(BITMAP_BITS - 1)
+def _bitmap(prints: DataFrame, number: int) -> np.ndarray:
+    """Bitmap of the low bits of ``number`` fingerprints; the driver gets at most MOST_BITS / 64 longs."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_PRINT * number - 1).bit_length()))
+    low = F.col("print").bitwiseAND(bits - 1)
     cells = prints.groupBy((F.shiftright(low, 6)).cast("int").alias("cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(print & {BITMAP_BITS - 1} & 63 as int))")).alias("bits")
+        F.bit_or(F.expr(f"shiftleft(1L, cast(print & {bits - 1} & 63 as int))")).alias("bits")
     )
-    words = np.zeros(BITMAP_BITS // 64, np.uint64)
+    words = np.zeros(bits // 64, np.uint64)
     got = cells.toArrow()
     words[got["cell"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return words.astype("<u8").view(np.uint8)
@@ -183,7 +185,8 @@ def contamination(
         listed.select(ROW_ID, "text").mapInArrow(_scan(None), _HITS_DDL).where("kind is not null"), "fingerprints"
     )
     short = sorted(-r[0] for r in bench.where("kind < 0").select("kind").distinct().collect())  # at most 12 lengths
-    filters = spark.sparkContext.broadcast((_bitmap(spark, bench), short))
+    number = bench.count()
+    filters = spark.sparkContext.broadcast((_bitmap(bench, number), short))
     base = with_row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     scanned = materialize(base.select(ROW_ID, "text").mapInArrow(_scan(filters), _HITS_DDL), "hits")
     ids = base.select(ROW_ID, "id")
@@ -191,7 +194,7 @@ def contamination(
     side = bench.select(
         "kind", "print", F.col(ROW_ID).alias("item"), F.col("around").alias("item_around")
     ).distinct()
-    if bench.count() <= BROADCAST_FINGERPRINTS:
+    if number <= BROADCAST_FINGERPRINTS:
         side = F.broadcast(side)
     joined = scanned.where("kind is not null").select(ROW_ID, "kind", "print", "pos", "around").join(side, ["kind", "print"])
     spans = joined.select(ROW_ID, "item", "kind", "pos", "around", "item_around").mapInArrow(
