@@ -9,25 +9,33 @@ from tallylog.operators.parsing import event_code
 
 #: Fixed value: seconds of the trailing window.
 WINDOW_SECONDS = 300
+#: Seconds of time that one task counts together, for each key.
+SLICE_SECONDS = 300
 
 
 def trailing_count(rows: DataFrame, key: list[str], flag: Column, name: str, seconds: float) -> DataFrame:
     """Add how many flagged rows of the key lie in ``(ts - seconds, ts]`` and arrived no later.
 
-    Time is cut into slices of ``seconds``, flagged rows are copied into their own slice and the next, and each row counts within its
-    slice; so a key with very many rows is spread over time.  Of rows at the same time only earlier arrivals (``seq``) count.
+    Of rows at the same time only earlier arrivals count, by ``seq``, which no two rows share.  The count is a difference of running counts in the order of time: at the row,
+    less where its window begins.  Rows and begins of windows are points of one order, which is cut into slices of SLICE_SECONDS
+    whatever the window; a slice goes on from the sum of those before it, so a key with very many rows is spread over time.
     """
-    width = int(round(seconds * 1e6))
-    flagged = rows.withColumn("__flag", flag.cast("int")).withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
-    flagged = flagged.withColumn("__slice", F.expr(f"floor(__us / {width})"))
-    slices = F.when(F.col("__flag") == 1, F.array("__slice", F.col("__slice") + 1)).otherwise(F.array("__slice"))
-    spread = flagged.withColumn("__home", F.explode(slices))
-    part = [*key, "__home"]
-    reach = Window.partitionBy(*part).orderBy("__us").rangeBetween(-(width - 1), Window.currentRow)
-    later = Window.partitionBy(*part, "__us").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    count = F.sum("__flag").over(reach) - F.coalesce(F.sum("__flag").over(later), F.lit(0))
-    out = spread.withColumn(name, count).where(F.col("__home") == F.col("__slice"))
-    return out.select(*rows.columns, name)
+    width, slice_ = int(round(seconds * 1e6)), int(SLICE_SECONDS * 1e6)
+    keyed = rows.select(*key, "seq", F.coalesce(flag, F.lit(False)).cast("long").alias("__flag"), F.unix_micros(F.col("ts").cast("timestamp")).alias("__us"))
+    points = keyed.select("*", F.explode(F.array(F.lit(0), F.lit(width).cast("long"))).alias("__back"))
+    points = points.withColumns({"__at": F.col("__us") - F.col("__back"), "__sign": F.when(F.col("__back") == 0, 1).otherwise(-1)})
+    points = points.withColumns({"__slice": F.expr(f"floor(__at / {slice_})"), "__counted": F.when(F.col("__back") == 0, F.col("__flag")).otherwise(0)})
+    sums = points.groupBy(*key, "__slice").agg(F.sum("__counted").alias("__sum"))
+    earlier = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"__k_{c}") for c in key], F.col("__slice").alias("__s"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
+    same = F.col("__slice") == F.col("__s")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    # at one time, rows come by arrival and then the windows that begin there
+    order = Window.partitionBy(*key, "__slice").orderBy("__at", F.desc("__sign"), "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = points.withColumn("__upto", F.sum("__counted").over(order)).join(offsets, same)
+    counts = counted.groupBy(F.col("seq").alias("__seq")).agg(F.sum(F.col("__sign") * (F.col("__upto") + F.col("__offset"))).alias(name))
+    return rows.join(counts, F.col("seq") == F.col("__seq")).select(*rows.columns, name)
 
 
 def event_features(events: DataFrame, seconds: float = WINDOW_SECONDS) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Most keys of a server configuration: four for each server.
+MOST_KEYS = 100_000
+
+
 def file_name(path: Column) -> Column:
     """The part after the last slash."""
     return F.regexp_extract(path, "[^/]*$", 0)
@@ -28,30 +32,22 @@ def lookup_keys(config: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("server_id", place).alias("server_id"), F.min(place).alias("key_order"))
 
 
-def _substrings(text: Column) -> Column:
-    """All distinct substrings, the empty one included; a file name of n characters has n * (n + 1) / 2 at most."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
-    from_start = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - i + 1)), lambda n: F.substring(text, i, n)))
-    return F.array_distinct(F.flatten(from_start))
-
-
 def match_servers(files: DataFrame, keys: DataFrame, column: str = "log_file") -> DataFrame:
     """Add server_id to each distinct file: by path, file name, base name, then the first key within the base name; else UNKNOWN.
 
-    The first three are equi-joins.  So is the last: files without such a match are joined by the substrings of their base names.
+    The first three are equi-joins.  For the last, the keys of a configuration, of which there are at most MOST_KEYS, stand in one row in their order, and
+    each file takes the first that its base name contains.
     """
     rows = files.select(column).distinct()
     rows = rows.withColumns({"k0": F.col(column), "k1": file_name(F.col(column)), "k2": base_name(F.col(column))})
     for i in range(3):
         exact = keys.select(F.col("key").alias(f"k{i}"), F.col("server_id").alias(f"s{i}"))
         rows = rows.join(exact, f"k{i}", "left")
-    rows = rows.withColumn("found", F.coalesce("s0", "s1", "s2"))
-    done, open_ = rows.where("found is not null"), rows.where("found is null")
     low = keys.groupBy(F.lower("key").alias("part")).agg(F.min_by("server_id", "key_order").alias("server_id"), F.min("key_order").alias("key_order"))
-    parts = open_.select(column, F.explode(_substrings(F.lower("k2"))).alias("part"))
-    partial = parts.join(low, "part", "left").groupBy(column).agg(F.min_by("server_id", "key_order").alias("found"))
-    both = done.select(column, "found").unionByName(partial)
-    return both.select(column, F.coalesce("found", F.lit("UNKNOWN")).alias("server_id"))
+    packed = F.array_sort(F.collect_list(F.struct("key_order", "part", "server_id")))
+    listed = low.agg(F.when(F.count("*") > MOST_KEYS, F.raise_error(F.lit(f"more than {MOST_KEYS} keys of servers"))).otherwise(packed).alias("low"))
+    within = F.get(F.filter(listed.scalar(), lambda k: F.contains(F.lower(F.col("k2")), k["part"])), F.lit(0))["server_id"]
+    return rows.select(column, F.coalesce("s0", "s1", "s2", within, F.lit("UNKNOWN")).alias("server_id"))
 
 
 def file_sids(lines: DataFrame) -> DataFrame:

@@ -103,3 +103,10 @@ def trigrams(logs: DataFrame, k: int | None = 10, within_component: bool = False
         best = Window.partitionBy("server").orderBy(F.desc("n"), "first_seen")
         counts = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     return counts.select("server", "first_event", "second_event", "third_event", "n", "first_seen")
+
+
+def configured_chains(logs: DataFrame, chains: dict[str, list[str]]) -> DataFrame:
+    """server, chain, step, place, n: messages that contain each step of the configured chains."""
+    steps = F.array(*[F.struct(F.lit(name).alias("chain"), F.lit(i).alias("place"), F.lit(step).alias("step")) for name, listed in sorted(chains.items()) for i, step in enumerate(listed)])
+    found = F.filter(steps, lambda x: F.contains(F.col("message"), x["step"]))
+    return logs.select("server", F.inline(found)).groupBy("server", "chain", "place", "step").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylog.functions.ordered import with_neighbours
+from tallylog.functions.ordered import BLOCK, with_neighbours
 from tallylog.functions.text import fixed
 
 #: Patterns of numbers (name, value), by index; what each needs is in ``extract_values``.
@@ -15,6 +15,10 @@ TRACKED = ("totalSteps", "totalCalories", "totalAltitude", "patient_id")
 BARE_OVER, PAIR_OVER, PROGRESSION_OVER, DISTRIBUTION_OVER, COMPARED = 100, 5, 10, 3, 20
 
 
+#: Matches of a pattern in a line, and patterns of a line, that one sample order holds; a line of more matches than that is an error.
+_MATCHES, _PATTERNS = 1 << 20, 8
+
+
 def _number(text: Column) -> Column:
     """A whole number, exact up to 38 digits; null beyond."""
     return text.try_cast("decimal(38,0)")
@@ -31,11 +35,10 @@ def extract_values(logs: DataFrame) -> DataFrame:
     def found(i: int, name_group: int | None) -> Column:
         pattern = F.lit(NUMBER_PATTERNS[i])
         values = F.regexp_extract_all(m, pattern, F.lit(2 if name_group else 1))
-        names = F.regexp_extract_all(m, pattern, F.lit(1))
-        return F.transform(
-            values,
-            lambda v, j: F.struct(F.lit(i).alias("pat_idx"), j.alias("match_idx"), (F.get(names, j) if name_group else F.lit("")).alias("key"), v.alias("text")),
-        )
+        if not name_group:
+            return F.transform(values, lambda v, j: F.struct(F.lit(i).alias("pat_idx"), j.alias("match_idx"), F.lit("").alias("key"), v.alias("text")))
+        zipped = F.arrays_zip(F.regexp_extract_all(m, pattern, F.lit(1)).alias("key"), values.alias("text"))
+        return F.transform(zipped, lambda x, j: F.struct(F.lit(i).alias("pat_idx"), j.alias("match_idx"), x["key"].alias("key"), x["text"].alias("text")))
 
     all_found = F.concat(found(0, 1), found(1, 1), found(2, 1), found(3, None), found(4, None))
     rows = logs.select("server", "component", "line_no", F.explode(all_found).alias("x"))
@@ -53,7 +56,12 @@ def extract_values(logs: DataFrame) -> DataFrame:
 
 def with_sample_order(values: DataFrame) -> DataFrame:
     """Add ``ord``, distinct within a server: line, then pattern, then match."""
-    return values.withColumn("ord", (F.col("line_no") * 8 + F.col("pat_idx")) * 4096 + F.col("match_idx"))
+    return values.withColumn("ord", _sample_order(F.col("line_no") * _PATTERNS + F.col("pat_idx")))
+
+
+def _sample_order(place: Column) -> Column:
+    many = F.raise_error(F.lit(f"a line has more than {_MATCHES} numbers"))
+    return F.when(F.col("match_idx") < _MATCHES, place * _MATCHES + F.col("match_idx")).otherwise(many.cast("long"))
 
 
 def counters(logs: DataFrame) -> DataFrame:
@@ -63,13 +71,11 @@ def counters(logs: DataFrame) -> DataFrame:
     """
     m = F.col("message")
     pattern = F.lit(NUMBER_PATTERNS[2])
-    pairs = F.transform(
-        F.regexp_extract_all(m, pattern, F.lit(2)),
-        lambda v, j: F.struct(j.alias("match_idx"), F.get(F.regexp_extract_all(m, pattern, F.lit(1)), j).alias("name"), v.alias("text")),
-    )
-    rows = logs.select("server", "line_no", F.explode(pairs).alias("x")).select("server", "line_no", "x.*")
-    rows = rows.select("server", "name", (F.col("line_no") * 4096 + F.col("match_idx")).alias("ord"), _number(F.col("text")).alias("v"))
-    rows = with_neighbours(rows.where("v is not null"), ["server", "name"], "ord", {"before": (F.col("v"), -1)})
+    pairs = F.arrays_zip(F.regexp_extract_all(m, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(m, pattern, F.lit(2)).alias("text"))
+    rows = logs.select("server", "line_no", F.posexplode(pairs).alias("match_idx", "x")).select("server", "line_no", "match_idx", "x.*")
+    rows = rows.select("server", "name", _sample_order(F.col("line_no")).alias("ord"), _number(F.col("text")).alias("v"))
+    # a block is as many lines as elsewhere
+    rows = with_neighbours(rows.where("v is not null"), ["server", "name"], "ord", {"before": (F.col("v"), -1)}, BLOCK * _MATCHES)
     return rows.groupBy("server", "name").agg(
         F.when(F.bool_or(F.coalesce(F.col("v") > F.col("before"), F.lit(False))), "incrementing_counter").otherwise("counter").alias("type"),
         F.count("*").alias("samples"),
@@ -90,6 +96,16 @@ def tracked_values(logs: DataFrame, names: tuple[str, ...] = TRACKED) -> DataFra
     )
 
 
+def state_values(logs: DataFrame, variables: dict[str, str]) -> DataFrame:
+    """server, name, samples, last: of each message, the first match of a configured pattern, its first group or all of it."""
+    found = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.when(F.col("message").rlike(pattern), F.regexp_extract("message", pattern, int("(" in pattern.replace("(?", "").replace("\\(", "")))).alias("text"))
+        for name, pattern in sorted(variables.items())
+    ])
+    rows = logs.select("server", "line_no", F.explode(found).alias("x")).where("x.text is not null")
+    return rows.groupBy("server", "x.name").agg(F.count("*").alias("samples"), F.max_by("x.text", "line_no").alias("last"))
+
+
 def _series(values: DataFrame) -> DataFrame:
     """server, name, rank, n, head: series of more than PAIR_OVER samples by first appearance, with their first samples."""
     rows = with_sample_order(values)
@@ -153,7 +169,7 @@ def value_relations(values: DataFrame, k: int | None = 20) -> DataFrame:
 
 def increments(values: DataFrame) -> DataFrame:
     """server, name, step, n: series of more than ten samples whose consecutive differences are all one positive number."""
-    rows = with_neighbours(with_sample_order(values), ["server", "name"], "ord", {"before": (F.col("v"), -1)})
+    rows = with_neighbours(with_sample_order(values), ["server", "name"], "ord", {"before": (F.col("v"), -1)}, BLOCK * _PATTERNS * _MATCHES)
     step = F.col("v") - F.col("before")
     found = rows.groupBy("server", "name").agg(F.count("*").alias("n"), F.min(step).alias("step"), F.max(step).alias("most"))
     return found.where((F.col("n") > PROGRESSION_OVER) & (F.col("step") == F.col("most")) & (F.col("step") > 0)).select("server", "name", "step", "n")
@@ -173,20 +189,20 @@ def progressions(values: DataFrame) -> DataFrame:
 def distributions(values: DataFrame, k: int | None = 30) -> DataFrame:
     """server, name, lowest, highest, average, median, n, n_distinct, stddev of series of more than three samples.
 
-    The median is the upper one.  It is read from running counts of distinct values, so a long series is summed
+    The median is the upper one.  Everything is read from counts of distinct values, so a long series is summed
     before it is sorted.  The ``k`` largest series of each server are kept, earlier ones first on ties.
     """
     rows = with_sample_order(values)
     counts = rows.groupBy("server", "name", "v").agg(F.count("*").alias("c"), F.min("ord").alias("ord"))
-    upto = Window.partitionBy("server", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("all", F.sum("c").over(Window.partitionBy("server", "name")))
+    series = Window.partitionBy("server", "name")
+    counts = counts.withColumns({"upto": F.sum("c").over(series.orderBy("v")), "all": F.sum("c").over(series), "mean": F.sum(F.col("v").cast("double") * F.col("c")).over(series) / F.sum("c").over(series)})
     middle = F.expr("all div 2")
-    medians = counts.groupBy("server", "name").agg(F.min(F.when(F.col("upto") > middle, F.col("v"))).alias("median"))
-    out = rows.withColumn("d", F.col("v").cast("double")).groupBy("server", "name").agg(
-        F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg("d").alias("average"), F.count("*").alias("n"),
-        F.count_distinct("v").alias("n_distinct"), F.stddev_samp("d").alias("stddev"), F.min("ord").alias("first"),
+    d, c = F.col("v").cast("double"), F.col("c")
+    out = counts.groupBy("server", "name").agg(
+        F.min("v").alias("lowest"), F.max("v").alias("highest"), F.first("mean").alias("average"), F.min(F.when(F.col("upto") > middle, F.col("v"))).alias("median"),
+        F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.sqrt(F.sum(c * (d - F.col("mean")) * (d - F.col("mean"))) / (F.sum("c") - 1)).alias("stddev"), F.min("ord").alias("first"),
     )
-    out = out.where(F.col("n") > DISTRIBUTION_OVER).join(medians, ["server", "name"])
+    out = out.where(F.col("n") > DISTRIBUTION_OVER)
     if k is not None:
         order = Window.partitionBy("server").orderBy(F.desc("n"), "first")
         out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

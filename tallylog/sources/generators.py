@@ -18,7 +18,8 @@ MIXTURES = {
     "windows": {"cbs": 0.35, "csi": 0.30, "trusted_installer": 0.15, "sqm": 0.10, "transaction": 0.10},
     "zookeeper": {"quorum": 0.25, "connection": 0.30, "session": 0.20, "worker": 0.15, "notification": 0.10},
 }
-#: Own wording of each kind: component, process, message.  {a}, {b} are numbers, {h} hexadecimal, {ip} an address.
+#: Component, process and message of each kind.  Those that the learner looks for (steps, calories, altitude, SCREEN_ON and SCREEN_OFF, REPORT, "check pass; user unknown") are
+#: fixed values; the other wording is our own.  {a}, {b} are numbers, {h} hexadecimal, {ip} an address.
 WORDING = {
     "screen": ("Step_ScreenUtil", "", "SCREEN_{toggle}"),
     "report": ("HiH_Report", "", "REPORT : {steps} {a} {b} 240"),
@@ -44,6 +45,11 @@ WORDING = {
 _STEP_CHAIN = ("onStandStepChanged {steps}", "setTodayTotalDetailSteps={steps}", "calculateCaloriesWithCache totalCalories={calories}", "calculateAltitudeWithCache totalAltitude=240")
 
 
+#: Component, template and weight where nothing was learned.  Most templates that are drawn from.
+FALLBACK_PATTERN = ("Component", "sample log <*>", 10.0)
+MOST_PATTERNS = 50
+
+
 def _draw(seed: int, what: str) -> Column:
     """A uniform number in [0, 1) that depends on seed, row and purpose."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "id"), F.lit(1 << 40)) / float(1 << 40)
@@ -85,7 +91,46 @@ def _time(kind: str, seconds: Column) -> Column:
 
 def generate(spark: SparkSession, server_type: str, n: int, seed: int = 0, start: int = 1_700_000_000, partitions: int | None = None) -> DataFrame:
     """id, place, kind, line: ``n`` draws; a step chain is four lines, at places 0 to 3."""
-    rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    return log_lines(spark.range(0, n, 1, partitions) if partitions else spark.range(n), server_type, seed, start)
+
+
+def stream(spark: SparkSession, server_type: str, per_second: float = 1.0, seed: int = 0, start: int = 1_700_000_000) -> DataFrame:
+    """The same lines as a stream, at a rate; the ids go on from 0.  A rate below one a second gives a batch every so often."""
+    source = spark.readStream.format("rate-micro-batch") if per_second < 1 else spark.readStream.format("rate")
+    if per_second < 1:
+        source = source.option("rowsPerBatch", 1).option("advanceMillisPerBatch", int(1000 / per_second))
+    else:
+        source = source.option("rowsPerSecond", int(per_second))
+    return log_lines(source.load().select(F.col("value").alias("id")), server_type, seed, start)
+
+
+def generate_learned(spark: SparkSession, patterns: DataFrame | None, server_type: str, n: int, seed: int = 0, start: int = 1_700_000_000) -> DataFrame:
+    """id, line: ``n`` lines of learned templates, each drawn as often as its share of ``n`` says, its gaps filled with numbers.
+
+    ``patterns`` has template, n and optionally component, as the learner writes them (the most frequent ones of a server, MOST_PATTERNS at most);
+    without any, or where it is None, the lines are those of one fallback template.
+    """
+    found = [] if patterns is None else patterns.select("template", F.col("n").cast("double").alias("n"), (F.col("component") if "component" in patterns.columns else F.lit("Component")).alias("component"))
+    found = found if patterns is None else found.orderBy(F.desc("n"), "template").limit(MOST_PATTERNS).collect()
+    listed = [(r["component"], r["template"], r["n"]) for r in found] or [FALLBACK_PATTERN]
+    total = sum(weight for *_, weight in listed)
+    chosen = pick(seed, {str(i): weight / total for i, (*_, weight) in enumerate(listed)}).cast("int")
+    parts = F.array(*[F.struct(F.lit(c).alias("component"), F.lit(t).alias("template")) for c, t, _ in listed])
+    rows = spark.range(n).withColumn("p", F.get(parts, chosen))
+    user = (30_000_000 + F.floor(_draw(seed, "user") * 10_000_000)).cast("string")
+    line = format_line(F.lit(server_type), _time(server_type, F.lit(start) + F.col("id")), F.col("p.component"), user, F.lit(""), fill_template(F.col("p.template"), seed))
+    return rows.select("id", line.alias("line"))
+
+
+def log_file_name(server_type: Column, instance: Column, log_file: Column | None = None) -> Column:
+    """``<base>_<instance>.log``; the base is the configured name without ``_server.log``, or the type where it does not end so."""
+    low = F.lower(server_type)
+    base = low if log_file is None else F.when(F.contains(log_file, F.lit("_server.log")), F.replace(log_file, F.lit("_server.log"), F.lit(""))).otherwise(low)
+    return F.concat(base, F.lit("_"), instance.cast("string"), F.lit(".log"))
+
+
+def log_lines(rows: DataFrame, server_type: str, seed: int = 0, start: int = 1_700_000_000) -> DataFrame:
+    """id, place, kind, line of rows with ``id``, in batch or as a stream."""
     rows = rows.withColumn("kind", pick(seed, MIXTURES[server_type]))
     number = {
         "a": (1 + F.floor(_draw(seed, "a") * 9_999)).cast("string"),

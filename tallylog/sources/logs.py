@@ -31,13 +31,13 @@ REQUEST = (
 )
 
 
-def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
-    """log_file, line_no, line of the ``*.log`` files of a folder, numbered from 0 in file order.
+def read_lines(spark: SparkSession, path: str, max_lines: int | None = None, names: str = "*.log") -> DataFrame:
+    """log_file, line_no, line of the files of a folder whose names match, numbered from 0 in file order.
 
     Lines are numbered by (block start, place in block): a running count over the blocks of a file plus the place within one,
     so a large file is numbered in parallel.  ``max_lines`` keeps raw lines, blank ones included.
     """
-    rows = spark.read.option("pathGlobFilter", "*.log").text(path)
+    rows = spark.read.option("pathGlobFilter", names).text(path)
     rows = rows.select(
         F.col("_metadata.file_path").alias("log_file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
@@ -51,9 +51,9 @@ def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) ->
     return out if max_lines is None else out.where(F.col("line_no") < max_lines)
 
 
-def first_log_file(spark: SparkSession, path: str) -> str | None:
-    """The ``*.log`` file of a folder with the smallest path, or None."""
-    files = spark.read.option("pathGlobFilter", "*.log").format("binaryFile").load(path).select("path")
+def first_log_file(spark: SparkSession, path: str, server: str | None = None) -> str | None:
+    """The ``*.log`` file of a folder with the smallest path, of those whose names begin with ``server`` where it is given, or None."""
+    files = spark.read.option("pathGlobFilter", f"{server or ''}*.log").format("binaryFile").load(path).select("path")
     return files.agg(F.min("path")).first()[0]
 
 

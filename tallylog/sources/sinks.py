@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: Entries that the collector retains.
 RETAINED = 10_000
@@ -41,3 +42,8 @@ def remove(spark: SparkSession, *paths: str) -> int:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         n += bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
     return n
+
+
+def start_console(stream: DataFrame, rows: int = 20) -> StreamingQuery:
+    """Print each micro-batch."""
+    return stream.writeStream.format("console").option("numRows", rows).option("truncate", False).start()
