@@ -46,7 +46,8 @@ def match_servers(files: DataFrame, keys: DataFrame, column: str = "log_file") -
     low = keys.groupBy(F.lower("key").alias("part")).agg(F.min_by("server_id", "key_order").alias("server_id"), F.min("key_order").alias("key_order"))
     packed = F.array_sort(F.collect_list(F.struct("key_order", "part", "server_id")))
     listed = low.agg(F.when(F.count("*") > MOST_KEYS, F.raise_error(F.lit(f"more than {MOST_KEYS} keys of servers"))).otherwise(packed).alias("low"))
-    within = F.get(F.filter(listed.scalar(), lambda k: F.contains(F.lower(F.col("k2")), k["part"])), F.lit(0))["server_id"]
+    rows = rows.withColumn("low", listed.scalar())
+    within = F.get(F.filter("low", lambda k: F.contains(F.lower(F.col("k2")), k["part"])), F.lit(0))["server_id"]
     return rows.select(column, F.coalesce("s0", "s1", "s2", within, F.lit("UNKNOWN")).alias("server_id"))
 
 

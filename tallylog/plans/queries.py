@@ -6,13 +6,19 @@ The learner's thresholds (a second or two) find nothing in events minutes apart,
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.operators import features, lookup, parsing, registry, sequences, templates, temporal, values
-from tallylog.sources.sinks import retained
+from tallylog.sources import generators
+from tallylog.sources.logs import read_lines, read_registry, read_requests
+from tallylog.sources.sinks import retained, write_json_document, write_log_lines, write_registry
+from tallylog.streaming import collector
+from tallylog.streaming import features as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -556,3 +562,179 @@ def line_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     process = F.when(n % 2 == 0, "p").otherwise("")
     line = parsing.format_line(kind, F.lit("t"), F.col("event_type"), F.col("user_id").cast("string"), process, F.lit("m"))
     return _read(spark, sf_dir, "events").select("event_id", line.alias("line"))
+
+
+@_query(f"WITH {_ELOG} SELECT server, line_no, epoch_us(date_trunc('second', ts)) AS us FROM elog")
+def learner_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times read from the timestamps of the log, not from the events."""
+    return temporal.timed(logs(spark, sf_dir).drop("ts")).select("server", "line_no", F.unix_micros("ts").alias("us"))
+
+
+@_query(f"""
+WITH {_ELOG}, p AS (SELECT server, line_no, substr(message, 1, 30) AS m, epoch_us(ts) AS us, row_number() OVER (PARTITION BY server ORDER BY line_no) AS i FROM elog),
+c AS (
+  SELECT server, line_no, max(i) OVER (PARTITION BY server ORDER BY us RANGE BETWEEN CURRENT ROW AND 1799999999 FOLLOWING) - i + 1 AS size,
+    list(m) OVER (PARTITION BY server ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY line_no) AS k FROM c WHERE size > 3)
+SELECT server, line_no, array_to_string(s[1:least(5, size)], '/') AS samples FROM r WHERE k <= 7
+""")
+def cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first seven clusters of each server, with their first messages."""
+    return temporal.clusters(logs(spark, sf_dir), within=1800.0, k=7).select("server", "line_no", F.array_join("samples", "/").alias("samples"))
+
+
+@_query(f"""
+WITH {_SHORT}, c AS (SELECT server, message AS template, count(*) AS n, min(line_no) AS first_seen, sum(count(*)) OVER (PARTITION BY server) AS total FROM elog GROUP BY server, message),
+r AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY n DESC, first_seen) AS k, count(*) OVER (PARTITION BY server) AS total_templates FROM c)
+SELECT server, template, n, first_seen, total_templates FROM r WHERE k <= 5
+""")
+def templates_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent of many templates."""
+    return templates.template_counts(_short_logs(spark, sf_dir), 5)
+
+
+@_query(f"""
+WITH {_SHORT}, p AS (SELECT server, line_no, substr(message, 1, 30) AS t, lag(substr(message, 1, 30)) OVER (PARTITION BY server ORDER BY line_no) AS f FROM elog),
+c AS (SELECT server, f AS from_state, t AS to_state, count(*) AS n, min(line_no) AS first_seen FROM p WHERE f <> '' AND f <> t GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY n DESC, first_seen) AS k, CAST(sum(n) OVER (PARTITION BY server) AS BIGINT) AS total_sequences FROM c)
+SELECT server, from_state, to_state, n, first_seen, total_sequences FROM r WHERE k <= 6
+""")
+def transitions_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six most frequent of many changes of state."""
+    return sequences.state_transitions(_short_logs(spark, sf_dir), 6)
+
+
+@_query(ORACLE_SQL["value_relations"].replace("WHERE z <= 20", "WHERE z <= 4 AND kind = 'difference'").replace(
+    "kind, round(value, 6) AS value", "first_name || ' = ' || second_name || ' + ' || CAST(value AS BIGINT) AS relation"))
+def relations_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first four relations of each server the differences, as text."""
+    return values.value_relations(_order_values(spark, sf_dir), 4).where("kind = 'difference'").select("server", "first_name", "second_name", "relation")
+
+
+@_query(ORACLE_SQL["distributions"].replace(
+    "SELECT server, name, lowest, highest, round(average, 6) AS average, median, n, n_distinct, round(stddev, 6) AS stddev FROM g",
+    "SELECT server, name, n FROM g QUALIFY row_number() OVER (PARTITION BY server ORDER BY n DESC, first) <= 2"))
+def distributions_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two largest series of each server."""
+    return values.distributions(_numbers(spark, sf_dir), 2).select("server", "name", "n")
+
+
+@_query(ORACLE_SQL["bursts"].replace("SELECT * FROM g", "SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY server ORDER BY start_line) <= 5"))
+def bursts_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five bursts of each server."""
+    return temporal.bursts(logs(spark, sf_dir), within=600.0, min_rows=3).drop("start")
+
+
+_ODD_MESSAGES = """om AS (SELECT event_id AS line_no, event_type AS component, 'size: ' || (event_id % 50) || ' left:' || (event_id % 7) || ' ##' || (event_id * 3)
+  || ' id 12345678-ab' || lpad(lower(to_hex(event_id % 256)), 2, '0') || '-4c3d-8e9f-0123456789ab name9 ' || event_id AS message FROM events)"""
+
+
+def _odd_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with ``name: n``, ``##n``, an identifier, and a word with a digit."""
+    n = F.col("event_id")
+    parts = ("size: ", n % 50, " left:", n % 7, " ##", n * 3, " id 12345678-ab")
+    message = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts], F.lpad(F.lower(F.hex(n % 256)), 2, "0"), F.lit("-4c3d-8e9f-0123456789ab name9 "), n.cast("string"))
+    return _read(spark, sf_dir, "events").select(F.lit("s").alias("server"), n.alias("line_no"), F.col("event_type").alias("component"), message.alias("message"))
+
+
+@_query(rf"""
+WITH {_ODD_MESSAGES},
+x AS (
+  SELECT line_no, component, 1 AS pat, unnest(regexp_extract_all(message, '(\w+):\s*(\d+)', 1)) AS k, unnest(regexp_extract_all(message, '(\w+):\s*(\d+)', 2)) AS v FROM om
+  UNION ALL SELECT line_no, component, 3, '', unnest(regexp_extract_all(message, '##(\d+)', 1)) FROM om)
+SELECT line_no, CAST(pat AS INT) AS pat_idx, CASE pat WHEN 1 THEN component || '.' || k ELSE 'separated_value' END AS name, CAST(v AS BIGINT) AS v FROM x
+""")
+def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers after a colon and after ``##``."""
+    rows = values.extract_values(_odd_logs(spark, sf_dir)).where("pat_idx in (1, 3)")
+    return rows.select("line_no", "pat_idx", "name", F.col("v").cast("long").alias("v"))
+
+
+@_query(rf"""
+WITH {_ODD_MESSAGES}
+SELECT regexp_replace(regexp_replace(message, '\b\d+\b', '<*>', 'g'), '0x[0-9a-f]+', '<*>', 'g') AS template, count(*) AS n FROM om GROUP BY ALL
+""")
+def identifier_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of messages with identifiers, whose decimal parts go first."""
+    return templates.template_counts(_odd_logs(spark, sf_dir), None).select("template", "n")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the session names, or a temporary one in a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tallylog-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS line_no, event_type || ' ' || event_id AS line FROM events")
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as files of text and read back with their numbers."""
+    folder = _folder(spark, "lines")
+    n = F.col("event_id")
+    rows = _read(spark, sf_dir, "events").select((n % 4).alias("part"), n, F.concat_ws(" ", "event_type", n.cast("string")).alias("line"))
+    for part in range(4):
+        # a file of lines in order is one task's work
+        write_log_lines(rows.where(F.col("part") == part).coalesce(1).sortWithinPartitions("event_id"), f"{folder}/{part}")
+    found = read_lines(spark, f"{folder}/*", names="*.txt")
+    return found.select(F.regexp_extract("log_file", "/([0-9])/[^/]*$", 1).cast("long").alias("part"), "line_no", "line")
+
+
+@_query("""
+SELECT event_id AS n, CASE WHEN event_id % 3 = 0 THEN 'login' ELSE 'unknown' END AS event_type, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id END AS "user"
+FROM events WHERE event_id % 5 <> 1
+""")
+def request_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests written as JSON, read with the schema of the service, checked and parsed."""
+    folder = _folder(spark, "requests")
+    n = F.col("event_id")
+    message = F.when(n % 3 == 0, F.concat(F.lit("User u"), F.col("user_id").cast("string"), F.lit(" logged in from 1.2.3.4"))).otherwise("nothing")
+    level = F.when(n % 5 == 1, "LOUD").otherwise("INFO")
+    rows = _read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), level.alias("level"), F.lit("api").alias("service"), message.alias("message"), n.cast("string").alias("action"))
+    write_json_document(rows, folder)
+    return collector.ingest(read_requests(spark, folder)).select(F.col("action").cast("long").alias("n"), "parsed.event_type", "parsed.user")
+
+
+@_query(f"""
+WITH s AS ({_SERVERS}) SELECT type, instance, sid, CASE WHEN instance % 2 = 0 THEN 'running' ELSE 'stopped' END AS status FROM s
+""")
+def registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry written and read back."""
+    path = _folder(spark, "registry")
+    write_registry(_servers(spark, sf_dir).withColumn("status", F.when(F.col("instance") % 2 == 0, "running").otherwise("stopped")), path)
+    return read_registry(spark, path).select("type", "instance", "sid", "status")
+
+
+@_query(f"WITH {_ELOG} SELECT DISTINCT {_TEMPLATE} AS template FROM elog")
+def learned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines generated from the templates of the log, parsed again: they have the same templates."""
+    learned = templates.template_counts(logs(spark, sf_dir)).groupBy("template").agg(F.sum("n").alias("n"))
+    made = generators.generate_learned(spark, learned, "healthcare", 5_000)
+    rows = parsing.parse_learner(made)
+    return rows.select(parsing.template(F.col("message")).alias("template")).distinct()
+
+
+@_query("""
+SELECT CASE i % 2 WHEN 0 THEN 'linux_' || i || '.log' ELSE 'zookeeper_' || i || '.log' END AS name FROM (SELECT s_suppkey AS i FROM supplier)
+""")
+def log_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of instances: from a configured name, or from the type."""
+    i = F.col("s_suppkey")
+    name = generators.log_file_name(F.lit("ZOOKEEPER"), i, F.when(i % 2 == 0, "linux_server.log").otherwise("other.log"))
+    return _read(spark, sf_dir, "supplier").select(name.alias("name"))
+
+
+@_query("""
+SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN count(*) FILTER (event_type = 'click')
+  OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 - 1 PRECEDING AND CURRENT ROW) ELSE 0 END AS n FROM events
+""")
+def streamed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins of each user in the window, counted by the stateful stream over the events; they arrive in the order of time."""
+    folder = _folder(spark, "logins")
+    kind = F.when(F.col("event_type") == "click", "login").otherwise("unknown")
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
+    events = stream.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").cast("string").alias("user"), kind.alias("event_type"))
+    written = live.login_counts(events).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/offsets")
+    written.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq long, n long").parquet(f"{folder}/rows")
