@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallylog.llm.shared import ROW_ID, running_total, scratch_path, with_row_ids
-from tallylog.llm.words import mix, run_hashes
+from tallylog.llm.words import mix
 
 #: Ids that the rolling hash sees; low bits that are zero at an end; least and most ids of a chunk.
 ROLL = 16
@@ -75,8 +75,10 @@ class _Pieces(dict):
         self.encoder, self.tokenize, self.type = encoder, encoder.model.tokenize, encoder.type
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() and (piece.isascii() or max(piece) <= _LAST_LATIN):  # one pre-token
-            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        if piece.isascii() and piece.isalpha():  # one pre-token
+            found = array(self.type, [t.id for t in self.tokenize(_SPACE + piece)]).tobytes()
+        elif piece.isalpha() and max(piece) <= _LAST_LATIN:
+            word = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
             found = array(self.type, [t.id for t in self.tokenize(_SPACE + word)]).tobytes()
         elif piece[-1:] in _MARKS and piece[:-1].isalpha() and (piece.isascii() or max(piece) <= _LAST_LATIN):
             found = self[piece[:-1]] + self.encoder.mark(piece[-1])
@@ -142,69 +144,24 @@ class _Encoder:
         return b"".join(out)
 
     def _split(self, text: str) -> list[str] | None:
-        """The pieces of a text, none if they are what stands between its spaces, or None if it must go through the tokenizer whole."""
+        """The pieces of a text, or None if it must go through the tokenizer whole."""
         if not self.by_piece or any(s in text for s in self.special):
             return None
         odd = any(c in text for c in _ODD_ASCII) or text[:1] == " " or text[-1:] == " "
         if odd or not text.isascii() and any(c in text for c in _ODD_OTHER):
             return _GAP.split(text)
-        return [] if text else [""]
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
             self.starts.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        plain, whole = [], []
-        for i, text in enumerate(texts):
-            parts = self._split(text)
-            if parts is None:
-                whole.append(i)
-            elif parts:
-                out[i] = self.piece(parts[0], "") + b"".join(map(self.pieces.__getitem__, parts[1:]))
-            else:
-                plain.append(i)
-        for i, found in zip(plain, self._encode_plain([texts[i] for i in plain])):
-            out[i] = found
-        for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = self._pack(found.ids)
-        return out
-
-    def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Texts whose pieces are what stands between spaces: equal pieces are looked up once, and their ids dealt out."""
-        if not texts:
-            return []
-        blobs = [text.encode() for text in texts]
-        joined = b" ".join(blobs)
-        data = np.frombuffer(joined, np.uint8)
-        spaces = np.flatnonzero(data == 0x20)
-        begin, end = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]])
-        size = end - begin
-        first = np.searchsorted(begin, np.cumsum([0, *[len(b) + 1 for b in blobs[:-1]]]))
-        with np.errstate(over="ignore"):
-            hashes = run_hashes(data, begin, end)
-            hashes[first] ^= np.uint64(0x5555555555555555)  # the first piece of a text has no space before it
-        _, at, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        # byte by byte the same as the piece that stands for it
-        same = np.arange(len(data) - len(spaces)) + np.repeat(begin - (np.cumsum(size) - size), size)
-        other = same + np.repeat(begin[at][kind] - begin, size)
-        if not (size[at][kind] == size).all() or not (data[same] == data[other]).all():
-            return [self.piece(p[0], "") + b"".join(map(self.pieces.__getitem__, p[1:])) for p in (text.split(" ") for text in texts)]
-        leads = np.zeros(len(begin), bool)
-        leads[first] = True
-        known = self.pieces
-        found = [
-            self.piece(joined[b:e].decode(), "") if lead else known[joined[b:e].decode()]
-            for b, e, lead in zip(begin[at].tolist(), end[at].tolist(), leads[at].tolist())
-        ]
-        table = np.frombuffer(b"".join(found), self.dtype)
-        held = np.array([len(f) for f in found]) // self.dtype.itemsize
-        starts = np.cumsum(held) - held
-        n = held[kind]
-        ids = table[np.arange(n.sum()) + np.repeat(starts[kind] - (np.cumsum(n) - n), n)].tobytes()
-        stops = np.concatenate([[0], np.cumsum(n)])[np.append(first, len(n))] * self.dtype.itemsize
-        return [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        split = [self._split(text) for text in texts]
+        whole = [text for text, parts in zip(texts, split) if parts is None]
+        plain = iter([self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
+        known = self.pieces.__getitem__
+        return [next(plain) if parts is None else self.piece(parts[0], "") + b"".join(map(known, parts[1:])) for parts in split]
 
 
 def chunk_ends(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:

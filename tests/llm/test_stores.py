@@ -142,16 +142,6 @@ def test_a_changed_root_is_noticed(spark, tmp_path, monkeypatch):
         assert not token_store.read_store(spark, broken).first()["manifest_verified"]
 
 
-def test_pieces_are_told_apart(monkeypatch):
-    """Where hashes of pieces collide, texts are encoded piece by piece."""
-    texts = ["one two three two one", "two", "", "a b c", "x  y", " lead", "été naïve été"]
-    tokenizer = Tokenizer.from_file(TOKENIZER)
-    expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
-    assert token_store._Encoder(TOKENIZER).encode(texts) == expected
-    monkeypatch.setattr(token_store, "run_hashes", lambda data, begin, end: np.zeros(len(begin), np.uint64))
-    assert token_store._Encoder(TOKENIZER).encode(texts) == expected
-
-
 def test_empty_store(spark, tmp_path):
     token_store.write_store(documents(spark, []), str(tmp_path / "s"), TOKENIZER)
     assert token_store.read_store(spark, str(tmp_path / "s")).count() == 0
