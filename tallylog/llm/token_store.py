@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -344,7 +345,7 @@ def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _gf2_times(matrix: list[int], vector: int) -> int:
+def _gf2_times(matrix: list[int] | tuple[int, ...], vector: int) -> int:
     total = 0
     for row in matrix:
         if vector & 1:
@@ -367,16 +368,22 @@ def _zero_operators() -> list[list[int]]:
 _ZEROS = _zero_operators()
 
 
+@lru_cache(maxsize=1 << 14)
+def _after_zeros(length: int) -> tuple[int, ...]:
+    """The operator of ``length`` zero bytes; most chunks have one of a few thousand lengths."""
+    columns = [1 << i for i in range(32)]
+    for i, operator in enumerate(_ZEROS):
+        if length >> i & 1:
+            columns = [_gf2_times(operator, c) for c in columns]
+    return tuple(columns)
+
+
 def crc32_joined(crcs: list[int], lengths: list[int]) -> int:
     """CRC-32 of the concatenation of parts, from their CRCs and byte lengths."""
     total = 0
     for crc, length in zip(crcs, lengths):
-        i = 0
-        while length:
-            if length & 1:
-                total = _gf2_times(_ZEROS[i], total)
-            length >>= 1
-            i += 1
+        if total:
+            total = _gf2_times(_after_zeros(length), total)
         total ^= crc
     return total
 
