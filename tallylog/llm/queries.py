@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from tallylog.llm.decontaminate import decontaminate
 from tallylog.llm.exact_dedup import exact_duplicates
 from tallylog.llm.language_id import predict_languages
+from tallylog.llm.merkle import checked_manifest
 from tallylog.llm.mixing import mix_sources
 from tallylog.llm.ngram_join import near_duplicate_classes
+from tallylog.llm.packing import pack
 from tallylog.llm.pii import LOOSE, find_personal_data
 from tallylog.llm.quality import score_quality
 from tallylog.llm.secrets import find_secrets
 from tallylog.llm.token_store import tokenized
 from tallylog.llm.warc import archive_pages
+from tallylog.llm.whitening import whiten
 
 #: The tokenizer's file; the vocabularies are never part of this repository.
 TOKENIZER = os.environ.get("TALLYLOG_TOKENIZER", public_tokenizers.path("byte_bpe_50k.json"))
@@ -95,11 +98,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences along a Hilbert curve."""
+    pieces = pack(_documents(spark, sf_dir), TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, held against tampered ones."""
+    return checked_manifest(_documents(spark, sf_dir))
+
+
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened along their first four components."""
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_token_store, op3_quality_classifier, op4_secret_scan, op5_warc,
         op6_exact_dedup, op7_decontaminate, op8_mix_sources, op9_language_id, op10_pii,
+        op11_curve_packing, op12_merkle_manifest, op13_whiten_embeddings,
     )
 }
 
@@ -199,3 +219,48 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS verified
 FROM d JOIN f ON d.b = f.b
 """
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0})) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "{n}", "text")) + ")"
+
+ORACLE_SQL["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(b AS BIGINT) AS b, (WITH RECURSIVE t AS (SELECT 0 AS i, CAST(b AS BIGINT) AS c UNION ALL SELECT i + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM t WHERE i < 8)
+    SELECT c FROM t WHERE i = 8) AS c FROM range(256) AS r(b)),
+crc AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 1 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, s, i + 1, xor(bits.c, crc.c // 256) FROM crc JOIN bits ON bits.b = xor(crc.c % 256, CAST(ascii(s[i]) AS BIGINT)) WHERE i <= len(s)),
+hit AS (SELECT doc_id FROM crc WHERE i = len(s) + 1 AND xor(c, 4294967295) % 7 = 0),
+l AS (
+  SELECT doc_id, lang, {_LEAF.format(n="CAST(n_chars AS VARCHAR)")} AS leaf,
+    {_LEAF.format(n="CAST(n_chars + CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN 1 ELSE 0 END AS VARCHAR)")} AS now
+  FROM documents),
+p AS (SELECT *, coalesce('=' || lang, '-') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+n1 AS (
+  SELECT 0 AS lv, tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM p
+  UNION ALL
+  SELECT lv + 1, tree, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM n1 WHERE n > 1 GROUP BY lv, tree, pos // 2, n),
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM n1 WHERE n = 1),
+n2 AS (
+  SELECT 0 AS lv, pos, subroot AS h, n FROM sub
+  UNION ALL
+  SELECT lv + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM n2 WHERE n > 1 GROUP BY lv, pos // 2, n),
+steps AS (
+  SELECT p.tree, p.pos, n1.lv AS step, n1.h AS sibling, n1.pos % 2 AS side FROM p JOIN n1 ON n1.tree = p.tree AND n1.pos = xor(p.pos // CAST(pow(2, n1.lv) AS BIGINT), 1) WHERE n1.n > 1
+  UNION ALL
+  SELECT p.tree, p.pos, 1000 + n2.lv, n2.h, n2.pos % 2 FROM p JOIN sub ON sub.tree = p.tree JOIN n2 ON n2.pos = xor(sub.pos // CAST(pow(2, n2.lv) AS BIGINT), 1) WHERE n2.n > 1),
+every AS (
+  SELECT p.tree, p.pos, x.lv AS step FROM p JOIN (SELECT DISTINCT tree, lv FROM n1 WHERE n > 1) x ON x.tree = p.tree
+  UNION ALL SELECT p.tree, p.pos, 1000 + x.lv FROM p, (SELECT DISTINCT lv FROM n2 WHERE n > 1) x),
+path AS (
+  SELECT tree, pos, list({{'l': CASE WHEN side = 0 THEN sibling ELSE '' END, 'r': CASE WHEN side = 1 THEN sibling ELSE '' END}} ORDER BY step) AS steps
+  FROM every LEFT JOIN steps USING (tree, pos, step) GROUP BY tree, pos),
+fold AS (
+  SELECT p.tree, p.pos, now AS h, 1 AS i, coalesce(steps, []) AS steps FROM p LEFT JOIN path USING (tree, pos)
+  UNION ALL
+  SELECT tree, pos, sha256(steps[i].l || h || steps[i].r), i + 1, steps FROM fold WHERE i <= len(steps))
+SELECT p.doc_id, p.leaf, sub.subroot, r.h AS root, sha256(array_to_string(list_transform(f.steps, lambda s: s.l || s.r), '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM p JOIN sub ON sub.tree = p.tree JOIN (SELECT h FROM n2 WHERE n = 1) r ON true
+JOIN fold f ON f.tree = p.tree AND f.pos = p.pos AND f.i = len(f.steps) + 1
+"""

@@ -211,6 +211,11 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+def encoder_of(tokenizer_file: str) -> _Encoder:
+    """The encoder that this worker keeps for a tokenizer's file."""
+    return _workers.get(tokenizer_file) or _workers.setdefault(tokenizer_file, _Encoder(tokenizer_file))
+
+
 _LINK = pa.struct([("digest", pa.binary()), ("n_ids", pa.int32())])
 _ROWS = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("links", pa.list_(_LINK)), ("n_ids", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
 _ROWS_DDL = "digest binary, id long, links array<struct<digest:binary,n_ids:int>>, n_ids int, width int, data binary"
@@ -226,7 +231,7 @@ def _tokenize(tokenizer_file: str, end_id: int):
             gc.enable()
 
     def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _workers.get(tokenizer_file) or _workers.setdefault(tokenizer_file, _Encoder(tokenizer_file))
+        encoder = encoder_of(tokenizer_file)
         dtype = encoder.dtype
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:

@@ -23,9 +23,12 @@ def split_dir(spark, sf_dir, tmp_path_factory):
 
 @pytest.fixture
 def shifting(spark, monkeypatch):
-    """Between any two reads of the row ids the number of cores changes."""
+    """Between any two reads of the row ids the number of cores changes, in every module that writes tables."""
+    import importlib
     import itertools
+    import pkgutil
 
+    from tallylog import llm
     from tallylog.llm import shared
 
     cores = itertools.cycle([3, 16, 5, 9])
@@ -36,9 +39,11 @@ def shifting(spark, monkeypatch):
         spark.conf.set(CORES, next(cores))
         return out
 
-    for module in ("shared", "components", "ngram_join", "decontaminate", "quality", "token_store", "warc", "mixing"):
-        monkeypatch.setattr(f"tallylog.llm.{module}.materialize", change)
-    monkeypatch.setattr(corpus_pipeline, "materialize", change)
+    modules = [importlib.import_module(f"tallylog.llm.{m.name}") for m in pkgutil.iter_modules(llm.__path__)] + [corpus_pipeline]
+    patched = [m for m in modules if hasattr(m, "materialize")]
+    assert {"shared", "ngram_join", "decontaminate", "packing", "merkle"} <= {m.__name__.split(".")[-1] for m in patched}
+    for module in patched:
+        monkeypatch.setattr(module, "materialize", change)
     yield
     spark.conf.unset(CORES)
 
@@ -74,7 +79,7 @@ def test_discard(spark):
         table.collect()
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_token_store", "op3_quality_classifier", "op5_warc", "op7_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_token_store", "op3_quality_classifier", "op5_warc", "op7_decontaminate", "op11_curve_packing", "op12_merkle_manifest"])
 def test_operators_while_cores_change(spark, split_dir, shifting, name):
     run = queries.QUERIES[name]
     first, second = run(spark, split_dir), run(spark, split_dir)
@@ -82,7 +87,7 @@ def test_operators_while_cores_change(spark, split_dir, shifting, name):
     numbers = [c for c, kind in first.dtypes if kind not in ("double",) and c not in keys]
     assert rows(first.select(*keys, *numbers)) == rows(second.select(*keys, *numbers))
     whole = spark.read.parquet(f"{split_dir}/{'pages' if name == 'op5_warc' else 'documents'}.parquet")
-    assert sorted(r[0] for r in first.select(*keys).collect()) == sorted(r[0] for r in whole.select(*keys).collect())
+    assert name == "op11_curve_packing" or sorted(r[0] for r in first.select(*keys).collect()) == sorted(r[0] for r in whole.select(*keys).collect())
 
 
 @pytest.mark.parametrize("stage", range(4))
