@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallylog.functions.ordered import with_running_sum
+from tallylog.functions.search import first_at_or_beyond, numbered
+from tallylog.functions.tables import written
 from tallylog.operators.parsing import event_code
 
 #: Fixed value: seconds of the trailing window.
@@ -49,3 +52,34 @@ def event_features(events: DataFrame, seconds: float = WINDOW_SECONDS) -> DataFr
     rows = rows.withColumn("login_count", F.when(F.col("event_type") == "login", F.col("login_count")).otherwise(0).cast("long"))
     rows = trailing_count(rows, [], F.col("event_type") == "service_error", "error_count", seconds)
     return rows.withColumn("error_count", F.col("error_count").cast("long")).withColumn("event_type_code", event_code(F.col("event_type")))
+
+
+def arrival_count(rows: DataFrame, key: list[str], flag: Column, name: str, seconds: float) -> DataFrame:
+    """Add how many flagged rows of the key are held when each row arrives, in any order of time.
+
+    Rows arrive in the order of ``seq``, a whole number that no two rows share.  An arrival first removes, for good, what is not
+    within ``seconds`` before its own time.  So a row is held from its arrival until the first later arrival whose time is ``seconds`` after its own or more, and the
+    count is a running sum of arrivals less removals; both the search and the sum are spread over a key's rows.
+    """
+    width = int(round(seconds * 1e6))
+    placed = written(numbered(rows.withColumns({"__flag": F.coalesce(flag, F.lit(False)), "__us": F.unix_micros(F.col("ts").cast("timestamp"))}), key, "seq", "__pos"), "arrivals")
+    asked = placed.select(*key, F.col("__pos").alias("pos"), F.col("__us").alias("value"), F.when(F.col("__flag"), F.col("__us") + width).alias("bound"))
+    gone = first_at_or_beyond(asked, key).where("end is not null").groupBy(*key, "end").agg(F.count("*").alias("__gone"))
+    gone = gone.select(*[F.col(c).alias(f"__k_{c}") for c in key], F.col("end").alias("__end"), "__gone")
+    same = F.col("__pos") == F.col("__end")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    change = F.col("__flag").cast("long") - F.coalesce("__gone", F.lit(0))
+    return with_running_sum(placed.join(gone, same, "left"), key, "__pos", change, name).select(*rows.columns, name)
+
+
+def arrival_features(events: DataFrame, seconds: float = WINDOW_SECONDS) -> DataFrame:
+    """Add login_count, error_count and event_type_code, for events that arrive in any order: what the stream gives.
+
+    A user's logins are removed by that user's later logins, errors by all later events.
+    """
+    logins = arrival_count(events.where("event_type = 'login'"), ["user"], F.lit(True), "login_count", seconds)
+    errors = arrival_count(events, [], F.col("event_type") == "service_error", "error_count", seconds)
+    joined = errors.join(logins.select(F.col("seq").alias("__seq"), "login_count"), F.col("seq") == F.col("__seq"), "left")
+    counts = {"login_count": F.coalesce("login_count", F.lit(0)).cast("long"), "error_count": F.col("error_count").cast("long"), "event_type_code": event_code(F.col("event_type"))}
+    return joined.withColumns(counts).select(*events.columns, *counts)

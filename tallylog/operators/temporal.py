@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylog.functions.ordered import with_neighbours, with_running_sum
+from tallylog.functions.search import chain, first_at_or_beyond, numbered
+from tallylog.functions.tables import written
 from tallylog.functions.text import fixed
 
 #: Event labels looked for, and the learner's thresholds in seconds.
@@ -86,20 +87,42 @@ def clusters(logs: DataFrame, within: float = CLUSTER_SECONDS, over: int = 3, k:
     after a reported run.  Those of more than ``over`` rows are kept, the first ``k`` of a server, with the first five messages.
 
     Time is cut into slices of ``within``; every row is copied into the slice before its own, so each anchor finds its run in
-    its slice.  That is exact while times do not fall in line order; servers with falling times go through one pass per server.
+    its slice.  That is exact while times do not fall in line order; servers with falling times, and disjoint runs, go through a search for the first later row
+    at or beyond each anchor's end (``functions/search.py``), which is spread over each server's lines.
     """
     rows = logs.select("server", "line_no", "ts", F.substring("message", 1, 30).alias("message"))
+    if disjoint:
+        return _head(_searched_clusters(rows, within, over, k, True), "line_no", k)
     falls = with_neighbours(rows, ["server"], "line_no", {"before": (F.col("ts"), -1)}).where("ts < before")
-    falling = falls.select(F.col("server").alias("s")).distinct()
+    falling = written(falls.select(F.col("server").alias("s")).distinct(), "falling")
     same = F.col("server").eqNullSafe(F.col("s"))
-    if disjoint:
-        out = rows.groupBy("server").applyInPandas(_scan_clusters(within, over, True), _CLUSTERS)
-    else:
-        out = _sliced_clusters(rows.join(falling, same, "left_anti"), within, over)
-        out = out.unionByName(rows.join(falling, same, "left_semi").groupBy("server").applyInPandas(_scan_clusters(within, over, False), _CLUSTERS))
+    out = _sliced_clusters(rows.join(falling, same, "left_anti"), within, over)
+    if falling.limit(1).count():
+        out = out.unionByName(_searched_clusters(rows.join(falling, same, "left_semi"), within, over, k, False))
     return _head(out, "line_no", k)
 
 
+def _searched_clusters(rows: DataFrame, within: float, over: int, k: int | None, disjoint: bool) -> DataFrame:
+    width = int(round(within * 1e6))
+    placed = written(numbered(rows, ["server"], "line_no").withColumn("value", F.unix_micros("ts")), "placed")
+    # one more row a server, later than all, ends the runs that no other row ends
+    ends = placed.groupBy("server").agg((F.max("pos") + 1).alias("pos")).select("server", "pos", F.lit((1 << 63) - 1).alias("value"), F.lit(None).cast("long").alias("bound"))
+    found = first_at_or_beyond(placed.select("server", "pos", "value", (F.col("value") + width).alias("bound")).unionByName(ends), ["server"])
+    sizes = found.select("server", "pos", (F.col("end") - F.col("pos")).alias("size"))
+    anchors = sizes.where(F.col("size") > over)
+    if disjoint:
+        sizes = written(sizes, "sizes")
+        jumps = sizes.select("server", "pos", (F.col("pos") + F.when(F.col("size") > over, F.col("size")).otherwise(1)).alias("next"))
+        visited = chain(jumps, ["server"]).select(F.col("server").alias("v"), F.col("pos").alias("at"))
+        anchors = sizes.where(F.col("size") > over).join(visited, F.col("server").eqNullSafe(F.col("v")) & (F.col("pos") == F.col("at"))).select("server", "pos", "size")
+    anchors = _head(anchors, "pos", k)
+    wanted = anchors.select(F.col("server").alias("s"), F.col("pos").alias("anchor"), "size", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.least(F.lit(5), "size") - 1)).alias("at"))
+    joined = placed.join(wanted, F.col("server").eqNullSafe(F.col("s")) & (F.col("pos") == F.col("at")))
+    return joined.groupBy("server", "anchor", "size").agg(
+        F.min_by("line_no", "pos").alias("line_no"), F.min_by("ts", "pos").alias("ts"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda m: m["message"]).alias("samples")
+    ).select("server", "line_no", "ts", "size", "samples")
+
+
 def _sliced_clusters(rows: DataFrame, within: float, over: int) -> DataFrame:
     width = int(round(within * 1e6))
     rows = rows.withColumn("us", F.unix_micros("ts")).withColumn("slice", F.expr(f"floor(us / {width})"))
@@ -113,26 +136,6 @@ def _sliced_clusters(rows: DataFrame, within: float, over: int) -> DataFrame:
     return kept.select("server", "line_no", "ts", "size", F.slice("samples", F.lit(1), F.least(F.lit(5), F.col("size")).cast("int")).alias("samples"))
 
 
-_CLUSTERS = "server string, line_no long, ts timestamp, size long, samples array<string>"
-
-
-def _scan_clusters(within: float, over: int, disjoint: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        us = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
-        out, i = [], 0
-        while i < len(us):
-            j = i + 1
-            while j < len(us) and us[j] - us[i] < within * 1e6:
-                j += 1
-            if j - i > over:
-                out.append((pdf["server"].iloc[i], pdf["line_no"].iloc[i], pdf["ts"].iloc[i], j - i, pdf["message"].iloc[i : min(j, i + 5)].tolist()))
-            i = j if disjoint and j - i > over else i + 1
-        return pd.DataFrame(out, columns=["server", "line_no", "ts", "size", "samples"])
-
-    return run
-
-
 def hourly_profile(logs: DataFrame) -> DataFrame:
     """server, hour, n, share of the server's rows."""
     counts = logs.groupBy("server", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), F.min("line_no").alias("first_seen"))

@@ -6,13 +6,12 @@ The learner's thresholds (a second or two) find nothing in events minutes apart,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallylog.functions.tables import new_folder
 from tallylog.operators import features, lookup, parsing, registry, sequences, templates, temporal, values
 from tallylog.sources import generators
 from tallylog.sources.logs import read_lines, read_registry, read_requests
@@ -659,18 +658,10 @@ def identifier_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.template_counts(_odd_logs(spark, sf_dir), None).select("template", "n")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names, or a temporary one in a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='tallylog-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @_query("SELECT event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS line_no, event_type || ' ' || event_id AS line FROM events")
 def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written as files of text and read back with their numbers."""
-    folder = _folder(spark, "lines")
+    folder = new_folder(spark, "lines")
     n = F.col("event_id")
     rows = _read(spark, sf_dir, "events").select((n % 4).alias("part"), n, F.concat_ws(" ", "event_type", n.cast("string")).alias("line"))
     for part in range(4):
@@ -686,7 +677,7 @@ FROM events WHERE event_id % 5 <> 1
 """)
 def request_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests written as JSON, read with the schema of the service, checked and parsed."""
-    folder = _folder(spark, "requests")
+    folder = new_folder(spark, "requests")
     n = F.col("event_id")
     message = F.when(n % 3 == 0, F.concat(F.lit("User u"), F.col("user_id").cast("string"), F.lit(" logged in from 1.2.3.4"))).otherwise("nothing")
     level = F.when(n % 5 == 1, "LOUD").otherwise("INFO")
@@ -700,7 +691,7 @@ WITH s AS ({_SERVERS}) SELECT type, instance, sid, CASE WHEN instance % 2 = 0 TH
 """)
 def registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry written and read back."""
-    path = _folder(spark, "registry")
+    path = new_folder(spark, "registry")
     write_registry(_servers(spark, sf_dir).withColumn("status", F.when(F.col("instance") % 2 == 0, "running").otherwise("stopped")), path)
     return read_registry(spark, path).select("type", "instance", "sid", "status")
 
@@ -730,7 +721,7 @@ SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN count(*) FILTER (eve
 """)
 def streamed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logins of each user in the window, counted by the stateful stream over the events; they arrive in the order of time."""
-    folder = _folder(spark, "logins")
+    folder = new_folder(spark, "logins")
     kind = F.when(F.col("event_type") == "click", "login").otherwise("unknown")
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
@@ -738,3 +729,66 @@ def streamed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = live.login_counts(events).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/offsets")
     written.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("seq long, n long").parquet(f"{folder}/rows")
+
+
+#: Arrival numbers that shuffle events within runs of 64, the same in Spark and SQL.
+_SHUFFLED = "event_id - event_id % 64 + (event_id * 37 + 11) % 64"
+
+
+def _shuffled() -> Column:
+    return F.expr(_SHUFFLED)
+
+
+_LATE = 21_600
+
+
+@_query(f"""
+WITH e AS (SELECT {_SHUFFLED} AS seq, epoch_us(ts) AS us, user_id, event_type FROM events),
+lg AS (SELECT user_id, us, seq FROM e WHERE event_type = 'click'),
+lgone AS (SELECT a.user_id, min(b.seq) AS gone FROM lg a JOIN lg b ON a.user_id = b.user_id AND b.seq > a.seq AND b.us >= a.us + {_LATE}000000 GROUP BY a.user_id, a.seq),
+ld AS (SELECT user_id, seq, 1 AS d FROM lg UNION ALL SELECT user_id, gone, -1 FROM lgone),
+lc AS (SELECT user_id, seq, sum(sum(d)) OVER (PARTITION BY user_id ORDER BY seq) AS n FROM ld GROUP BY user_id, seq),
+egone AS (SELECT min(b.seq) AS gone FROM e a JOIN e b ON b.seq > a.seq AND b.seq <= a.seq + 20000 AND b.us >= a.us + {_LATE}000000 WHERE a.event_type = 'error' GROUP BY a.seq),
+ed AS (SELECT seq, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS d FROM e UNION ALL SELECT gone, -1 FROM egone),
+ec AS (SELECT seq, sum(sum(d)) OVER (ORDER BY seq) AS n FROM ed GROUP BY seq)
+SELECT e.seq, CAST(coalesce(CASE WHEN event_type = 'click' THEN lc.n END, 0) AS BIGINT) AS login_count, CAST(ec.n AS BIGINT) AS error_count
+FROM e JOIN ec ON ec.seq = e.seq LEFT JOIN lc ON lc.seq = e.seq AND lc.user_id = e.user_id
+""")
+def features_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of six hours of events that arrive out of order."""
+    kind = F.when(F.col("event_type") == "click", "login").when(F.col("event_type") == "error", "service_error").otherwise("unknown")
+    e = _read(spark, sf_dir, "events").select(_shuffled().alias("seq"), "ts", F.col("user_id").alias("user"), kind.alias("event_type"))
+    return features.arrival_features(e, _LATE).select("seq", "login_count", "error_count")
+
+
+_LATE_RUNS = f"""e AS (SELECT 's' || (event_id % 4) AS server, {_SHUFFLED} AS line_no, epoch_us(ts) AS us, event_type FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY line_no) - 1 AS pos, count(*) OVER (PARTITION BY server) AS n FROM e),
+z AS (SELECT a.server, a.line_no, a.pos, coalesce(min(b.pos), any_value(a.n)) - a.pos AS size FROM p a LEFT JOIN p b ON a.server = b.server AND b.pos > a.pos AND b.us >= a.us + 7200000000 GROUP BY a.server, a.line_no, a.pos)"""
+
+
+def _late_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log whose times fall now and then in line order."""
+    return _read(spark, sf_dir, "events").select(
+        F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string")).alias("server"), _shuffled().alias("line_no"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("message")
+    )
+
+
+@_query(f"""
+WITH {_LATE_RUNS}, t AS (SELECT a.server, a.pos, string_agg(b.event_type, '/' ORDER BY b.pos) AS samples FROM z a JOIN p b ON a.server = b.server AND b.pos BETWEEN a.pos AND a.pos + least(5, a.size) - 1 GROUP BY a.server, a.pos)
+SELECT z.server, line_no, size, samples FROM z JOIN t ON z.server = t.server AND z.pos = t.pos WHERE size > 3
+""")
+def clusters_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of rows that begin less than two hours after their first, of a log whose times fall."""
+    found = temporal.clusters(_late_logs(spark, sf_dir), within=7200.0, k=None)
+    return found.select("server", "line_no", "size", F.array_join("samples", "/").alias("samples"))
+
+
+@_query(f"""
+WITH RECURSIVE {_LATE_RUNS},
+j AS (SELECT server, pos, pos + CASE WHEN size > 3 THEN size ELSE 1 END AS next FROM z),
+c AS (SELECT DISTINCT server, CAST(0 AS BIGINT) AS pos FROM z UNION ALL SELECT j.server, j.next FROM c JOIN j ON c.server = j.server AND c.pos = j.pos)
+SELECT z.server, z.line_no, z.size FROM z JOIN c ON c.server = z.server AND c.pos = z.pos WHERE size > 3
+""")
+def clusters_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same runs, each begun after the one before."""
+    return temporal.clusters(_late_logs(spark, sf_dir), within=7200.0, k=None, disjoint=True).select("server", "line_no", "size")
