@@ -135,10 +135,10 @@ _WORD = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z]{1,15}(?![A-Za-z0-9+/_-])")
 def ordinary_strings(text: bytes) -> Iterator[str]:
     """Words of a text joined to strings, at places and of lengths that its hash chooses; places that too few words follow give none."""
     draw = zlib.crc32(text)
-    for i in range(-(-len(text) // BYTES_PER_STRING)):
-        draw = (draw * 1_103_515_245 + 12_345) & 0xFFFFFFFF
-        least = int(MIN_RUN * 2 ** (3 * (draw >> 24) / 256))
-        begin = (draw & 0xFFFFFF) % len(text)
+    for _ in range(-(-len(text) // BYTES_PER_STRING)):
+        draw = (draw * 6_364_136_223_846_793_005 + 1_442_695_040_888_963_407) & 0xFFFFFFFFFFFFFFFF
+        least = int(MIN_RUN * 2 ** (3 * (draw >> 56) / 256))
+        begin = (draw >> 8 & 0xFFFFFFFFFFFF) * len(text) >> 48
         out = b""
         for word in _WORD.finditer(text, begin, begin + 16 * least):
             out += word[0]

@@ -10,6 +10,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,8 +65,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 #: Logical plan nodes above one file scan that leave each row's place in its file known.
 _IN_PLACE = ("Project", "Filter", "SubqueryAlias")
-#: Most files whose paths (about 200 bytes each) are broadcast to number them; beyond, rows are written anew first.
-NUMBERED_FILES = 100_000
+#: Most files that are numbered by a broadcast table (16 bytes each; 512 TB in files of 128 MB); beyond, rows are written anew first, into fewer files.
+NUMBERED_FILES = 4_000_000
+#: Files that rows are written into where there are more.
+WRITTEN_FILES = 100_000
+#: Spark's seed of ``xxhash64``.
+_SEED = 42
 
 
 def _file_names(df: DataFrame) -> list[str] | None:
@@ -82,7 +87,13 @@ def _file_names(df: DataFrame) -> list[str] | None:
     except AnalysisException:
         return None
     files = sorted(_short(name) for name in df.inputFiles())
-    return files if len(files) <= NUMBERED_FILES else None
+    return files if len(files) <= NUMBERED_FILES and len({_path_hash(name) for name in files}) == len(files) else None
+
+
+def _path_hash(path: str) -> int:
+    """``xxhash64`` of a path, as Spark computes it."""
+    found = xxhash.xxh64_intdigest(path.encode(), _SEED)
+    return found - (1 << 64) if found >> 63 else found
 
 
 def _short(path: str) -> str:
@@ -107,17 +118,18 @@ def with_row_ids(df: DataFrame, name: str = "rows") -> DataFrame:
         df = materialize(df, name)
         files = _file_names(df)
     if files is None:
-        # more files than are numbered: few large ones are written instead
-        df = materialize(df.repartition(NUMBERED_FILES // 10), name)
+        # more files than are numbered, or two paths of one hash
+        df = materialize(df.repartition(WRITTEN_FILES), name)
         files = _file_names(df)
     place = df.metadataColumn("_metadata")["row_index"]
     if len(files) < 2:
         return df.withColumn(ROW_ID, place)
-    numbers = df.sparkSession.createDataFrame(pa.table({"__path": files, "__file": pa.array(range(len(files)), pa.int64())}))
+    hashes = [_path_hash(name) for name in files]
+    numbers = df.sparkSession.createDataFrame(pa.table({"__path": pa.array(hashes, pa.int64()), "__file": pa.array(range(len(files)), pa.int64())}))
     path = F.regexp_replace(df.metadataColumn("_metadata")["file_path"], "^([^:/]+):/+", "$1:/")
-    marked = df.withColumns({"__path": path, "__place": place}).join(F.broadcast(numbers), "__path", "left")
+    marked = df.withColumns({"__path": F.xxhash64(path), "__place": place}).join(F.broadcast(numbers), "__path", "left")
     # a file that is not in the list would be an error of this function
-    number = F.when(F.col("__file").isNull(), F.raise_error(F.concat(F.lit("file without a number: "), "__path")).cast("long")).otherwise(F.col("__file"))
+    number = F.when(F.col("__file").isNull(), F.raise_error(F.lit("file without a number")).cast("long")).otherwise(F.col("__file"))
     return marked.select(*df.columns, (F.shiftleft(number, 40) + F.col("__place")).alias(ROW_ID))
 
 

@@ -54,13 +54,16 @@ def test_language_samples_are_spread_over_whole_texts(spark, monkeypatch):
     assert len({c for c in content if "w" in c and "licence" not in c}) > 20  # from beyond the start
 
 
-def test_many_languages_share_the_bytes(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "TOTAL_BYTES", 40_000)
-    rows = [(f"l{i:03d}", f"language {i} " * 300) for i in range(60)]
-    models = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
-    assert len(models) == 60 and sum(len(content) for _, content in models) <= 40_000
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 7)
-    assert len(language_id.train(spark.createDataFrame(rows, "lang string, text string"))) == 7
+def test_more_languages_than_a_block_holds(spark, monkeypatch):
+    """All languages are learned, and blocks of any size give the same predictions."""
+    rows = [(i, f"l{i % 20:03d}", f"language{i % 20} {'abcdefghij'[i % 10] * 3}{i % 20} " * 30) for i in range(60)] + [(99, "l003", None), (100, None, "12 34"), (101, None, "abc word")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    whole = sorted(map(tuple, language_id.predict_languages(docs).collect()), key=str)
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 6)
+    blocks = list(language_id.training_blocks(docs))
+    assert [len(b) for b in blocks] == [6, 6, 6, 2]  # of all rows
+    assert sorted(map(tuple, language_id.predict_languages(docs).collect()), key=str) == whole
+    assert len({r[2] for r in whole}) >= 18 and ("und" in {r[2] for r in whole})
 
 
 def test_predictions_equal_brute_force(spark):

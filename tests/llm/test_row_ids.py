@@ -71,6 +71,20 @@ def test_ids_of_other_plans(spark):
         assert len({r[ROW_ID] for r in out}) == len(out) == df.count()
 
 
+def test_more_files_than_are_numbered(spark, split_dir, monkeypatch):
+    from tallylog.llm import shared
+
+    monkeypatch.setattr(shared, "NUMBERED_FILES", 3)
+    monkeypatch.setattr(shared, "WRITTEN_FILES", 2)
+    docs = spark.read.parquet(f"{split_dir}/documents.parquet")
+    out = with_row_ids(docs).select("doc_id", ROW_ID).collect()
+    assert len({r[ROW_ID] for r in out}) == len(out) == docs.count()
+    found = queries.QUERIES["op7_decontaminate"](spark, split_dir)
+    few = rows(found)
+    monkeypatch.undo()
+    assert rows(queries.QUERIES["op7_decontaminate"](spark, split_dir)) == few
+
+
 def test_discard(spark):
     table = materialize(spark.range(5), "numbers")
     discard(table)
