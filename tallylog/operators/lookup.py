@@ -54,7 +54,7 @@ def match_servers(files: DataFrame, keys: DataFrame, column: str = "log_file") -
 def file_sids(lines: DataFrame) -> DataFrame:
     """log_file, sid of files whose first line (line_no 0) is a ``# SID:`` header."""
     head = lines.where((F.col("line_no") == 0) & F.col("line").startswith("# SID:"))
-    return head.groupBy("log_file").agg(F.min(F.trim(F.substring("line", 7, 1_000))).alias("sid"))
+    return head.groupBy("log_file").agg(F.min(F.trim(F.expr("substring(line, 7)"))).alias("sid"))
 
 
 def with_sids(rows: DataFrame, sids: DataFrame) -> DataFrame:

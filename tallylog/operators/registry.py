@@ -20,10 +20,20 @@ def assign_instances(new: DataFrame, servers: DataFrame, order: str) -> DataFram
 
 
 def servers_by_type(servers: DataFrame) -> DataFrame:
-    """type, n, first and last sid, of registered servers."""
+    """type, n, first and last sid, of registered servers; ``listed_by_type`` has the servers themselves."""
     return servers.groupBy("type").agg(F.count("*").alias("n"), F.min_by("sid", "instance").alias("first_sid"), F.max_by("sid", "instance").alias("last_sid"))
 
 
+#: Servers of a list.
+PAGE = 10_000
+
+
+def listed_by_type(servers: DataFrame, page: int = PAGE) -> DataFrame:
+    """type, page, servers: the servers (instance, sid) of each type in the order of their instances, ``page`` instances in a list."""
+    rows = servers.select("type", F.expr(f"instance div {page}").alias("page"), F.struct("instance", "sid").alias("server"))
+    return rows.groupBy("type", "page").agg(F.array_sort(F.collect_list("server")).alias("servers"))
+
+
 def digest_text(seed: Column, chars: int) -> Column:
     """Letters and digits of the first ``chars`` characters of the base64 of a SHA-256."""
     return F.regexp_replace(F.substring(F.base64(F.unhex(F.sha2(seed, 256))), 1, chars), "[^A-Za-z0-9]", "")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylog.functions.ordered import BLOCK, with_neighbours
+from tallylog.functions.tables import written
 from tallylog.functions.text import fixed
 
 #: Patterns of numbers (name, value), by index; what each needs is in ``extract_values``.
@@ -107,7 +112,7 @@ def state_values(logs: DataFrame, variables: dict[str, str]) -> DataFrame:
 
 
 def _series(values: DataFrame) -> DataFrame:
-    """server, name, rank, n, head: series of more than PAIR_OVER samples by first appearance, with their first samples."""
+    """server, name, rank, n, exact: series of more than PAIR_OVER samples by first appearance, with their first samples."""
     rows = with_sample_order(values)
     sizes = rows.groupBy("server", "name").agg(F.count("*").alias("n"), F.min("ord").alias("first")).where(F.col("n") > PAIR_OVER)
     order = Window.partitionBy("server").orderBy("first", "name")
@@ -116,13 +121,13 @@ def _series(values: DataFrame) -> DataFrame:
     # Spark keeps COMPARED rows of a series per task before it shuffles
     head = rows.withColumn("i", F.row_number().over(sample)).where(F.col("i") <= COMPARED)
     head = head.groupBy(F.col("server").alias("s"), F.col("name").alias("m")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"].cast("double")).alias("head")
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"].cast("decimal(38,0)")).alias("exact")
     )
-    return sizes.join(head, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m"))).select("server", "name", "rank", "n", "head")
+    return sizes.join(head, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m"))).select("server", "name", "rank", "n", "exact")
 
 
-def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+#: Series whose ratios to all later ones are sought first, and series that they meet at a time.
+_FIRST_SERIES, _MET_SERIES = 64, 1_024
 
 
 def value_relations(values: DataFrame, k: int | None = 20) -> DataFrame:
@@ -131,40 +136,118 @@ def value_relations(values: DataFrame, k: int | None = 20) -> DataFrame:
     The first samples of each two series are paired by position.  Ratio: more than three pairs with a divisor, population variance of the
     quotients below 0.1; a ratio of 0 is not reported.  Difference: more than three pairs and all differences equal.  Pairs come by
     first appearance, a pair's ratio before its difference, and the first ``k`` of a server are kept.
+
+    Series of one difference have the same samples less their first one, so differences are found by joining series on those, exactly.  Nothing of the kind holds for ratios:
+    any series is within the variance of a much larger one.  They are sought in the order of the result, some first series against all later ones, in numpy blocks; the first
+    series of a round are twice as many as those before, and servers that have ``k`` ratios leave.
     """
-    series = _series(values)
-    a = series.select("server", F.col("name").alias("first_name"), F.col("rank").alias("r1"), F.col("head").alias("x"))
-    b = series.select(F.col("server").alias("s"), F.col("name").alias("second_name"), F.col("rank").alias("r2"), F.col("head").alias("y"))
-    pairs = a.join(b, F.col("server").eqNullSafe(F.col("s")) & (F.col("r1") < F.col("r2")))
-    n = F.least(F.size("x"), F.size("y"))
-    zipped = F.arrays_zip(F.slice("x", F.lit(1), n).alias("p"), F.slice("y", F.lit(1), n).alias("q"))
-    quotients = F.transform(F.filter(zipped, lambda z: z["q"] != 0), lambda z: z["p"] / z["q"])
-    pairs = pairs.withColumn("quotients", quotients).withColumn("differences", F.transform(zipped, lambda z: z["p"] - z["q"]))
-    pairs = pairs.withColumn("ratio", F.when(F.size("quotients") > 3, _mean(F.col("quotients"))))
-    spread = F.aggregate("quotients", F.lit(0.0), lambda s, x: s + (x - F.col("ratio")) * (x - F.col("ratio"))) / F.size("quotients")
-    near_whole = F.abs(F.col("ratio") - F.bround("ratio")) < 0.1
-    ratio = F.struct(
-        F.lit("ratio").alias("kind"), F.col("ratio").alias("value"), F.when(near_whole, "high").otherwise("medium").alias("confidence"),
-        F.concat("first_name", F.lit(" = "), fixed(F.col("ratio"), 2), F.lit(" × "), "second_name").alias("relation"),
-    )
-    difference = F.col("differences")[0]
-    diff = F.struct(
-        F.lit("difference").alias("kind"), difference.alias("value"), F.lit("high").alias("confidence"),
-        F.concat("first_name", F.lit(" = "), "second_name", F.lit(" + "), fixed(difference, 0)).alias("relation"),
-    )
-    found = F.filter(
-        F.array(
-            F.when((spread < 0.1) & (F.col("ratio") != 0), ratio),
-            F.when((F.size("differences") > 3) & (F.array_min("differences") == F.array_max("differences")), diff),
-        ),
-        lambda r: r.isNotNull(),
-    )
-    rows = pairs.select("server", "first_name", "second_name", "r1", "r2", F.posexplode(found).alias("place", "r"))
-    rows = rows.select("server", "first_name", "second_name", "r1", "r2", "r.*")
+    series = written(_series(values), "series")
+    found = _differences(series, k).unionByName(_ratios(series, k))
     if k is not None:
         order = Window.partitionBy("server").orderBy("r1", "r2", F.desc("kind"))
-        rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
-    return rows.drop("r1", "r2")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    names = series.select(F.col("server").alias("s"), F.col("rank").alias("r"), "name")
+    for i in (1, 2):
+        mine = names.select("s", "r", F.col("name").alias(("first_name", "second_name")[i - 1]))
+        found = found.join(mine, F.col("server").eqNullSafe(F.col("s")) & (F.col(f"r{i}") == F.col("r"))).drop("s", "r")
+    ratio = F.col("kind") == "ratio"
+    near_whole = F.abs(F.col("value") - F.bround("value")) < 0.1
+    text = F.when(ratio, F.concat("first_name", F.lit(" = "), fixed(F.col("value"), 2), F.lit(" × "), "second_name"))
+    text = text.otherwise(F.concat("first_name", F.lit(" = "), "second_name", F.lit(" + "), fixed(F.col("value"), 0)))
+    confidence = F.when(ratio & ~near_whole, "medium").otherwise("high")
+    return found.select("server", "first_name", "second_name", "kind", "value", confidence.alias("confidence"), text.alias("relation"))
+
+
+def _differences(series: DataFrame, k: int | None) -> DataFrame:
+    """server, r1, r2, kind, value of pairs whose samples differ by one number, over the length of the shorter series.
+
+    A series stands under its shape at each length from the least to its own; pairs meet where it is the length of one of them.  With
+    ``k``, a class gives what the first ``k`` pairs can need: a first series has at most ``k`` before it in its class, and a second one at most ``k`` between.
+    """
+    lengths = F.sequence(F.lit(PAIR_OVER + 1), F.size("exact"))
+    rows = series.select("server", "rank", "exact", F.explode(lengths).alias("length"))
+    shape = F.transform(F.slice("exact", F.lit(1), F.col("length")), lambda v: F.try_subtract(v, F.col("exact")[0]))
+    rows = rows.select("server", "length", shape.alias("shape"), "rank", (F.size("exact") == F.col("length")).alias("own"), F.col("exact")[0].alias("first"))
+    rows = rows.where(~F.exists("shape", lambda v: v.isNull()))
+    if k is not None:
+        # Spark keeps the first rows of a class for each task before it shuffles
+        places = {c: F.row_number().over(Window.partitionBy("server", "length", "shape").orderBy("rank")) for c in ("at",)}
+        early = rows.withColumns(places).where(F.col("at") <= 2 * k).drop("at")
+        own = rows.where("own").withColumns(places).where(F.col("at") <= 2 * k).drop("at")
+        rows = early.unionByName(own).distinct()
+    b = rows.select(F.col("server").alias("s"), F.col("length").alias("l"), F.col("shape").alias("z"), F.col("rank").alias("r2"), F.col("own").alias("own2"), F.col("first").alias("first2"))
+    same = F.col("server").eqNullSafe(F.col("s")) & (F.col("length") == F.col("l")) & (F.col("shape") == F.col("z")) & (F.col("rank") < F.col("r2"))
+    pairs = rows.join(b, same & (F.col("own") | F.col("own2")))
+    difference = F.try_subtract("first", "first2").cast("double")
+    return pairs.select("server", F.col("rank").alias("r1"), "r2", F.lit("difference").alias("kind"), difference.alias("value")).where("value is not null")
+
+
+def _block_ratios(k: int | None):
+    def heads(column: pa.Array, i: int) -> np.ndarray:
+        """Samples of a block's series, one row each, padded with NaN."""
+        lists = column[i].values
+        sizes = np.diff(lists.offsets.to_numpy())
+        out = np.full((len(sizes), COMPARED), np.nan)
+        out[np.arange(COMPARED) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                r1, r2 = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 3))
+                x, y = heads(batch.column(2), i), heads(batch.column(4), i)
+                firsts, seconds, ratios = [], [], []
+                for row, place in zip(x, r1):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        q = row / np.where(y == 0, np.nan, y)
+                        n = (~np.isnan(q)).sum(axis=1)
+                        mean = np.nansum(q, axis=1) / n
+                        spread = np.nansum((q - mean[:, None]) ** 2, axis=1) / n
+                    hit = np.flatnonzero((n > 3) & (spread < 0.1) & (mean != 0) & (r2 > place))
+                    firsts.append(np.full(len(hit), place))
+                    seconds.append(r2[hit])
+                    ratios.append(mean[hit])
+                    if k is not None and sum(map(len, firsts)) >= k:
+                        break  # series come by rank, so the rest of the block comes later
+                a, b, v = (np.concatenate(z)[:k] for z in (firsts, seconds, ratios))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(a), pa.int32())), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(v, pa.float64())], names=["server", "r1", "r2", "value"])
+
+    return run
+
+
+def _ratios(series: DataFrame, k: int | None) -> DataFrame:
+    """server, r1, r2, kind, value of pairs of one ratio: all, or for each server at least the first ``k``."""
+    rows = series.select("server", (F.col("rank") - 1).alias("at"), F.transform("exact", lambda v: v.cast("double")).alias("head"))
+
+    def packed(df: DataFrame, block: Column, name: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(F.col("at").alias("r"), F.col("head").alias("h"))))
+        out = df.groupBy("server", block.alias("block")).agg(listed.alias("l"))
+        return out.select(F.col("server").alias(f"s{name}"), F.col("block").alias(f"b{name}"), F.transform("l", lambda z: z["r"] + 1).alias(f"r{name}"), F.transform("l", lambda z: z["h"]).alias(f"h{name}"))
+
+    most = series.groupBy("server").agg(F.max("rank").alias("n"))
+    met = written(packed(rows, F.expr(f"at div {_MET_SERIES}"), "2"), "heads")
+    longest = most.agg(F.max("n")).first()[0] or 0
+    found, begin, size = None, 0, _FIRST_SERIES if k is not None else max(1, longest)
+    open_ = most.select("server")
+    while begin < longest:
+        mine = rows.where((F.col("at") >= begin) & (F.col("at") < begin + size))
+        if found is not None:
+            mine = mine.join(open_.select(F.col("server").alias("o")), F.col("server").eqNullSafe(F.col("o")), "left_semi")
+        firsts = packed(mine, F.expr(f"at div {_FIRST_SERIES}"), "1")
+        pairs = firsts.join(met, F.col("s1").eqNullSafe(F.col("s2")) & ((F.col("b2") + 1) * _MET_SERIES > F.col("b1") * _FIRST_SERIES + 1))
+        now = pairs.select("s1", "r1", "h1", "r2", "h2").mapInArrow(_block_ratios(k), "server string, r1 int, r2 int, value double")
+        now = written(now, "ratios")
+        found = now if found is None else found.unionByName(now)
+        begin, size = begin + size, 2 * size
+        if begin < longest:
+            done = found.groupBy("server").count().where(F.col("count") >= k)
+            rest = most.where(F.col("n") > begin)
+            open_ = written(rest.join(done.select(F.col("server").alias("d")), F.col("server").eqNullSafe(F.col("d")), "left_anti").select("server"), "open")
+            if not open_.limit(1).count():
+                break
+    if found is None:
+        found = series.sparkSession.createDataFrame([], "server string, r1 int, r2 int, value double")
+    return found.select("server", "r1", "r2", F.lit("ratio").alias("kind"), "value")
 
 
 def increments(values: DataFrame) -> DataFrame:
@@ -189,21 +272,40 @@ def progressions(values: DataFrame) -> DataFrame:
 def distributions(values: DataFrame, k: int | None = 30) -> DataFrame:
     """server, name, lowest, highest, average, median, n, n_distinct, stddev of series of more than three samples.
 
-    The median is the upper one.  Everything is read from counts of distinct values, so a long series is summed
-    before it is sorted.  The ``k`` largest series of each server are kept, earlier ones first on ties.
+    The median is the upper one.  The ``k`` largest series of each server are kept, earlier ones first on ties, and only theirs are sought.
     """
     rows = with_sample_order(values)
-    counts = rows.groupBy("server", "name", "v").agg(F.count("*").alias("c"), F.min("ord").alias("ord"))
-    series = Window.partitionBy("server", "name")
-    counts = counts.withColumns({"upto": F.sum("c").over(series.orderBy("v")), "all": F.sum("c").over(series), "mean": F.sum(F.col("v").cast("double") * F.col("c")).over(series) / F.sum("c").over(series)})
-    middle = F.expr("all div 2")
-    d, c = F.col("v").cast("double"), F.col("c")
-    out = counts.groupBy("server", "name").agg(
-        F.min("v").alias("lowest"), F.max("v").alias("highest"), F.first("mean").alias("average"), F.min(F.when(F.col("upto") > middle, F.col("v"))).alias("median"),
-        F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.sqrt(F.sum(c * (d - F.col("mean")) * (d - F.col("mean"))) / (F.sum("c") - 1)).alias("stddev"), F.min("ord").alias("first"),
-    )
-    out = out.where(F.col("n") > DISTRIBUTION_OVER)
+    d = F.col("v").cast("double")
+    out = rows.groupBy("server", "name").agg(
+        F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg(d).alias("average"), F.count("*").alias("n"), F.stddev_samp(d).alias("stddev"), F.min("ord").alias("first")
+    ).where(F.col("n") > DISTRIBUTION_OVER)
     if k is not None:
         order = Window.partitionBy("server").orderBy(F.desc("n"), "first")
         out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.select("server", "name", "lowest", "highest", "average", "median", "n", "n_distinct", "stddev")
+    counts = rows.groupBy("server", "name", "v").agg(F.count("*").alias("c"))
+    if k is not None:
+        kept = out.select(F.col("server").alias("s"), F.col("name").alias("m"))
+        counts = counts.join(kept, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m")), "left_semi")
+    medians = upper_medians(counts, ["server", "name"]).select(F.col("server").alias("s"), F.col("name").alias("m"), "median", "n_distinct")
+    joined = out.join(medians, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m")))
+    return joined.select("server", "name", "lowest", "highest", "average", "median", "n", "n_distinct", "stddev")
+
+
+def upper_medians(counts: DataFrame, series: list[str]) -> DataFrame:
+    """``series, median, n_distinct`` from the counts ``c`` of the distinct values ``v`` of each series.
+
+    Values are range-sorted over (series, value).  The ranges of a series are counted, and only the one that has the middle is looked through, so
+    a series of very many distinct values is in no window as a whole.
+    """
+    placed = written(counts.repartitionByRange(*series, "v").withColumn("block", F.spark_partition_id()), "sorted")
+    sums = placed.groupBy(*series, "block").agg(F.sum("c").alias("sum"), F.count("*").alias("distinct"))
+    whole = Window.partitionBy(*series)  # a row for each range
+    before = F.coalesce(F.sum("sum").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"s_{c}") for c in series], F.col("block").alias("b"), (F.expr("sum(sum) over (partition by {0}) div 2".format(", ".join(series))) - before).alias("rest"), "sum", F.sum("distinct").over(whole).alias("n_distinct"))
+    middle = sums.where((F.col("rest") >= 0) & (F.col("rest") < F.col("sum")))
+    on = F.col("block") == F.col("b")
+    for c in series:
+        on = on & F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    upto = F.sum("c").over(Window.partitionBy(*series, "block").orderBy("v"))
+    inside = placed.join(middle, on).withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
+    return inside.groupBy(*series).agg(F.min("v").alias("median"), F.first("n_distinct").alias("n_distinct"))

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from tallylog.functions.tables import new_folder
 from tallylog.operators import features, lookup, parsing, registry, sequences, templates, temporal, values
 from tallylog.sources import generators
+from tallylog.sources.entry_table import EntryTable
 from tallylog.sources.logs import read_lines, read_registry, read_requests
+from tallylog.sources.registry_table import Registry
 from tallylog.sources.sinks import retained, write_json_document, write_log_lines, write_registry
 from tallylog.streaming import collector
 from tallylog.streaming import features as live
+from tallylog.streaming.queue import in_order
+from tallylog.streaming.state import started
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -353,12 +357,13 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
 WITH {_ELOG}, f AS (SELECT unnest(['on_click', 'on_error', 'total=1', 'absent']) AS label),
 l AS (SELECT server, label, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY server, label ORDER BY line_no))) / 1e6 AS d FROM elog JOIN f ON contains(message, label))
-SELECT server, label, round(avg(d), 6) AS interval, count(*) AS n, CASE WHEN max(d) - min(d) < 5 THEN 'high' ELSE 'medium' END AS consistency
+SELECT server, label, round(avg(d), 6) AS interval, count(*) AS n, CASE WHEN max(d) - min(d) < 5 THEN 'high' ELSE 'medium' END AS consistency,
+  'every ' || format('{{:.1f}}', avg(d)) || ' seconds' AS pattern
 FROM l GROUP BY server, label HAVING count(*) > 5
 """)
 def periodic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = temporal.periodic_events(logs(spark, sf_dir), ("on_click", "on_error", "total=1", "absent"))
-    return rows.drop("pattern").withColumn("interval", F.round("interval", 6))
+    return rows.withColumn("interval", F.round("interval", 6))
 
 
 @_query(f"""
@@ -534,6 +539,16 @@ def servers_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.servers_by_type(_servers(spark, sf_dir))
 
 
+@_query(f"""
+WITH s AS ({_SERVERS}) SELECT type, instance // 10 AS page, string_agg(instance || ':' || sid, ',' ORDER BY instance) AS servers FROM s GROUP BY ALL
+""")
+def servers_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The servers of each type, ten instances in a list."""
+    found = registry.listed_by_type(_servers(spark, sf_dir), 10)
+    one = F.transform("servers", lambda s: F.concat_ws(":", s["instance"].cast("string"), s["sid"]))
+    return found.select("type", F.col("page").cast("long").alias("page"), F.array_join(one, ",").alias("servers"))
+
+
 @_query("SELECT event_id AS seq, event_type FROM events ORDER BY event_id DESC LIMIT 1000")
 def retention_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retained(_read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type"), 1000)
@@ -727,7 +742,7 @@ def streamed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
     events = stream.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").cast("string").alias("user"), kind.alias("event_type"))
     written = live.login_counts(events).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/offsets")
-    written.trigger(availableNow=True).start().awaitTermination()
+    started(written.trigger(availableNow=True)).awaitTermination()
     return spark.read.schema("seq long, n long").parquet(f"{folder}/rows")
 
 
@@ -792,3 +807,88 @@ SELECT z.server, z.line_no, z.size FROM z JOIN c ON c.server = z.server AND c.po
 def clusters_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same runs, each begun after the one before."""
     return temporal.clusters(_late_logs(spark, sf_dir), within=7200.0, k=None, disjoint=True).select("server", "line_no", "size")
+
+
+@_query(ORACLE_SQL["features_late"])
+def streamed_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same features from the stateful streams."""
+    folder = new_folder(spark, "late")
+    kind = F.when(F.col("event_type") == "click", "login").when(F.col("event_type") == "error", "service_error").otherwise("unknown")
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
+    events = stream.select(_shuffled().alias("seq"), "ts", F.col("user_id").cast("string").alias("user"), kind.alias("event_type"))
+    found = []
+    for name, counts in (("login_count", live.login_counts(events, _LATE)), ("error_count", live.error_counts(events, _LATE))):
+        rows = counts.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-offsets")
+        started(rows.trigger(availableNow=True)).awaitTermination()
+        found.append(spark.read.schema("seq long, n long").parquet(f"{folder}/{name}").withColumnRenamed("n", name))
+    return found[0].join(found[1], "seq").select("seq", "login_count", "error_count")
+
+
+@_query("""
+SELECT event_id % 4 AS queue, event_id // 4 AS seq, event_type AS value FROM events WHERE event_id % 4 <> 3 OR event_id // 4 < 1000
+""")
+def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered records of four queues, streamed in disorder and in part twice; the last queue lacks its 1,000th."""
+    folder = new_folder(spark, "queue")
+    e = _read(spark, sf_dir, "events").where("event_id <> 4003").select((F.col("event_id") % 4).cast("string").alias("queue"), F.expr("event_id div 4").alias("seq"), F.col("event_type").alias("value"))
+    e.unionByName(e.where("seq % 10 = 0")).repartition(3, F.hash("seq", "queue")).write.json(f"{folder}/in")
+    stream = spark.readStream.schema("queue string, seq long, value string").option("maxFilesPerTrigger", 1).json(f"{folder}/in")
+    rows = in_order(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets")
+    started(rows.trigger(availableNow=True)).awaitTermination()
+    return spark.read.schema("queue string, seq long, value string").parquet(f"{folder}/out").withColumn("queue", F.col("queue").cast("long"))
+
+
+def _stored_entries(spark: SparkSession, sf_dir: str) -> EntryTable:
+    """Events stored in three batches, one of them given twice."""
+    table = EntryTable(spark, new_folder(spark, "entries"))
+    e = _read(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    for batch in (0, 1, 1, 2):
+        table.append(e.where(F.col("event_id") % 3 == batch), ["ts", "event_id"], batch)
+    return table
+
+
+@_query("SELECT event_id, row_number() OVER (ORDER BY event_id % 3, ts, event_id) - 1 AS seq FROM events")
+def arrival_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrival number of each stored event."""
+    return _stored_entries(spark, sf_dir).read().select("event_id", "seq")
+
+
+@_query("""
+SELECT event_id, event_type, seq FROM (SELECT *, row_number() OVER (ORDER BY event_id % 3, ts, event_id) - 1 AS seq, count(*) OVER () AS n FROM events) WHERE seq >= n - 5000
+""")
+def entry_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 5,000 stored events, after compaction and after the segments without them have gone."""
+    table = _stored_entries(spark, sf_dir)
+    table.compact(_read(spark, sf_dir, "events").count() // 2)
+    table.drop_all_but(5_000)
+    return table.tail(5_000).select("event_id", "event_type", "seq")
+
+
+@_query(r"""
+WITH a AS (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS type, CAST(s_suppkey % 7 AS INT) AS instance, 'first' AS seed FROM supplier WHERE s_suppkey % 2 = 0),
+b AS (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS type, CAST(s_suppkey % 7 AS INT) AS instance, 'second' AS seed FROM supplier),
+u AS (SELECT type, instance, min(seed) AS seed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT type, instance, 'registered' AS status, regexp_replace(substr(to_base64(unhex(sha256(seed))), 1, 30), '[^A-Za-z0-9]', '', 'g') || '_' || upper(type) || '_' || instance AS sid FROM u
+""")
+def registry_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Servers registered in two goes: those that are there already keep the SID of the first."""
+    registered = Registry(spark, new_folder(spark, "registry"))
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("type"), (F.col("s_suppkey") % 7).cast("int").alias("instance"), "s_suppkey")
+    registered.create(s.where("s_suppkey % 2 = 0").withColumn("seed", F.lit("first")))
+    return registered.create(s.withColumn("seed", F.lit("second"))).select("type", "instance", "status", "sid")
+
+
+@_query("""
+WITH p AS (
+  SELECT 'all' AS server, 'price' AS name, CAST(floor(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem
+  UNION ALL SELECT 'mode', l_returnflag, CAST(floor(l_extendedprice * 100) AS BIGINT) FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY server, name ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY server, name) AS n FROM p)
+SELECT server, name, max(v) FILTER (i = n // 2) AS median, count(DISTINCT v) AS n_distinct FROM r GROUP BY server, name
+""")
+def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of prices, of which one series has half of all rows and nearly as many values."""
+    v = F.floor(F.col("l_extendedprice") * 100).cast("long").alias("v")
+    l = _read(spark, sf_dir, "lineitem")
+    rows = l.select(F.lit("all").alias("server"), F.lit("price").alias("name"), v).unionByName(l.select(F.lit("mode").alias("server"), F.col("l_returnflag").alias("name"), v))
+    return values.upper_medians(rows.groupBy("server", "name", "v").agg(F.count("*").alias("c")), ["server", "name"])

@@ -1,56 +1,112 @@
 """Exact trailing-window features of a stream, in arrival order.
 
-State is a list of times per key.  A new event first removes what is not within the window before its own time, and the removal
-is permanent; so an event that arrives late may count rows in its future and misses rows that were removed.
+A new event first removes what is not within the window before its own time, and the removal is permanent; so an event that arrives late may count
+rows in its future and misses rows that were removed.  ``operators/features.py`` has the same counts in batch.
+
+A key's state is spread over slices of time: a map of the number of held times by slice, and a map of the times themselves.  A batch reads
+and writes the slices that its events fall into or cut, not the window; whole slices leave by their number alone.  Queries are started by
+``state.started``.
 """
 
 from __future__ import annotations
 
+import bisect
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallylog.operators.features import WINDOW_SECONDS
 from tallylog.operators.parsing import event_code
 
+#: Slices of time in a window.
+SLICES = 256
+
 
-def _counter(flag_value: str, seconds: float, idle_ms: int | None, count_others: bool):
+class _Counter(StatefulProcessor):
     """Trailing counts for one key; ``count_others`` also gives the count to rows that are not flagged."""
-    width = int(round(seconds * 1e6))
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        times = rows["us"].tolist()
+
+    def __init__(self, flag: str, seconds: float, idle_ms: int | None, count_others: bool):
+        self.flag, self.width, self.idle_ms, self.count_others = flag, int(round(seconds * 1e6)), idle_ms, count_others
+        self.slice = max(1, self.width // SLICES)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sizes = handle.getMapState("sizes", "slice long", "n long")
+        self.times = handle.getMapState("times", "slice long", "us array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows)).sort_values("seq")
+        sizes = {k[0]: v[0] for k, v in self.sizes.iterator()}
+        order, total = sorted(sizes), sum(sizes.values())
+        held: dict[int, list[int]] = {}  # sorted times of the slices that this batch touches
+        touched: set[int] = set()
+
+        def opened(at: int) -> list[int]:
+            if at not in held:
+                held[at] = list(self.times.getValue((at,))[0]) if at in sizes else []
+            touched.add(at)
+            return held[at]
+
         counts = []
-        for us, kind in zip(times, rows["event_type"].tolist()):
-            if kind == flag_value:
-                held.append(us)
-            if kind == flag_value or count_others:
-                held = [t for t in held if t > us - width]
-                counts.append(len(held))
-            else:
+        for us, kind in zip(came["us"].tolist(), came["event_type"].tolist()):
+            if kind == self.flag:
+                at = us // self.slice
+                bisect.insort(opened(at), us)
+                if at not in sizes:
+                    bisect.insort(order, at)
+                sizes[at] = sizes.get(at, 0) + 1
+                total += 1
+            if kind != self.flag and not self.count_others:
                 counts.append(0)
-        state.update((held,))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"seq": rows["seq"].to_numpy(), "n": counts})
-
-    return run
+                continue
+            limit = us - self.width
+            while order and order[0] <= limit // self.slice:
+                first = order[0]
+                if (first + 1) * self.slice - 1 <= limit:  # all of the slice goes
+                    gone = sizes[first]
+                    held[first] = []
+                    touched.add(first)
+                else:
+                    here = opened(first)
+                    gone = bisect.bisect_right(here, limit)
+                    del here[:gone]
+                total -= gone
+                sizes[first] -= gone
+                if sizes[first]:
+                    break
+                del sizes[first]
+                order.pop(0)
+            counts.append(total)
+        for at in touched:
+            if held[at]:
+                self.times.updateValue((at,), (held[at],))
+                self.sizes.updateValue((at,), (sizes[at],))
+            elif self.sizes.containsKey((at,)):
+                self.times.removeKey((at,))
+                self.sizes.removeKey((at,))
+        if self.idle_ms:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(int(time.time() * 1000) + self.idle_ms)
+        yield pd.DataFrame({"seq": came["seq"].to_numpy(), "n": pd.Series(counts, dtype="int64").to_numpy()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.sizes.clear()
+        self.times.clear()
+        yield pd.DataFrame({"seq": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass
 
 
 def _counted(events: DataFrame, key: list[str], flag: str, seconds: float, idle_ms: int | None, count_others: bool) -> DataFrame:
     rows = events.select(*key, "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type")
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*key).applyInPandasWithState(
-        _counter(flag, seconds, idle_ms, count_others), "seq long, n long", "held array<long>", "append", timeout
-    )
+    counter = _Counter(flag, seconds, idle_ms, count_others)
+    return rows.groupBy(*key).transformWithStateInPandas(counter, "seq long, n long", "append", "ProcessingTime" if idle_ms else "None")
 
 
 def login_counts(events: DataFrame, seconds: float = WINDOW_SECONDS, idle_ms: int | None = None) -> DataFrame:

@@ -6,7 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tallylog.operators import sequences, templates, temporal, values
+from tallylog.operators import lookup, registry, sequences, templates, temporal, values
+from tallylog.plans import learn
+from tallylog.sources import sinks
+from tallylog.streaming import collector
 
 BASE = datetime(2024, 1, 1, 10)
 
@@ -88,3 +91,106 @@ def test_periodic(spark):
     rows = logs(spark, ["TIME_TICK"] * 7 + ["REPORT"], [*range(0, 420, 60), 500])
     r = temporal.periodic_events(rows).first()
     assert (r["label"], r["interval"], r["n"], r["consistency"], r["pattern"]) == ("TIME_TICK", 60.0, 7, "high", "every 60.0 seconds")
+
+
+def plain_relations(heads, k):
+    """(first, second, kind, value) over all pairs, in order."""
+    out = []
+    names = list(heads)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            pairs = list(zip(heads[a][:20], heads[b][:20]))
+            q = [x / y for x, y in pairs if y]
+            if len(q) > 3:
+                mean = sum(q) / len(q)
+                if sum((v - mean) ** 2 for v in q) / len(q) < 0.1 and mean:
+                    out.append((a, b, "ratio", round(mean, 6)))
+            d = [x - y for x, y in pairs]
+            if len(d) > 3 and len(set(d)) == 1:
+                out.append((a, b, "difference", float(d[0])))
+    return out[:k]
+
+
+def series_rows(spark, heads, server="s"):
+    rows = [(server, "c", name, 100 * n + i, 0, 0, str(v)) for n, (name, samples) in enumerate(heads.items()) for i, v in enumerate(samples)]
+    df = spark.createDataFrame(rows, "server string, component string, name string, line_no long, pat_idx int, match_idx int, v string")
+    return df.withColumn("v", F.col("v").cast("decimal(38,0)"))
+
+
+@pytest.mark.parametrize("k", [1, 4, 20, None])
+def test_relations_equal_all_pairs(spark, monkeypatch, k):
+    monkeypatch.setattr(values, "_FIRST_SERIES", 3)
+    monkeypatch.setattr(values, "_MET_SERIES", 5)
+    rng = random.Random(k or 0)
+    heads = {}
+    for i in range(24):
+        base = [rng.randrange(1, 10 ** rng.choice([2, 6, 9])) for _ in range(rng.choice([6, 8, 20, 25]))]
+        kind = i % 4
+        if kind and heads:  # a shift, a multiple or a copy of one before, perhaps shorter
+            base = [max(0, v * (3 if kind == 2 else 1) + (7 if kind == 1 else 0)) for v in rng.choice(list(heads.values()))][: rng.choice([6, 7, 20])]
+        heads[f"n{i:02d}"] = base
+    heads["zero"], heads["short"], heads["huge"], heads["huge2"] = [0] * 9, [1, 2, 3], [10**30 + i * i for i in range(9)], [10**30 + 5 + i * i for i in range(9)]
+    kept = {n: h for n, h in heads.items() if len(h) > 5}
+    both = series_rows(spark, heads).unionByName(series_rows(spark, {"a": [1, 2, 3, 4, 5, 6], "b": [11, 12, 13, 14, 15, 16]}, None))
+    found = values.value_relations(both, k).collect()
+    mine = [(r["first_name"], r["second_name"], r["kind"], round(r["value"], 6)) for r in found if r["server"] == "s"]
+    assert sorted(mine) == sorted(plain_relations(kept, k))
+    assert [r["kind"] for r in sorted(found, key=lambda r: r["kind"], reverse=True) if r["server"] is None] == ["ratio", "difference"][:k]
+    assert values.value_relations(both.where(F.lit(False)), k).count() == 0
+
+
+def test_relations_of_many_series(spark):
+    """Without all pairs: 3,000 series of which few are related."""
+    rng = random.Random(1)
+    heads = {f"n{i:04d}": [rng.randrange(1, 10**9) for _ in range(8)] for i in range(3_000)}
+    heads["z1"] = [v + 3 for v in heads["n0000"]]
+    heads["z2"] = [v + 9 for v in heads["n0001"]]
+    found = values.value_relations(series_rows(spark, heads), 10**6).where("kind = 'difference'").collect()
+    assert {(r["first_name"], r["second_name"], r["value"]) for r in found} == {("n0000", "z1", -3.0), ("n0001", "z2", -9.0)}
+
+
+def test_medians(spark):
+    rng = random.Random(3)
+    series = {("a", "x"): [rng.randrange(10**6) for _ in range(5_001)], ("a", "y"): [7] * 400 + [rng.randrange(10) for _ in range(99)], (None, "z"): [5], ("b", "x"): [1, 2], ("b", "y"): list(range(1_000))}
+    rows = [(s, n, v) for (s, n), vs in series.items() for v in vs]
+    counts = spark.createDataFrame(rows, "server string, name string, v long").groupBy("server", "name", "v").agg(F.count("*").alias("c"))
+    found = {(r["server"], r["name"]): (r["median"], r["n_distinct"]) for r in values.upper_medians(counts, ["server", "name"]).collect()}
+    assert found == {key: (sorted(vs)[len(vs) // 2], len(set(vs))) for key, vs in series.items()}
+
+
+def test_configured_sections(spark, tmp_path):
+    config = tmp_path / "c.json"
+    config.write_text('{"server": "s", "state_variables": {"screen": {"pattern": "SCREEN_(ON|OFF)", "type": "binary"}, "none": {"pattern": "absent", "type": "x"}}, "causal_chains": {"chain": ["a", "b"]}}')
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/s.log").write_text("".join(f"20240101-10:00:0{i}:000|C|1|{m}\n" for i, m in enumerate(["SCREEN_ON a", "b SCREEN_OFF", "a", "b"])))
+    found = learn.learn(spark, str(tmp_path / "logs"), config=str(config))
+    states = found["state_variables"].collect()
+    assert [(r["name"], r["samples"], r["last"]) for r in states] == [("screen", 2, "OFF")]
+    assert found["configured_chains"].count() >= 1
+    assert "state_variables" not in learn.learn(spark, str(tmp_path / "logs"))
+
+
+def test_registry_lists_and_scripts(spark):
+    servers = spark.createDataFrame([("linux", i, f"s{i}") for i in (3, 1, 25)] + [("db", 2, "d2"), (None, 1, "n")], "type string, instance int, sid string")
+    found = {(r["type"], r["page"]): [s["sid"] for s in r["servers"]] for r in registry.listed_by_type(servers, 10).collect()}
+    assert found == {("linux", 0): ["s1", "s3"], ("linux", 2): ["s25"], ("db", 0): ["d2"], (None, 0): ["n"]}
+    scripts = {r["type"]: r["script"] for r in lookup.script_paths(servers, {"linux": "l.py", "web": "w.py"}).collect()}
+    assert scripts == {"linux": "l.py", "db": None, None: None}
+
+
+def test_header_sids_of_any_length(spark):
+    lines = spark.createDataFrame([("a.log", 0, "# SID:  " + "x" * 5_000 + " "), ("b.log", 0, "no"), ("a.log", 1, "# SID: later")], "log_file string, line_no long, line string")
+    assert [tuple(r) for r in lookup.file_sids(lines).collect()] == [("a.log", "x" * 5_000)]
+
+
+def test_sinks_and_queue_records(spark, tmp_path):
+    rows = spark.range(5).select(F.col("id").alias("seq"), F.to_json(F.struct(F.col("id").alias("n"))).alias("value"))
+    sinks.append_entries(rows, str(tmp_path / "entries"))
+    sinks.append_entries(rows, str(tmp_path / "entries"))
+    assert sinks.retained(spark.read.parquet(str(tmp_path / "entries")), 4).count() == 4
+    assert sorted((r["seq"], r["n"]) for r in collector.queue_records(rows, "n long").collect()) == [(i, i) for i in range(5)]
+    rows.write.json(str(tmp_path / "in"))
+    query = sinks.start_console(spark.readStream.schema("seq long, value string").json(str(tmp_path / "in")))
+    query.processAllAvailable()
+    query.stop()
+    assert query.exception() is None

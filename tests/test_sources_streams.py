@@ -10,6 +10,7 @@ from tallylog.plans import learn
 from tallylog.sources import generators, logs, sinks
 from tallylog.streaming import collector
 from tallylog.streaming import features as live
+from tallylog.streaming.state import started
 
 BASE = datetime(2024, 1, 1)
 
@@ -50,7 +51,7 @@ def test_streaming_features_in_arrival_order(spark, tmp_path):
     stream = spark.readStream.schema(schema).json(str(source))
     found = {}
     for name, df in (("logins", live.login_counts(stream)), ("errors", live.error_counts(stream))):
-        query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        query = started(df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)))
         query.processAllAvailable()
         query.stop()
         found[name] = {r["seq"]: r["n"] for r in spark.table(name).collect()}
