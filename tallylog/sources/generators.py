@@ -94,16 +94,6 @@ def generate(spark: SparkSession, server_type: str, n: int, seed: int = 0, start
     return log_lines(spark.range(0, n, 1, partitions) if partitions else spark.range(n), server_type, seed, start)
 
 
-def stream(spark: SparkSession, server_type: str, per_second: float = 1.0, seed: int = 0, start: int = 1_700_000_000) -> DataFrame:
-    """The same lines as a stream, at a rate; the ids go on from 0.  A rate below one a second gives a batch every so often."""
-    source = spark.readStream.format("rate-micro-batch") if per_second < 1 else spark.readStream.format("rate")
-    if per_second < 1:
-        source = source.option("rowsPerBatch", 1).option("advanceMillisPerBatch", int(1000 / per_second))
-    else:
-        source = source.option("rowsPerSecond", int(per_second))
-    return log_lines(source.load().select(F.col("value").alias("id")), server_type, seed, start)
-
-
 def generate_learned(spark: SparkSession, patterns: DataFrame | None, server_type: str, n: int, seed: int = 0, start: int = 1_700_000_000) -> DataFrame:
     """id, line: ``n`` lines of learned templates, each drawn as often as its share of ``n`` says, its gaps filled with numbers.
 
