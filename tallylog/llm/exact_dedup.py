@@ -9,6 +9,9 @@ a task holds is a row, not a table of digests.  Within a round the merges of all
 round, which leaves one run, is as parallel as the first, and a text that fills a third of
 the corpus reaches the first exchange as one row per task.
 
+Spark's exchange by hash does not keep the order of the runs, so each step sorts what it got again: these sorts stand for the multiway merges.  With up to
+FAN_IN scan tasks there is one round.
+
 An identifier is kept under its digest together with a witness: the length and a second,
 independent hash of the text.  At every level rows merge only when digest and witness both
 agree, so texts of colliding digests stay apart.
