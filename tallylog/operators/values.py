@@ -282,6 +282,7 @@ def distributions(values: DataFrame, k: int | None = 30) -> DataFrame:
     if k is not None:
         order = Window.partitionBy("server").orderBy(F.desc("n"), "first")
         out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = written(out, "series")
     counts = rows.groupBy("server", "name", "v").agg(F.count("*").alias("c"))
     if k is not None:
         kept = out.select(F.col("server").alias("s"), F.col("name").alias("m"))
@@ -297,7 +298,8 @@ def upper_medians(counts: DataFrame, series: list[str]) -> DataFrame:
     Values are range-sorted over (series, value).  The ranges of a series are counted, and only the one that has the middle is looked through, so
     a series of very many distinct values is in no window as a whole.
     """
-    placed = written(counts.repartitionByRange(*series, "v").withColumn("block", F.spark_partition_id()), "sorted")
+    # written first, as the ranges are drawn from a pass of its own
+    placed = written(written(counts, "counts").repartitionByRange(*series, "v").withColumn("block", F.spark_partition_id()), "sorted")
     sums = placed.groupBy(*series, "block").agg(F.sum("c").alias("sum"), F.count("*").alias("distinct"))
     whole = Window.partitionBy(*series)  # a row for each range
     before = F.coalesce(F.sum("sum").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
