@@ -8,10 +8,11 @@ host is shrunk toward the global mean and a path toward its host, by prior stren
 moments finds in the spread of the groups.  Evidence and the path's posterior odds multiply; a
 document's own share is taken out of its groups first.
 
-Toxicity is a second posterior of the same form.  Its evidence is which words occur: hashed words of all
-labelled documents are counted, words whose documents are mostly toxic, beyond chance, are kept, and
-a document adds the log-likelihood ratios of those it has.  Having none of them is evidence too, counted as one event
-because such words go together.
+Toxicity is a second posterior of the same form.  Its evidence is how often words of a toxic kind occur.  Words and their
+first bytes are hashed to cells, and every labelled document counts in a cell with the share of its runs of RUN words that would
+have it.  Cells whose shares are mostly those of toxic documents, beyond chance by shares or by numbers of documents, are kept.  A word adds the log-likelihood ratio
+of its surest cell, and every word of a document takes off the difference of the rates at which such words
+are met in toxic and in clean documents, so one chance word in a long text is evidence of a clean one.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType
 
 from tallylog.llm.shared import ROW_ID, materialize, with_row_ids
-from tallylog.llm.words import ALPHANUMERIC, NOT_SPACE, text_blocks
+from tallylog.llm.words import ALPHANUMERIC, NOT_SPACE, Words, text_blocks
 
 #: The bounded sample of labelled documents that the model is fitted to (those with the smallest hashes).
 SAMPLE_ROWS = 20_000
@@ -35,7 +37,9 @@ MEASURES = (
 )
 _L2 = 1e-2
 #: Cells that words are hashed to; most cells that are kept, and the chance of one being kept wrongly, over all cells.
-WORD_CELLS, TOXIC_WORDS, TOXIC_CHANCE = 1 << 18, 4096, 0.05
+WORD_CELLS, TOXIC_WORDS, TOXIC_CHANCE = 1 << 20, 4096, 0.05
+#: Lengths in bytes of the beginnings of words that have cells of their own, the words of a run, and the units of a share.
+PREFIXES, RUN, UNIT = (5, 7), 128, 1 << 20
 #: Most labelled ids that are broadcast; beyond, texts are shuffled.
 BROADCAST_LABELS = 500_000
 
@@ -106,70 +110,96 @@ def measures(texts: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty((0, len(MEASURES)))
 
 
-def _word_cells(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """Some texts at a time: their number, and the distinct ``text * WORD_CELLS + cell`` of their words."""
+def _word_cells(texts: pa.Array) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their words, and the cells of words and of beginnings with the word of each."""
     for _, words in text_blocks(texts, ALPHANUMERIC):
-        cells = (words.hashes & np.uint64(WORD_CELLS - 1)).astype(np.int64)
-        yield len(words.counts), np.unique(words.owner * WORD_CELLS + cells)
+        hashes, word = words.prefixes(PREFIXES)
+        cells = np.concatenate([words.hashes, hashes]) & np.uint64(WORD_CELLS - 1)
+        yield words, cells.astype(np.int64), np.concatenate([np.arange(len(words.hashes)), word])
+
+
+_COUNTS = ("seen", "toxic", "docs", "toxic_docs")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per cell, documents and toxic documents with a word of it; cell -1 counts all documents."""
-    seen, toxic = np.zeros(WORD_CELLS + 1), np.zeros(WORD_CELLS + 1)
+    """Per cell, the shares of documents and of toxic documents in whole units, and the numbers of both; cell -1 counts all documents."""
+    # sums of whole numbers, so their order does not matter
+    seen, toxic, docs, toxic_docs = (np.zeros(WORD_CELLS + 1, np.int64) for _ in _COUNTS)
     for batch in batches:
         labels = batch.column(1).to_numpy()
         row = 0
-        for texts, keys in _word_cells(batch.column(0)):
-            label = labels[row : row + texts]
+        for words, cells, word in _word_cells(batch.column(0)):
+            texts = len(words.counts)
+            label = labels[row : row + texts] > 0
+            keys, times = np.unique(words.owner[word] * WORD_CELLS + cells, return_counts=True)
             owner, cell = np.divmod(keys, WORD_CELLS)
-            seen[:-1] += np.bincount(cell, minlength=WORD_CELLS)
-            toxic[:-1] += np.bincount(cell, label[owner], WORD_CELLS)
-            seen[-1] += texts
-            toxic[-1] += label.sum()
+            share, bad = np.minimum(UNIT, times * UNIT * RUN // np.maximum(RUN, words.counts)[owner]), label[owner]
+            np.add.at(seen, cell, share)
+            np.add.at(toxic, cell[bad], share[bad])
+            docs[:-1] += np.bincount(cell, minlength=WORD_CELLS)
+            toxic_docs[:-1] += np.bincount(cell[bad], minlength=WORD_CELLS)
+            docs[-1] += texts
+            toxic_docs[-1] += int(label.sum())
             row += texts
-    some = np.flatnonzero(seen)
+    some = np.flatnonzero(docs)
     cells = np.where(some == WORD_CELLS, -1, some)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[some]), pa.array(toxic[some])], names=["cell", "seen", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(c[some]) for c in (seen, toxic, docs, toxic_docs))], names=["cell", *_COUNTS])
+
+
+def _surplus(bad: Column, seen: Column, n: int, t: int) -> Column:
+    """The Chernoff bound, for counts and for shares up to 1: by chance ``bad`` of ``seen`` are toxic with probability exp(-surplus) at most."""
+    clean = seen - bad
+    surplus = bad * F.log(bad / seen * n / t) + F.when(clean > 0, clean * F.log((clean / seen) * n / (n - t))).otherwise(0.0)
+    return F.when((bad * n > seen * t) & (2 * bad > seen), surplus).otherwise(0.0)
 
 
 def toxic_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """From ``text, label``: the cells of toxic words and the weight of each."""
-    counts = materialize(texts.mapInArrow(_count_words, "cell long, seen double, toxic double").groupBy("cell").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")), "words")
+    counted = texts.mapInArrow(_count_words, f"cell long, {', '.join(f'{c} long' for c in _COUNTS)}").groupBy("cell")
+    counts = materialize(counted.agg(*[F.sum(c).alias(c) for c in _COUNTS]), "words")
     whole = counts.where("cell = -1").first()
     none = np.empty(0, np.int64), np.empty(0)
-    if whole is None or not 0 < whole["toxic"] < whole["seen"]:
+    if whole is None or not 0 < whole["toxic_docs"] < whole["docs"]:
         return none
-    n, t = whole["seen"], whole["toxic"]
-    rate, clean = F.col("toxic") / F.col("seen"), F.col("seen") - F.col("toxic")
-    # the Chernoff bound: by chance a word has so many toxic documents with probability exp(-surplus) at most
-    surplus = F.col("toxic") * F.log(rate * n / t) + F.when(clean > 0, clean * F.log((1 - rate) * n / (n - t))).otherwise(0.0)
-    often = counts.where((F.col("cell") >= 0) & (F.col("toxic") * n > F.col("seen") * t) & (2 * F.col("toxic") > F.col("seen"))).withColumn("surplus", surplus)
+    n, t = whole["docs"], whole["toxic_docs"]
+    cells = counts.where("cell >= 0")
+    often = cells.select("cell", F.col("seen") / UNIT, F.col("toxic") / UNIT, "docs", "toxic_docs").toDF("cell", *_COUNTS).where(2 * F.col("toxic") > F.col("seen"))
+    surplus = F.greatest(_surplus(F.col("toxic"), F.col("seen"), n, t), _surplus(F.col("toxic_docs"), F.col("docs"), n, t))
     # at most TOXIC_WORDS rows reach the driver
-    top = often.where(F.col("surplus") >= float(np.log(WORD_CELLS / TOXIC_CHANCE))).orderBy(F.desc("surplus"), "cell").limit(TOXIC_WORDS).toArrow()
+    beyond = often.withColumn("surplus", surplus).where(F.col("surplus") >= float(np.log(max(1, cells.count()) / TOXIC_CHANCE)))
+    top = beyond.orderBy(F.desc("surplus"), "cell").limit(TOXIC_WORDS).toArrow()
     if not top.num_rows:
         return none
     seen, bad = top["seen"].to_numpy(), top["toxic"].to_numpy()
     p, q = (bad + 0.5) / (t + 1), (seen - bad + 0.5) / (n - t + 1)
-    return top["cell"].to_numpy(), np.log(p / q)
+    # a cell that short runs hide may weigh nothing, never less
+    return top["cell"].to_numpy(), np.maximum(0.0, np.log(p / q))
 
 
 def _measure(words):
-    """Measures of each text, and the sum of the broadcast weights of its toxic words."""
+    """``__row_id, id, host, path`` with the measures of each text, its words, those of kept cells, and the sum of their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, values = words.value
         weights = np.zeros(WORD_CELLS)
         weights[cells] = values
         for batch in batches:
-            x = measures(batch.column(1)).astype(np.float32)
+            texts = batch.column("text")
+            x = measures(texts).astype(np.float32)
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(MEASURES), dtype=np.int32), x.ravel())
-            toxic = np.zeros(len(x))
+            size, hits, total = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros(len(x))
             row = 0
-            for texts, keys in _word_cells(batch.column(1)) if len(cells) else ():
-                owner, cell = np.divmod(keys, WORD_CELLS)
-                toxic[row : row + texts] += np.bincount(owner, weights[cell], texts)
-                row += texts
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.minimum(toxic, 8))], names=[ROW_ID, "x", "toxic_words"])
+            for found, cell, word in _word_cells(texts) if len(cells) else ():
+                here = slice(row, row + len(found.counts))
+                some = np.flatnonzero(weights[cell])
+                surest = np.zeros(len(found.hashes))
+                np.maximum.at(surest, word[some], weights[cell[some]])
+                size[here] = found.counts
+                hits[here] = np.bincount(found.owner[surest > 0], minlength=len(found.counts))
+                total[here] = np.bincount(found.owner, surest, len(found.counts))
+                row = here.stop
+            kept = [batch.column(c) for c in (ROW_ID, "id", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(size), pa.array(hits), pa.array(total)], names=[ROW_ID, "id", "host", "path", "x", "words", "toxic_words", "toxic_weight"])
 
     return run
 
@@ -294,15 +324,16 @@ def score_quality(
     labels of both classes there is no evidence, and nothing is rejected but where labels say so.  An empty table gives an empty result.
     """
     base = with_row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path")))
-    keys = base.select(ROW_ID, "id", "host", "path")
     labelled = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.avg(label_col).alias("label"), F.avg(toxic_col).alias("toxic_label"))
     labelled = materialize(labelled.where("label is not null or toxic_label is not null"), "labels")
     marked = labelled.where("toxic_label is not null").select("label_id", "toxic_label")
     marked = F.broadcast(marked) if marked.count() <= BROADCAST_LABELS else marked
     marked = base.join(marked, F.col("id") == F.col("label_id")).select("text", (F.col("toxic_label") >= 0.5).cast("double").alias("label"))
     words = docs.sparkSession.sparkContext.broadcast(toxic_words(marked))
-    measured = base.select(ROW_ID, "text").mapInArrow(_measure(words), f"{ROW_ID} long, x array<float>, toxic_words double")
-    rows = measured.join(keys, ROW_ID)
+    schema = base.drop("text").select(ROW_ID, "id", "host", "path").schema
+    for name, kind in (("x", ArrayType(FloatType())), ("words", LongType()), ("toxic_words", LongType()), ("toxic_weight", DoubleType())):
+        schema = schema.add(name, kind)
+    rows = base.mapInArrow(_measure(words), schema)
     rows = materialize(rows.join(labelled, rows["id"] == labelled["label_id"], "left").drop("label_id"), "measures")
 
     sample = rows.where("label is not null").orderBy(F.xxhash64("id"), ROW_ID).limit(SAMPLE_ROWS).select("x", "label").toArrow()
@@ -310,14 +341,13 @@ def score_quality(
     intercept, weights = fit(x, (sample["label"].to_numpy() >= 0.5).astype(float))
     some = F.col("x")[0] > 0
     rows = rows.withColumn("evidence", F.when(some, _evidence("x", intercept, weights)).otherwise(F.lit(0.0)))
-    without = F.when(some & (F.col("toxic_words") == 0), F.col("toxic_label"))
+    # rates at which words of kept cells are met in toxic and in clean documents
+    rate, is_toxic = F.when(F.col("words") > 0, F.col("toxic_words") / F.col("words")), F.col("toxic_label") >= 0.5
     known = rows.agg(
-        F.avg("label").alias("mean"), F.avg("toxic_label").alias("toxic"),
-        F.sum(F.when(some, F.col("toxic_label"))).alias("t"), F.sum(F.when(some, 1 - F.col("toxic_label"))).alias("c"),
-        F.sum(without).alias("t0"), F.sum(1 - without).alias("c0"),
+        F.avg("label").alias("mean"), F.avg("toxic_label").alias("toxic"), F.avg(F.when(is_toxic, rate)).alias("often"), F.avg(F.when(~is_toxic, rate)).alias("seldom"),
     ).first()
-    none = float(np.log(((known["t0"] or 0) + 0.5) / ((known["t"] or 0) + 1)) - np.log(((known["c0"] or 0) + 0.5) / ((known["c"] or 0) + 1))) if len(words.value[0]) else 0.0
-    toxic = F.when(F.col("toxic_words") > 0, F.col("toxic_words")).otherwise(F.lit(max(-8.0, none)))
+    excess = max(0.0, (known["often"] or 0.0) - (known["seldom"] or 0.0))
+    toxic = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col("toxic_weight") - F.col("words") * excess))
     rows = rows.withColumn("toxic_evidence", F.when(some, toxic).otherwise(F.lit(0.0)))
 
     def prior(mean: float | None, default: float) -> float:

@@ -72,6 +72,9 @@ class Words:
     hashes: np.ndarray  #: uint64 per word
     first: np.ndarray  #: int64 per text and one more: where its words begin
     owner: np.ndarray  #: int64 per word: its text
+    data: np.ndarray  #: the lower-cased bytes that the words are in
+    begin: np.ndarray  #: int64 per word: where it begins in them
+    end: np.ndarray  #: int64 per word: where it ends in them
 
     @property
     def counts(self) -> np.ndarray:
@@ -89,6 +92,16 @@ class Words:
         at = np.flatnonzero(self.owner[: n - k + 1] == self.owner[k - 1 :])
         return mix(total[at] + np.uint64(k)), at
 
+    def prefixes(self, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first bytes, of each length, of the words that are longer, and the word of each."""
+        size = self.end - self.begin
+        of = [np.flatnonzero(size > k) for k in lengths]
+        k = np.repeat(np.array(lengths, np.int64), [len(x) for x in of])
+        word = np.concatenate(of)
+        begin = self.begin[word]
+        # apart from whole words of the same bytes
+        return mix(run_hashes(self.data, begin, begin + k) + k.astype(np.uint64)), word
+
 
 def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte runs ``data[begin:end]``."""
@@ -123,7 +136,7 @@ def find_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Word
     first = np.searchsorted(begin, starts_of_text)
     first[-1] = len(begin)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(hashes, first.astype(np.int64), owner)
+    return Words(hashes, first.astype(np.int64), owner, data, begin, end)
 
 
 def text_blocks(texts: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, Words]]:

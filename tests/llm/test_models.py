@@ -1,9 +1,12 @@
 """Language identification, quality and the pipeline."""
 
+import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -96,14 +99,80 @@ def test_quality_held_out(spark, sf_dir):
     assert test[test.label == 1].kept.mean() > 0.97
 
 
-def test_toxic_held_out(spark, sf_dir):
+def toxic_held_out(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     found = quality.score_quality(docs, known)
     test = found.join(labels.drop("quality").withColumnRenamed("toxic", "truth"), "doc_id").join(known.select("doc_id"), "doc_id", "left_anti").toPandas()
     bad = test.toxic >= quality.THRESHOLD
-    assert bad[test.truth == 1].mean() > 0.7 and bad[test.truth == 0].mean() < 0.02
     assert (test.accepted == (test.kept & ~bad)).all()
+    return bad[test.truth == 1].mean(), bad[test.truth == 0].mean()
+
+
+def test_toxic_held_out(spark, sf_dir):
+    caught, lost = toxic_held_out(spark, sf_dir)
+    assert caught > 0.7 and lost < 0.005
+
+
+def test_toxic_held_out_with_more_labels(spark, sf_dir):
+    large = os.path.join(os.path.dirname(sf_dir), "sf0.1")
+    if not os.path.isdir(large):
+        pytest.skip("no larger tables")
+    caught, lost = toxic_held_out(spark, large)
+    assert caught >= 0.875 and lost <= 0.005
+
+
+def test_toxic_words_equal_brute_force(spark):
+    """Shares, numbers, bounds and weights of all cells in plain Python, on words and their beginnings."""
+    rng = np.random.default_rng(5)
+    common = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        words = list(rng.choice(common, int(rng.integers(3, 400))))
+        if i % 6 == 0:
+            words += [f"scoundrel{c}" for c in rng.choice(list("abcdefgh"), 1 + len(words) // 60)] + ["rogue"] * (i % 12 == 0)
+        elif i % 50 == 1:
+            words.append("scoundrelz")
+        rows.append((" ".join(words), float(i % 6 == 0)))
+    rows += [("", 0.0), (None, 1.0)]
+
+    def cells(word):
+        return {int(c) for _, found, _ in quality._word_cells(pa.array([word])) for c in found}
+
+    n, t = len(rows), sum(label for _, label in rows)
+    sums = {}
+    for text, label in rows:
+        words = (text or "").split()
+        times = Counter(c for w in words for c in cells(w))
+        for c, k in times.items():
+            share = min(quality.UNIT, k * quality.UNIT * quality.RUN // max(quality.RUN, len(words))) / quality.UNIT
+            sums.setdefault(c, np.zeros(4))
+            sums[c] += share, share * label, 1, label
+
+    def surplus(bad, seen):
+        if 2 * bad <= seen or bad * n <= seen * t:
+            return 0
+        clean = seen - bad
+        return bad * np.log(bad / seen * n / t) + (clean * np.log(clean / seen * n / (n - t)) if clean else 0)
+
+    want = {}
+    for c, (seen, bad, docs, bad_docs) in sums.items():
+        if 2 * bad > seen and max(surplus(bad, seen), surplus(bad_docs, docs)) >= np.log(len(sums) / quality.TOXIC_CHANCE):
+            want[c] = np.log((bad + 0.5) / (t + 1) / ((seen - bad + 0.5) / (n - t + 1)))
+    found = quality.toxic_words(spark.createDataFrame(rows, "text string, label double").repartition(5))
+    assert cells("rogue") <= set(want) and len(cells("scoundrela") & set(want)) >= 2 and not cells("w1") & set(want)
+    assert set(map(int, found[0])) == set(want)
+    assert np.allclose(found[1], [max(0, want[int(c)]) for c in found[0]])
+
+
+def test_one_chance_word_does_not_condemn_a_long_text(spark):
+    calm = "a calm line of words that goes on and ends. "
+    rows = [(i, calm * 8 + ("scoundrel rogue " * 3 if i % 5 == 0 else ""), "en", "a") for i in range(200)]
+    rows += [(500, calm * 300 + "scoundrel", "en", "a"), (501, calm * 300 + "scoundrel rogue " * 80, "en", "a"), (502, None, "en", "a"), (503, "", "en", "a")]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in quality.score_quality(documents(spark, rows), labels).collect()}
+    assert found[500]["accepted"] and found[501]["toxic"] > 0.5 and not found[501]["accepted"]
+    assert found[502]["toxic_evidence"] == found[503]["toxic_evidence"] == 0
 
 
 def test_quality_shrinks_sparse_hosts(spark):
