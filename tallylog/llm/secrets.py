@@ -55,6 +55,8 @@ def _byte_class(chars: str) -> np.ndarray:
 
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN = _byte_class(_DIGITS + _UPPER + _UPPER.lower() + "+/_-")
+_LETTER = _byte_class(_UPPER + _UPPER.lower())
+_DIGIT = _byte_class(_DIGITS)
 _HEX_BYTE = _byte_class(_DIGITS + "abcdef")
 _UPPER_DIGIT = _byte_class(_DIGITS + _UPPER)
 _ALPHABETS = [
@@ -81,78 +83,162 @@ def _groups(chars: str) -> dict[str, int]:
     return {c: next(i for i, kind in enumerate(kinds) if c in kind) for c in chars}
 
 
-#: Of each alphabet: its characters, tables from a character to its place and to its group, and the share of each group.
-_PLACES = [
-    (
-        frozenset(chars), str.maketrans({c: chr(i) for i, c in enumerate(chars)}), str.maketrans({c: chr(g) for c, g in groups.items()}),
-        [(chr(g), n / len(chars)) for g, n in sorted(Counter(groups.values()).items())],
-    )
-    for _, chars in _ALPHABETS
-    for groups in [_groups(chars)]
-]
+#: By alphabet: its size, the place and the group of each byte, and the share of each group; by byte: a bit for each alphabet that holds it.
+_SIZES = np.array([len(chars) for _, chars in _ALPHABETS])
+_PLACE, _GROUP = np.zeros((2, len(_ALPHABETS), 256), np.uint8)
+_SHARE = np.zeros((len(_ALPHABETS), 6))
+_HOLDS = np.zeros(256, np.uint16)
+for _i, (_, _chars) in enumerate(_ALPHABETS):
+    _HOLDS[_byte_class(_chars)] |= 1 << _i
+    for _place, (_c, _group) in enumerate(_groups(_chars).items()):
+        _PLACE[_i, ord(_c)], _GROUP[_i, ord(_c)] = _place, _group
+        _SHARE[_i, _group] += 1 / len(_chars)
+
+
+def _erfc(z: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, z.tolist()), float, len(z))
+
+
+def _scores(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The scores of strings of token characters, which lie in ``flat`` one after the other, from the places ``begin``."""
+    n = np.diff(begin, append=len(flat))
+    held = np.bitwise_and.reduceat(_HOLDS[flat], begin)
+    kind = np.argmax(held[:, None] >> np.arange(len(_ALPHABETS)) & 1, axis=1)  # the first alphabet that holds all
+    row = np.repeat(np.arange(len(n)), n)
+    x = _PLACE[kind[row], flat]
+    size, share = _SIZES[kind], _SHARE[kind]
+
+    # uniformity over the characters, or over their groups where few are expected of each character
+    due = n[:, None] * share
+    seen = np.bincount(row * share.shape[1] + _GROUP[kind[row], flat], minlength=due.size).reshape(due.shape)
+    chi = np.divide((seen - due) ** 2, due, out=np.zeros(due.shape), where=due > 0).sum(axis=1)
+    free = np.maximum(1, (share > 0).sum(axis=1) - 1)
+    single = n >= LEAST_EXPECTED * size
+    if single.any():
+        renumbered, wide = np.cumsum(single) - 1, int(_SIZES.max())
+        cells = (renumbered[row] * wide + x)[single[row]]
+        squares = (np.bincount(cells, minlength=int(single.sum()) * wide).reshape(-1, wide) ** 2).sum(axis=1)
+        chi[single] = squares * size[single] / n[single] - n[single]
+        free[single] = size[single] - 1
+    # the cube root of a chi-squared value is nearly normal
+    p_chi = 0.5 * _erfc((np.cbrt(np.maximum(chi, 0) / free) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free)) / math.sqrt(2))
+
+    # runs about the median
+    middle = (np.sort(row * 256 + x)[begin + n // 2] & 255).astype(np.uint8)
+    above = x >= middle[row]
+    turns = np.zeros(len(x), bool)
+    turns[1:] = above[1:] != above[:-1]
+    turns[begin] = False
+    n1 = np.add.reduceat(above, begin, dtype=np.int64)
+    runs = 1 + np.add.reduceat(turns, begin, dtype=np.int64)
+    expect = 1 + 2 * (n - n1) * n1 / n
+    spread = (expect - 1) * (expect - 2) / (n - 1)
+    varies = spread > 0
+    z_runs = np.divide(runs - expect, np.sqrt(np.maximum(spread, 0)), out=np.zeros(len(n)), where=varies)
+    p_runs = np.where(varies, _erfc(np.abs(z_runs) / math.sqrt(2)), 1e-6)
+
+    # serial correlation
+    dev = x - (np.add.reduceat(x, begin, dtype=np.int64) / n)[row]
+    after = np.zeros(len(x))
+    after[:-1] = dev[:-1] * dev[1:]
+    after[np.append(begin[1:], len(x)) - 1] = 0
+    total = np.add.reduceat(dev * dev, begin)
+    constant = np.minimum.reduceat(x, begin) == np.maximum.reduceat(x, begin)
+    serial = np.divide(np.add.reduceat(after, begin), total, out=np.ones(len(n)), where=~constant)
+    p_serial = _erfc(np.abs(serial + 1 / n) * np.sqrt(n) / math.sqrt(2))
+    return np.maximum(LOWEST_SCORE, sum(np.log(np.maximum(p, 1e-26)) for p in (p_chi, p_runs, p_serial)))
+
+
+def scores(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The score of each string ``data[begin:end]``: the sum of the log p-values of the three tests, over the smallest alphabet that holds it.
+
+    Strings have two token characters at least; they are scored together in blocks of about BLOCK_BYTES.
+    """
+    sizes = end - begin
+    block = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
+    cuts = np.append(np.searchsorted(block, np.unique(block)), len(sizes))
+    out = np.empty(len(sizes))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        n = sizes[lo:hi]
+        at = np.cumsum(n) - n
+        flat = data[np.arange(int(n.sum())) + np.repeat(begin[lo:hi] - at, n)]
+        out[lo:hi] = _scores(flat, at)
+    return out
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def randomness(run: str) -> float:
+    """The score of one string."""
+    return float(scores(np.frombuffer(run.encode("ascii"), np.uint8), np.array([0]), np.array([len(run)]))[0])
 
 
-def randomness(run: str) -> float:
-    """Sum of the log p-values of the three tests over the smallest alphabet that holds ``run``."""
-    held = set(run)
-    chars, places, groups, shares = next(x for x in _PLACES if held <= x[0])
-    x = run.translate(places).encode("ascii")
-    n, size = len(x), len(chars)
-    if n >= LEAST_EXPECTED * size:
-        chi, free = sum(x.count(c) ** 2 for c in set(x)) * size / n - n, size - 1
-    else:
-        kinds = run.translate(groups)
-        chi, free = sum((kinds.count(g) - n * share) ** 2 / (n * share) for g, share in shares), max(1, len(shares) - 1)
-    # the cube root of a chi-squared value is nearly normal
-    z_chi = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
-    p_chi = 0.5 * math.erfc(z_chi / math.sqrt(2))
-    middle = sorted(x)[n // 2]
-    above = [v >= middle for v in x]
-    n1 = sum(above)
-    n0 = n - n1
-    runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
-    expect = 1 + 2 * n0 * n1 / n
-    spread = (expect - 1) * (expect - 2) / (n - 1)
-    p_runs = _two_sided((runs - expect) / math.sqrt(spread)) if spread > 0 else 1e-6
-    mean = sum(x) / n
-    dev = [v - mean for v in x]
-    total = sum(d * d for d in dev)
-    serial = sum(a * b for a, b in zip(dev, dev[1:])) / total if total else 1.0
-    p_serial = _two_sided((serial + 1 / n) * math.sqrt(n))
-    return max(LOWEST_SCORE, sum(math.log(max(p, 1e-26)) for p in (p_chi, p_runs, p_serial)))
+#: Bytes of text for each ordinary string, ordinary strings that shape the tail of the null, and bytes that are scored or scanned at once.
+BYTES_PER_STRING, TAIL, BLOCK_BYTES = 128, 30, 1 << 20
+_LONGEST_WORD = 15
+
 
+def _draws(data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each ordinary string of each text the number of the text, and 64 bits drawn by the text's hash."""
+    number = -(-np.diff(offsets) // BYTES_PER_STRING)
+    text = np.repeat(np.arange(len(number)), number)
+    seed = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64)
+    place = (np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)).astype(np.uint64)
+    # the mixing steps of splitmix64
+    z = (seed[text] << np.uint64(32) | place) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return text, z ^ z >> np.uint64(31)
 
-#: Bytes of text for each ordinary string, and ordinary strings that shape the tail of the null.
-BYTES_PER_STRING, TAIL = 128, 30
-#: Whole words only: fragments of a key would make a random string.
-_WORD = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z]{1,15}(?![A-Za-z0-9+/_-])")
 
+def _ordinary(data: np.ndarray, offsets: np.ndarray, tokens: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, and begins and ends in them of ordinary strings of the texts; ``tokens`` are all runs of token characters.
 
-def ordinary_strings(text: bytes) -> Iterator[str]:
+    Only whole words are joined: fragments of a key would make a random string.
+    """
+    letters = _runs(data, _LETTER, offsets, 1)
+    place = np.searchsorted(letters[0], tokens[0])
+    inside = place < len(letters[0])
+    place[~inside] = 0
+    whole = inside & (tokens[1] - tokens[0] <= _LONGEST_WORD)
+    if len(letters[0]):
+        whole &= (letters[0][place] == tokens[0]) & (letters[1][place] == tokens[1])
+    first, stop = tokens[0][whole], tokens[1][whole]
+    sizes = stop - first
+    reach = np.cumsum(sizes)  # letters of the words up to each, itself included
+    joined = data[np.arange(int(sizes.sum())) + np.repeat(first - (reach - sizes), sizes)]
+    text, draw = _draws(memoryview(data), offsets)
+    least = (MIN_RUN * 2 ** (3 * (draw >> np.uint64(56)) / 256)).astype(np.int64)
+    lo, hi = offsets[text], offsets[text + 1]
+    share = (draw >> np.uint64(8) & np.uint64((1 << 48) - 1)) / 2**48
+    begin = lo + (share * (hi - lo)).astype(np.int64)
+    word = np.searchsorted(first, begin)
+    from_ = np.append(reach - sizes, reach[-1:] if len(reach) else 0)[word]
+    last = np.searchsorted(reach, from_ + least)
+    near = last < len(first)
+    near[near] = stop[last[near]] <= np.minimum(hi, begin + 16 * least)[near]
+    return joined, from_[near], (from_ + least)[near]
+
+
+def ordinary_strings(text: bytes) -> list[str]:
     """Words of a text joined to strings, at places and of lengths that its hash chooses; places that too few words follow give none."""
-    draw = zlib.crc32(text)
-    for _ in range(-(-len(text) // BYTES_PER_STRING)):
-        draw = (draw * 6_364_136_223_846_793_005 + 1_442_695_040_888_963_407) & 0xFFFFFFFFFFFFFFFF
-        least = int(MIN_RUN * 2 ** (3 * (draw >> 56) / 256))
-        begin = (draw >> 8 & 0xFFFFFFFFFFFF) * len(text) >> 48
-        out = b""
-        for word in _WORD.finditer(text, begin, begin + 16 * least):
-            out += word[0]
-            if len(out) >= least:
-                yield out[:least].decode("ascii")
-                break
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    joined, begin, end = _ordinary(data, offsets, _runs(data, _TOKEN, offsets, 1))
+    return [joined[a:b].tobytes().decode("ascii") for a, b in zip(begin, end)]
+
+
+def _length_classes(n: np.ndarray) -> np.ndarray:
+    return np.minimum(MAX_CLASS, (2 * np.log2(n / MIN_RUN)).astype(int))
+
+
+def _score_bins(score: np.ndarray) -> np.ndarray:
+    return np.minimum(_BINS - 1, ((score - LOWEST_SCORE) * 10).astype(int))
 
 
 def _length_class(n: int) -> int:
-    return min(MAX_CLASS, int(2 * math.log2(n / MIN_RUN)))
+    return int(_length_classes(np.array([n]))[0])
 
 
 def _score_bin(score: float) -> int:
-    return min(_BINS - 1, int((score - LOWEST_SCORE) * 10))
+    return int(_score_bins(np.array([score]))[0])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -205,51 +291,59 @@ _DDL = (
 )
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its base spans and candidates; the first row of a batch also has the null's histogram."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, bytes and offsets of consecutive texts, of BLOCK_BYTES or one longer text, so that memory is bounded by the longest text."""
     for batch in batches:
         texts = batch.column(1)
         texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         body = texts.buffers()[2]
         raw = np.frombuffer(body, np.uint8) if body is not None else np.empty(0, np.uint8)
-        data = raw[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        tokens = _runs(data, _TOKEN, offsets, MIN_RUN)
-        text_of = np.searchsorted(offsets, tokens[0], side="right") - 1
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES, side="right")) - 1)
+            yield batch.column(0).slice(lo, hi - lo), raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its base spans and candidates; the first row of a piece also has the null's histogram."""
+    for ids, data, offsets in _pieces(batches):
+        tokens = _runs(data, _TOKEN, offsets, 1)
+        long = tokens[1] - tokens[0] >= MIN_RUN
+        begins, ends = tokens[0][long], tokens[1][long]
+        text_of = np.searchsorted(offsets, begins, side="right") - 1
         flagged = {int(t) for least, table in ((24, _HEX_BYTE), (20, _UPPER_DIGIT)) for t in np.searchsorted(offsets, _runs(data, table, offsets, least)[0], side="right") - 1}
-        runs_of: dict[int, list[tuple[int, int]]] = {}
-        ordinary: Counter[tuple[int, int]] = Counter()
+        runs_of: dict[int, list[int]] = {}
+        for i, (begin, end, t) in enumerate(zip(begins.tolist(), ends.tolist(), text_of.tolist())):
+            if not _DIGIT[data[begin:end]].all():
+                runs_of.setdefault(t, []).append(i)
         whole = data.tobytes()
-        others, points = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data < 0x30) | (data > 0x39), out=others[1:])
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])  # code points before each byte
-        for begin, end, t in zip(tokens[0].tolist(), tokens[1].tolist(), text_of.tolist()):
-            if others[end] > others[begin]:
-                runs_of.setdefault(t, []).append((begin, end))
         low = whole.lower()
+        joined, a, b = _ordinary(data, offsets, tokens)
+        cell, n_cell = np.unique(_length_classes(b - a) * _BINS + _score_bins(scores(joined, a, b)), return_counts=True)
+        classes, bins = _length_classes(ends - begins), _score_bins(scores(data, begins, ends))
         bases, candidates = [], []
-        for t in range(len(texts)):
-            lo, hi = int(offsets[t]), int(offsets[t + 1])
+        for t, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             base: list[tuple[int, int, int]] = []
             if t in flagged or any(low.find(word, lo, hi) >= 0 for word in _KEYWORDS):
                 base = base_spans(whole[lo:hi].decode())
-            for joined in ordinary_strings(whole[lo:hi]):
-                ordinary[_length_class(len(joined)), _score_bin(randomness(joined))] += 1
             taken = _covered(base)
             more = []
-            for begin, end in runs_of.get(t, ()):
-                start = int(points[begin] - points[lo])
+            start, at = 0, lo
+            for i in runs_of.get(t, ()):
+                begin, end = int(begins[i]), int(ends[i])
+                start += int(np.count_nonzero((data[at:begin] & 0xC0) != 0x80))  # in code points
+                at = begin
                 stop = start + end - begin
                 if not taken(start, stop):
-                    score = randomness(whole[begin:end].decode("ascii"))
-                    more.append({"start": start, "end": stop, "length_class": _length_class(end - begin), "bin": _score_bin(score)})
+                    more.append({"start": start, "end": stop, "length_class": int(classes[i]), "bin": int(bins[i])})
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
             candidates.append(more)
-        cells: list = [[{"length_class": c, "bin": b, "n": n} for (c, b), n in ordinary.items()]]
-        cells = (cells + [[]] * (len(texts) - 1))[: len(texts)]
+        cells: list = [[{"length_class": c // _BINS, "bin": c % _BINS, "n": n} for c, n in zip(cell.tolist(), n_cell.tolist())]]
+        cells += [[]] * (len(ids) - 1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(candidates, pa.list_(_CANDIDATE)), pa.array(cells, pa.list_(_CELL))],
+            [ids, pa.array(bases, pa.list_(_SPAN)), pa.array(candidates, pa.list_(_CANDIDATE)), pa.array(cells, pa.list_(_CELL))],
             names=["id", "base", "candidates", "ordinary"],
         )
 

@@ -1,6 +1,7 @@
 """Decontamination, secrets and personal data against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -306,3 +307,59 @@ def test_personal_data_has_no_python(spark):
 @pytest.mark.parametrize("text", ["q7Zx91KmW0pLr3TnVb8s", "9f86d081884c7d659a2feaa0c55ad015"])
 def test_randomness_prefers_random(text):
     assert secrets.randomness(text) > secrets.randomness("theinganerthetiontheing1")
+
+
+def plain_randomness(run):
+    """The three tests, one character after the other."""
+    chars = next(chars for _, chars in secrets._ALPHABETS if set(run) <= set(chars))
+    x = [chars.index(c) for c in run]
+    n, size = len(x), len(chars)
+    if n >= 2 * size:
+        chi, free = sum(x.count(i) ** 2 for i in set(x)) * size / n - n, size - 1
+    else:
+        group = secrets._groups(chars)
+        shares = Counter(group.values())
+        chi = sum((sum(group[c] == g for c in run) - n * m / size) ** 2 / (n * m / size) for g, m in shares.items())
+        free = max(1, len(shares) - 1)
+    p_chi = 0.5 * math.erfc(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)) / math.sqrt(2))
+    above = [v >= sorted(x)[n // 2] for v in x]
+    n1 = sum(above)
+    expect = 1 + 2 * (n - n1) * n1 / n
+    spread = (expect - 1) * (expect - 2) / (n - 1)
+    runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
+    p_runs = math.erfc(abs(runs - expect) / math.sqrt(2 * spread)) if spread > 0 else 1e-6
+    dev = [v - sum(x) / n for v in x]
+    serial = sum(a * b for a, b in zip(dev, dev[1:])) / sum(d * d for d in dev) if len(set(x)) > 1 else 1.0
+    p_serial = math.erfc(abs(serial + 1 / n) * math.sqrt(n / 2))
+    return max(secrets.LOWEST_SCORE, sum(math.log(max(p, 1e-26)) for p in (p_chi, p_runs, p_serial)))
+
+
+def test_scores_of_many_strings(monkeypatch):
+    """Strings scored together, whatever the blocks, have the scores of the plain formulas."""
+    rng = random.Random(7)
+    chars = secrets._ALPHABETS[-1][1]
+    strings = ["a" * 16, "ab" * 40, "0" * 600, chars * 3]
+    for _ in range(600):
+        size = rng.choice([2, 10, 16, 26, 36, 62, 66])
+        first = rng.randrange(67 - size)
+        strings.append("".join(rng.choice(chars[first : first + size]) for _ in range(rng.choice([16, 17, 40, 128, 500]))))
+    data = np.frombuffer("".join(strings).encode(), np.uint8)
+    end = np.cumsum([len(x) for x in strings])
+    begin = end - [len(x) for x in strings]
+    want = [plain_randomness(x) for x in strings]
+    for block in (100, 5000, 1 << 20):
+        monkeypatch.setattr(secrets, "BLOCK_BYTES", block)
+        np.testing.assert_allclose(secrets.scores(data, begin, end), want, rtol=1e-9)
+    assert len(secrets.scores(data, begin[:0], end[:0])) == 0
+
+
+def test_ordinary_strings_are_whole_words():
+    rng = random.Random(9)
+    words = ["the", "ing", "Straße", "a1b", "under", "key/value", "abcdefghijklmnopq", "re", "tion", "x", "été", "9"]
+    text = " ".join(rng.choice(words) for _ in range(3000)).encode()
+    whole = re.findall(rb"(?<![A-Za-z0-9+/_-])[A-Za-z]{1,15}(?![A-Za-z0-9+/_-])", text)
+    joined = b"".join(whole).decode()
+    found = secrets.ordinary_strings(text)
+    assert len(found) > len(text) / secrets.BYTES_PER_STRING * 0.8
+    assert all(16 <= len(x) <= 128 and x in joined for x in found)
+    assert [secrets.ordinary_strings(x) for x in (b"", b"abc", "é".encode() * 500, b"k9" * 500)] == [[], [], [], []]
