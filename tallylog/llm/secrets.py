@@ -273,7 +273,7 @@ def _runs(data: np.ndarray, inside: np.ndarray, cuts: np.ndarray, least: int) ->
         return begin, end
     # cut the runs at the ends of texts
     inner = cuts[np.searchsorted(begin, cuts, side="right") != np.searchsorted(end, cuts, side="right")]
-    inner = inner[~np.isin(inner, begin)]
+    inner = inner[np.searchsorted(begin, inner) == np.searchsorted(begin, inner, side="right")]  # no begin of a run
     if len(inner):
         begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
         long = end - begin >= least
