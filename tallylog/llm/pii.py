@@ -66,6 +66,9 @@ BUCKETS, SURE, EM_ROUNDS = 1024, 0.9, 50
 #: Matches whose places are summed one after the other.
 _BLOCK = 256
 
+#: Put around matches; in texts another character that Unicode leaves unassigned for good stands for it.
+MARK, _INSTEAD = "\uffff", "\ufffe"
+
 _SPANS = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
 
 
@@ -75,19 +78,19 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def located(text: Column, pattern: str, gate: Column) -> Column:
-    """Leftmost non-overlapping matches as (start, end, s, before, after), in code points, where ``gate`` holds.
+    """Leftmost non-overlapping matches as (start, end, s, before, after), in code points, where ``gate`` holds; no text has MARK in it.
 
-    The texts between matches and the matches alternate, so their lengths give the places: lengths are summed by block, the
+    One pass puts marks around the matches, so that the texts between matches and the matches alternate, and their lengths give the places: lengths are summed by block, the
     blocks before each block, and the matches within it.  ``before`` and ``after`` are the CONTEXT characters
     next to the match, up to the neighbouring matches of its kind.
     """
     none = F.expr(f"cast(array() as {_SPANS})")
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
-    def cells(z: Column) -> Column:
-        return F.transform(z, lambda x, i: F.struct(
-            F.length(x["gap"]).alias("skip"), F.length(x["hit"]).alias("size"), x["hit"].alias("s"),
-            F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before"), F.substring(F.get(z, i + 1)["gap"], 1, CONTEXT).alias("after"),
+    def cells(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 3, F.lit(2)), lambda i: F.struct(
+            F.length(F.get(p, i)).alias("skip"), F.length(F.get(p, i + 1)).alias("size"), F.get(p, i + 1).alias("s"),
+            F.substring(F.get(p, i), -CONTEXT, CONTEXT).alias("before"), F.substring(F.get(p, i + 2), 1, CONTEXT).alias("after"),
         ))
 
     def step(acc: Column, x: Column) -> Column:
@@ -108,7 +111,7 @@ def located(text: Column, pattern: str, gate: Column) -> Column:
             step, lambda acc: acc["out"],
         ))))
 
-    found = _let(F.filter(_let(zipped, cells), lambda x: x["s"].isNotNull()), lambda z: F.when(F.size(z) > 0, places(z)).otherwise(none))
+    found = _let(parts, lambda p: F.when(F.size(p) > 1, _let(cells(p), places)).otherwise(none))
     return F.when(gate, found).otherwise(none)
 
 
@@ -146,7 +149,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = F.col("text")
     gates = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "name": F.lit(True), "address": F.col("digit")}
-    rows = docs.select(F.col(id_col).alias("id"), utf8_or_empty(F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.translate(utf8_or_empty(F.col(text_col)), MARK, _INSTEAD).alias("text"))
     rows = rows.withColumn("digit", text.rlike("[0-9]"))
     found = {k: located(text, p, gates.get(k, F.col("digit"))) for k, p in (PATTERNS | LOOSE).items()}
 

@@ -363,3 +363,11 @@ def test_ordinary_strings_are_whole_words():
     assert len(found) > len(text) / secrets.BYTES_PER_STRING * 0.8
     assert all(16 <= len(x) <= 128 and x in joined for x in found)
     assert [secrets.ordinary_strings(x) for x in (b"", b"abc", "é".encode() * 500, b"k9" * 500)] == [[], [], [], []]
+
+
+def test_marks_in_texts(spark):
+    """Texts that have the character which marks matches, or the one that stands for it, keep their places and spans."""
+    texts = ["￿a@b.co￿￿c@d.co￾ 1.2.3.4￿", "￿" * 5, "a@b.co", "￿1.2.3.4 a@b.co,c@d.co"]
+    found = pii.find_personal_data(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+    found = {r["doc_id"]: r["b"] for r in found.select("doc_id", _spans_text(found["base"]).alias("b")).collect()}
+    assert found == {0: "email:1:7,email:9:15,ip:17:24", 1: "", 2: "email:0:6", 3: "email:9:15,email:16:22,ip:1:8"}
