@@ -16,10 +16,10 @@ WINDOW_SECONDS = 300
 SLICE_SECONDS = 300
 
 
-def trailing_count(rows: DataFrame, key: list[str], flag: Column, name: str, seconds: float) -> DataFrame:
+def trailing_count(rows: DataFrame, key: list[str], flag: Column, name: str, seconds: float, peers: bool = False) -> DataFrame:
     """Add how many flagged rows of the key lie in ``(ts - seconds, ts]`` and arrived no later.
 
-    Of rows at the same time only earlier arrivals count, by ``seq``, which no two rows share.  The count is a difference of running counts in the order of time: at the row,
+    Of rows at the same time only earlier arrivals count, by ``seq``, which no two rows share; with ``peers`` all of them do, as in SQL's RANGE.  The count is a difference of running counts in the order of time: at the row,
     less where its window begins.  Rows and begins of windows are points of one order, which is cut into slices of SLICE_SECONDS
     whatever the window; a slice goes on from the sum of those before it, so a key with very many rows is spread over time.
     """
@@ -35,22 +35,22 @@ def trailing_count(rows: DataFrame, key: list[str], flag: Column, name: str, sec
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
     # at one time, rows come by arrival and then the windows that begin there
-    order = Window.partitionBy(*key, "__slice").orderBy("__at", F.desc("__sign"), "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*key, "__slice").orderBy("__at", F.desc("__sign"), *([] if peers else ["seq"])).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     counted = points.withColumn("__upto", F.sum("__counted").over(order)).join(offsets, same)
     counts = counted.groupBy(F.col("seq").alias("__seq")).agg(F.sum(F.col("__sign") * (F.col("__upto") + F.col("__offset"))).alias(name))
     return rows.join(counts, F.col("seq") == F.col("__seq")).select(*rows.columns, name)
 
 
-def event_features(events: DataFrame, seconds: float = WINDOW_SECONDS) -> DataFrame:
+def event_features(events: DataFrame, seconds: float = WINDOW_SECONDS, peers: bool = False) -> DataFrame:
     """Add login_count, error_count and event_type_code, for events that arrive in time order.
 
     login_count counts the user's logins and is 0 for other events; error_count counts all service errors and is given to every
-    event.  The streaming processor has the exact result for events that arrive out of order.
+    event.  ``peers`` also counts later arrivals at the same time.  The streaming processor has the exact result for events that arrive out of order.
     """
     login = F.col("event_type") == "login"
-    rows = trailing_count(events, ["user"], login, "login_count", seconds)
+    rows = trailing_count(events, ["user"], login, "login_count", seconds, peers)
     rows = rows.withColumn("login_count", F.when(F.col("event_type") == "login", F.col("login_count")).otherwise(0).cast("long"))
-    rows = trailing_count(rows, [], F.col("event_type") == "service_error", "error_count", seconds)
+    rows = trailing_count(rows, [], F.col("event_type") == "service_error", "error_count", seconds, peers)
     return rows.withColumn("error_count", F.col("error_count").cast("long")).withColumn("event_type_code", event_code(F.col("event_type")))
 
 

@@ -1,12 +1,13 @@
 import json
 from datetime import datetime, timedelta
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallylog.operators import features, lookup, registry
-from tallylog.plans import learn
+from tallylog.plans import learn, queries
 from tallylog.sources import generators, logs, sinks
 from tallylog.streaming import collector
 from tallylog.streaming import features as live
@@ -67,6 +68,17 @@ def test_batch_features_agree_in_time_order_with_ties(spark):
     assert [r["event_type_code"] for r in rows] == [1, 1, 1, 2, 1, 1, 0]
 
 
+@pytest.mark.parametrize("name", ["features_5min", "features_1day"])
+def test_feature_queries_count_rows_of_one_time(spark, tmp_path, name):
+    """Events of two copies at the same times, as RANGE counts them."""
+    e = spark.createDataFrame([(i, BASE + timedelta(seconds=i // 2 % 7 * 60), i % 2, kind) for i, kind in enumerate(["click", "error", "view"] * 14)], "event_id long, ts timestamp, user_id long, event_type string")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = queries.QUERIES[name](spark, str(tmp_path)).orderBy("seq").collect()
+    assert [tuple(r) for r in found] == con.sql(f"SELECT * FROM ({queries.ORACLE_SQL[name]}) ORDER BY seq").fetchall()
+
+
 def test_read_lines_and_learn(spark, tmp_path):
     (tmp_path / "h_1.log").write_text("# SID: x\n" + "".join(f"20240101-10:00:{i:02d}:000|C|1|tick {i}\n" for i in range(20)))
     (tmp_path / "ignored.txt").write_text("no\n")
