@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tallylog.sources.commits import CommitLog, Conflict
 from tallylog.sources.entry_table import EntryTable, start_entries
 from tallylog.sources.registry_table import Registry
 from tallylog.streaming import features as live
+from tallylog.streaming import queue
 from tallylog.streaming.queue import in_order
 from tallylog.streaming.state import started
 from tests.test_search import plain_arrivals
@@ -104,6 +106,58 @@ def test_queue_in_order_with_restart(spark, tmp_path):
     assert sorted(seen) == sorted((q, i, first[q, i]) if not (q == "a" and i == 5) else next(r for r in seen if r[:2] == ("a", 5)) for q in "ab" for i in range(60))
 
 
+class _Entries(dict):
+    """A value or a map of state that counts its calls."""
+
+    calls = 0
+
+    def exists(self):
+        return "v" in self
+
+    def get(self, *a):
+        return super().get(*a) if a else self["v"]
+
+    def update(self, v):
+        self["v"] = v
+
+    def containsKey(self, k):
+        _Entries.calls += 1
+        return k in self
+
+    def getValue(self, k):
+        _Entries.calls += 1
+        return self[k]
+
+    def updateValue(self, k, v):
+        _Entries.calls += 1
+        self[k] = v
+
+    def removeKey(self, k):
+        _Entries.calls += 1
+        del self[k]
+
+
+def test_queue_state_is_read_and_written_by_runs():
+    """50,000 records in disorder and in three batches: state calls go with runs of numbers, not with records."""
+    n, rng = 50_000, random.Random(4)
+    order = list(range(n)) + rng.sample(range(n), 5_000)
+    rng.shuffle(order)
+    reorder = queue._Reorder()
+    reorder.next, reorder.waiting, _Entries.calls = _Entries(), _Entries(), 0
+    first, due, found = {}, 0, []
+    for part in (order[:20_000], order[20_000:40_000], order[40_000:]):
+        rows = pd.DataFrame({"seq": part, "value": [None if s % 11 == 0 else f"{s}/{i}" for i, s in enumerate(part)]})
+        for s, v in zip(rows["seq"], rows["value"]):
+            first.setdefault(s, v)
+        out = pd.concat(list(reorder.handleInputRows(("q",), iter([rows[:7_000], rows[7_000:]]), None)))
+        while due in first:
+            due += 1
+        found += list(out.itertuples(index=False, name=None))
+        assert [s for _, s, _ in found] == list(range(due))
+    assert found == [("q", s, first[s]) for s in range(n)] and not reorder.waiting
+    assert _Entries.calls < 100
+
+
 def numbers(table):
     return [(r["seq"], r["v"]) for r in table.read().orderBy("seq").collect()]
 
