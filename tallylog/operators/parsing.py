@@ -24,13 +24,13 @@ def drop_blank(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.withColumn(column, strip(F.col(column))).where(F.col(column) != "")
 
 
-def learner_fields(line: Column) -> dict[str, Column]:
-    """timestamp, component, user_id, message and raw of a stripped line.
+def learner_fields(line: Column, parts: Column | None = None) -> dict[str, Column]:
+    """timestamp, component, user_id, message and raw of a stripped line; ``parts`` are its parts between bars where they were made before.
 
     A line of four or more parts between bars has them in that order, the message with the bars it holds;
     any other is a message of the unknown component.
     """
-    parts = F.split(line, r"\|", -1)
+    parts = F.split(line, r"\|", -1) if parts is None else parts
     full = F.size(parts) >= 4
 
     def part(i: int, otherwise: str) -> Column:
@@ -51,7 +51,9 @@ def parse_learner(lines: DataFrame, column: str = "line", drop_header: bool = Fa
     rows = drop_blank(lines, column)
     if drop_header:
         rows = rows.where(~F.col(column).startswith("# SID:"))
-    return rows.select(*[c for c in rows.columns if c != column], *[v.alias(k) for k, v in learner_fields(F.col(column)).items()])
+    # a column of their own, so that a line is split once
+    split = rows.withColumn("__parts", F.split(column, r"\|", -1))
+    return split.select(*[c for c in rows.columns if c != column], *[v.alias(k) for k, v in learner_fields(F.col(column), F.col("__parts")).items()])
 
 
 def collector_timestamp(line: Column) -> Column:

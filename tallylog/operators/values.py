@@ -24,30 +24,43 @@ BARE_OVER, PAIR_OVER, PROGRESSION_OVER, DISTRIBUTION_OVER, COMPARED = 100, 5, 10
 _MATCHES, _PATTERNS = 1 << 20, 8
 
 
+#: The same patterns, which find the same: what a message needs to be searched, and a search that tries each word once.  A word follows
+#: the match before or no word; where it fails as a whole so do its ends, as no separator is of a word.
+_SEARCHES = (
+    ("=", r"(?U)(?:\G|(?<!\w))\w++=\d++"), (":", r"(?U)(?:\G|(?<!\w))\w++:\s*+\d++"), (None, r"(?U)(?:\G|(?<!\w))\w++\s++\d++"),
+    ("##", r"(?U)##\d++"), (None, r"(?U)\d++"),
+)
+
+
 def _number(text: Column) -> Column:
     """A whole number, exact up to 38 digits; null beyond."""
     return text.try_cast("decimal(38,0)")
 
 
-def extract_values(logs: DataFrame) -> DataFrame:
-    """server, component, name, line_no, pat_idx, match_idx, v: every number the five patterns find.
+def extract_values(logs: DataFrame, patterns: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """server, component, name, line_no, pat_idx, match_idx, v: every number the five patterns find, or those of some patterns.
 
     A number may be found by several patterns.  Names are component.name; those of ``##`` numbers have no component,
     and bare numbers over 100 are component.number.
     """
     m = F.col("message")
 
-    def found(i: int, name_group: int | None) -> Column:
-        pattern = F.lit(NUMBER_PATTERNS[i])
-        values = F.regexp_extract_all(m, pattern, F.lit(2 if name_group else 1))
-        if not name_group:
-            return F.transform(values, lambda v, j: F.struct(F.lit(i).alias("pat_idx"), j.alias("match_idx"), F.lit("").alias("key"), v.alias("text")))
-        zipped = F.arrays_zip(F.regexp_extract_all(m, pattern, F.lit(1)).alias("key"), values.alias("text"))
-        return F.transform(zipped, lambda x, j: F.struct(F.lit(i).alias("pat_idx"), j.alias("match_idx"), x["key"].alias("key"), x["text"].alias("text")))
-
-    all_found = F.concat(found(0, 1), found(1, 1), found(2, 1), found(3, None), found(4, None))
-    rows = logs.select("server", "component", "line_no", F.explode(all_found).alias("x"))
-    rows = rows.select("server", "component", "line_no", "x.*").withColumn("v", _number(F.col("text")))
+    def found(i: int) -> Column:
+        needs, search = _SEARCHES[i]
+        matches = F.regexp_extract_all(m, F.lit(search), F.lit(0))
+        if needs:
+            matches = F.when(F.contains(m, F.lit(needs)), matches).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(i).alias("pat_idx"), matches.alias("matches"))
+
+    rows = logs.select("server", "component", "line_no", F.inline(F.array(*[found(i) for i in patterns])))
+    rows = rows.where("size(matches) > 0").select("server", "component", "line_no", "pat_idx", F.posexplode("matches").alias("match_idx", "match"))
+    match, i = F.col("match"), F.col("pat_idx")
+    key = F.when(i == 0, F.substring_index(match, "=", 1)).when(i == 1, F.substring_index(match, ":", 1)).when(i == 2, F.regexp_extract(match, r"(?U)^\w++", 0)).otherwise("")
+    # as a long where plain digits after the separator are one, which is much cheaper
+    after = F.when(i == 0, F.substring_index(match, "=", -1)).when(i == 1, F.substring_index(match, ":", -1)).when(i == 2, F.substring_index(match, " ", -1)).when(i == 3, F.substring_index(match, "#", -1)).otherwise(match)
+    short = F.when(F.length(match) <= 18, after.try_cast("long").cast("decimal(38,0)"))
+    v = F.coalesce(short, _number(F.regexp_extract(match, r"(?U)(\d++)$", 1)))
+    rows = rows.select("server", "component", "line_no", "pat_idx", "match_idx", key.alias("key"), v.alias("v"))
     worded = (F.col("pat_idx") != 2) | F.col("key").rlike(r"^\p{L}+$")
     large = (F.col("pat_idx") != 4) | (F.col("v") > BARE_OVER)
     name = (
@@ -274,22 +287,23 @@ def distributions(values: DataFrame, k: int | None = 30) -> DataFrame:
 
     The median is the upper one.  The ``k`` largest series of each server are kept, earlier ones first on ties, and only theirs are sought.
     """
-    rows = with_sample_order(values)
-    d = F.col("v").cast("double")
-    out = rows.groupBy("server", "name").agg(
-        F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg(d).alias("average"), F.count("*").alias("n"), F.stddev_samp(d).alias("stddev"), F.min("ord").alias("first")
+    # every figure comes from the counts of distinct values, so the samples are made once
+    counts = with_sample_order(values).groupBy("server", "name", "v").agg(F.count("*").alias("c"), F.min("ord").alias("first"))
+    counts = written(counts, "values").withColumn("d", F.col("v").cast("double"))
+    out = counts.groupBy("server", "name").agg(
+        F.min("v").alias("lowest"), F.max("v").alias("highest"), (F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("average"), F.sum("c").alias("n"), F.min("first").alias("first")
     ).where(F.col("n") > DISTRIBUTION_OVER)
     if k is not None:
         order = Window.partitionBy("server").orderBy(F.desc("n"), "first")
         out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     out = written(out, "series")
-    counts = rows.groupBy("server", "name", "v").agg(F.count("*").alias("c"))
-    if k is not None:
-        kept = out.select(F.col("server").alias("s"), F.col("name").alias("m"))
-        counts = counts.join(kept, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m")), "left_semi")
-    medians = upper_medians(counts, ["server", "name"]).select(F.col("server").alias("s"), F.col("name").alias("m"), "median", "n_distinct")
-    joined = out.join(medians, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m")))
-    return joined.select("server", "name", "lowest", "highest", "average", "median", "n", "n_distinct", "stddev")
+    kept = out.select(F.col("server").alias("s"), F.col("name").alias("m"), F.col("average").alias("mean"))
+    counts = counts.join(kept, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m"))).select("server", "name", "v", "c", (F.col("c") * F.pow(F.col("d") - F.col("mean"), F.lit(2))).alias("square"))
+    squares = counts.groupBy(F.col("server").alias("s"), F.col("name").alias("m")).agg(F.sum("square").alias("squares"))
+    medians = upper_medians(counts.drop("square"), ["server", "name"]).select(F.col("server").alias("s"), F.col("name").alias("m"), "median", "n_distinct")
+    for more in (squares, medians):
+        out = out.join(more, F.col("server").eqNullSafe(F.col("s")) & (F.col("name") == F.col("m"))).drop("s", "m")
+    return out.select("server", "name", "lowest", "highest", "average", "median", "n", "n_distinct", F.sqrt(F.col("squares") / (F.col("n") - 1)).alias("stddev"))
 
 
 def upper_medians(counts: DataFrame, series: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Counters, values, sequences and time patterns against small hand-made logs and plain Python."""
 
 import random
+import statistics
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,41 @@ def test_distribution(spark):
     assert r["average"] == 18.0 and r["stddev"] == pytest.approx(13.490737563)
 
 
+
+def test_some_patterns_find_what_the_written_ones_find(spark):
+    """Searches that try each word once, against the patterns themselves."""
+    r = random.Random(1)
+    parts = ["a", "9", "é", "=", ":", " ", "\t", " ", "_", "##", "12", "٣", "x1", "=5", ": 7", "-", "\n", "😀", "2", "1234567890123456789"]
+    messages = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(2_000)]
+    df = logs(spark, messages)
+    found = {}
+    for x in values.extract_values(df, (0, 1, 3)).collect():
+        found.setdefault((x["line_no"], x["pat_idx"]), []).append((x["match_idx"], x["name"].split(".")[-1], x["v"]))
+    for i, name in ((0, "word"), (1, "word"), (3, "separated_value")):
+        pattern, group = F.lit(values.NUMBER_PATTERNS[i]), 2 if name == "word" else 1
+        wanted = df.select("line_no", F.regexp_extract_all("message", pattern, F.lit(1)).alias("k"), F.regexp_extract_all("message", pattern, F.lit(group)).alias("t")).collect()
+        for w in wanted:
+            named = [(j, k if name == "word" else name, Decimal(t)) for j, (k, t) in enumerate(zip(w["k"], w["t"])) if len(t) <= 38]
+            assert sorted(found.get((w["line_no"], i), [])) == named
+    assert {i for _, i in found} == {0, 1, 3}
+
+
+def test_distributions_make_their_samples_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            made.add(len(pdf))
+            yield pdf
+
+    v = [3, 1, 4, 1, 5, 9, 2, 6, 5, 35]
+    rows = spark.createDataFrame([("s", "c", "c.v", i, 0, 0, Decimal(x)) for i, x in enumerate(v)], "server string, component string, name string, line_no long, pat_idx int, match_idx int, v decimal(38,0)")
+    x = values.distributions(rows.mapInPandas(counted, rows.schema), 1).first()
+    assert made.value == len(v)
+    assert (x["n"], x["n_distinct"], x["lowest"], x["highest"], x["median"]) == (10, 8, 1, 35, 5)
+    assert x["average"] == pytest.approx(statistics.mean(v)) and x["stddev"] == pytest.approx(statistics.stdev(v))
+
+
 def test_temporal_golden(spark):
     seconds = [0, 0, 0, 0, 0, 0, 0, 1, 3, 65, 65, 66]
     rows = logs(spark, [f"m{i}" for i in range(12)], seconds)
