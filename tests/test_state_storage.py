@@ -158,6 +158,26 @@ def test_queue_state_is_read_and_written_by_runs():
     assert _Entries.calls < 100
 
 
+
+def test_counter_takes_a_large_batch_in_pieces(monkeypatch):
+    """40,000 rows of one key in disorder, sorted by runs of 3,000 in a file: pieces out, and the counts of one list of times."""
+    monkeypatch.setattr(live, "SORTED_ROWS", 3_000)
+    monkeypatch.setattr(live, "MERGED_ROWS", 100)
+    rng = random.Random(5)
+    rows = [(i, i - rng.choice([0, 0, 40, 400]), rng.choice(["service_error", "unknown"]), None) for i in range(40_000)]
+    came = rng.sample(rows, len(rows))
+    pdf = pd.DataFrame({"seq": [r[0] for r in came], "us": [r[1] * 1_000_000 for r in came], "flagged": [r[2] == "service_error" for r in came]})
+    counter = live._Counter(300, None, True)
+    counter.sizes, counter.times = _Entries(), _Entries()
+    counter.sizes.iterator = lambda: iter(counter.sizes.items())
+    pieces = list(counter.handleInputRows((0,), (pdf[i : i + 700] for i in range(0, len(pdf), 700)), None))
+    assert len(pieces) > 100 and max(map(len, pieces)) <= 1_500
+    found = pd.concat(pieces)
+    assert found["seq"].tolist() == list(range(40_000))
+    wanted = plain_arrivals(rows, False, "service_error", 300, False)
+    assert found["n"].tolist() == [wanted[i] for i in range(40_000)]
+
+
 def numbers(table):
     return [(r["seq"], r["v"]) for r in table.read().orderBy("seq").collect()]
 
